@@ -123,6 +123,5 @@ def key_profile(
 
 def heavy_keys(spark: SparkSession, df: DataFrame, key: str, at: str, share: float) -> DataFrame:
     """Keys that hold at least ``share`` of all rows of ``df``, rows without key included in the total."""
-    profile = key_profile(spark, df, key, at)
-    total = df.agg(F.count("*").alias("_total"))
-    return profile.join(F.broadcast(total)).where(F.col("n_rows") >= F.lit(share) * F.col("_total")).drop("_total")
+    total = df.count()
+    return key_profile(spark, df, key, at).where(F.col("n_rows") >= share * total)
