@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from framewright.llm import balanced, canonical, grouped_splits, mixing, neighbours
+from framewright.llm import balanced, canonical, grouped_splits, mixing, neighbours, readability
 
-_MODULES = [neighbours, grouped_splits, canonical, mixing, balanced]
+_MODULES = [neighbours, grouped_splits, canonical, mixing, balanced, readability]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
