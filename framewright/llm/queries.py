@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from framewright.llm import balanced, canonical, grouped_splits, leaks, mixing, neighbours, readability
+from framewright.llm import balanced, canonical, grouped_splits, leaks, mixing, neighbours, overlap, readability
 
-_MODULES = [neighbours, grouped_splits, canonical, mixing, balanced, readability, leaks]
+_MODULES = [overlap, neighbours, grouped_splits, canonical, mixing, balanced, readability, leaks]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
