@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.keys import digest, letters_and_digits, split_name
@@ -29,12 +29,12 @@ BYTES = PIXELS * CHANNELS
 STEP = 64
 GRIDS = (0, STEP // 2)
 #: Visible pixels that the common prefix of two suffixes must show.
-MIN_VISIBLE = 8
+MIN_VISIBLE = 6
 #: Greatest mean difference of the 256 premultiplied values of near pictures.
 NEAR = 2.0
 
 _RECORD = (
-    "sequence_id string, split string, source_key string, identity string, digest string, blank boolean, pic bigint, "
+    "sequence_id string, split string, source_key string, identity string, digest string, blank boolean, pic bigint, tone bigint, "
     "spans array<struct<key:bigint,first:tinyint,rows:tinyint>>"
 )
 
@@ -95,6 +95,18 @@ def spans(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]
     return found
 
 
+def tones(x: np.ndarray) -> np.ndarray:
+    """The sums of the premultiplied values of each quarter of a picture, 16 bits each."""
+    quarter = np.floor(premultiplied(x).reshape(len(x), 4, BYTES // 4).sum(2)).astype(np.int64)
+    return quarter[:, 0] | quarter[:, 1] << 16 | quarter[:, 2] << 32 | quarter[:, 3] << 48
+
+
+def _tone_gap(one: str, two: str) -> Column:
+    """Sum of the differences of the quarters' sums: never more than that of all values, but for rounding."""
+    quarter = lambda c, k: F.shiftright(c, 16 * k).bitwiseAND(F.lit(65535))
+    return sum((F.abs(quarter(one, k) - quarter(two, k)) for k in range(4)), F.lit(0))
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records with blank flag and picture hash; of equal pictures of one side in a batch one carries the spans."""
     for b in batches:
@@ -120,12 +132,12 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         blank = np.zeros(n, bool)
         blank[at[~seen]] = True
-        whole, hidden = np.zeros(n, np.int64), np.ones(n, bool)
-        whole[at[seen]], hidden[at[seen]] = pic[seen], False
+        whole, tone, hidden = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+        whole[at[seen]], tone[at[seen]], hidden[at[seen]] = pic[seen], tones(x[seen]), False
         yield pa.RecordBatch.from_arrays(
             [b.column(c) for c in ("sequence_id", "split", "source_key", "identity", "digest")]
-            + [pa.array(blank), pa.array(whole, mask=hidden), pa.ListArray.from_arrays(ends, items)],
-            names=["sequence_id", "split", "source_key", "identity", "digest", "blank", "pic", "spans"],
+            + [pa.array(blank), pa.array(whole, mask=hidden), pa.array(tone, mask=hidden), pa.ListArray.from_arrays(ends, items)],
+            names=["sequence_id", "split", "source_key", "identity", "digest", "blank", "pic", "tone", "spans"],
         )
 
 
@@ -177,14 +189,15 @@ class Overlaps:
     def near_pictures(self) -> DataFrame:
         """(pic_train, pic_eval, rows_shared, away) of different pictures whose mean difference is at most NEAR."""
         suffixes = self.records.where("size(spans) > 0").select(
-            "pic", (F.col("split") == "train").alias("train"), F.explode("spans").alias("s")
-        ).select("pic", "train", F.col("s.key").alias("key"), F.col("s.first").alias("first"), F.col("s.rows").alias("rows"))
+            "pic", "tone", (F.col("split") == "train").alias("train"), F.explode("spans").alias("s")
+        ).select("pic", "tone", "train", F.col("s.key").alias("key"), F.col("s.first").alias("first"), F.col("s.rows").alias("rows"))
         mask = F.expr("cast(shiftleft(shiftleft(1, cast(rows as int)) - 1, cast(first as int)) as int)")
-        train = suffixes.where("train").select("key", F.col("pic").alias("pic_train"), mask.alias("mask"))
-        held = suffixes.where("not train").select("key", F.col("pic").alias("pic_eval"))
+        train = suffixes.where("train").select("key", F.col("pic").alias("pic_train"), F.col("tone").alias("tone_train"), mask.alias("mask"))
+        held = suffixes.where("not train").select("key", F.col("pic").alias("pic_eval"), F.col("tone").alias("tone_eval"))
         pairs = (
             train.join(held, "key")  # adaptive execution splits a crowded prefix
-            .where("pic_train <> pic_eval")
+            .where(F.col("pic_train") != F.col("pic_eval"))
+            .where(_tone_gap("tone_train", "tone_eval") <= NEAR * BYTES + 8)
             .groupBy("pic_train", "pic_eval")
             .agg(F.bit_count(F.bit_or("mask")).alias("rows_shared"))
         )
