@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framewright.plans import skewed_keys
+from framewright.plans import reporting, skewed_keys
 
-FLAGSHIP = "p2_found"
+FLAGSHIP = "split_coverage"
 
-QUERIES = {**skewed_keys.QUERIES}
-ORACLES = {**skewed_keys.ORACLES}
+_MODULES = [reporting, skewed_keys]
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
