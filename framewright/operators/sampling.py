@@ -119,9 +119,9 @@ def sampler_weights(df: DataFrame, identity: str, action: str) -> DataFrame:
     """``df`` with the chance of drawing each row when identity, then action, then row are drawn evenly."""
     rows = df.groupBy(identity, action).agg(F.count("*").alias("_rows"))
     actions = rows.groupBy(identity).agg(F.count("*").alias("_actions"))
-    total = actions.agg(F.count("*").alias("_identities"))
-    cells = rows.join(actions, identity).crossJoin(F.broadcast(total))  # one row
-    weights = cells.select(identity, action, (1 / (F.col("_identities") * F.col("_actions") * F.col("_rows"))).alias("weight"))
+    identities = actions.count()
+    cells = rows.join(actions, identity)
+    weights = cells.select(identity, action, (1 / (F.lit(identities) * F.col("_actions") * F.col("_rows"))).alias("weight"))
     return df.join(weights, [identity, action])
 
 
