@@ -56,6 +56,19 @@ def _clean() -> None:
         shutil.rmtree(root, ignore_errors=True)
 
 
+def parallel_tasks(spark: SparkSession) -> int:
+    """Tasks for a stage whose cost lies in computing, not in bytes: two for each core, or the session's shuffle partitions."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan cut for costly row work: files too few for the cores are dealt out, large inputs stay where they are."""
+    spark = df.sparkSession
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(parallel_tasks(spark))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
