@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.operators.skew import lookup_join, union_all
-from framewright.session import Scratch, load
+from framewright.session import Scratch, load, parallel_tasks
 
 ACTION_PROPERTIES = ["action", "play_action", "on_hit_action", "next_action"]
 
@@ -206,7 +206,7 @@ def canonical_map(spark: SparkSession, values: DataFrame, vocabulary: DataFrame)
     names = reference_names(vocabulary)
     own = sorted({name for _, name, is_own in names if is_own})
     counted = free_values(values, own).groupBy("value").agg(F.count("*").alias("n"))
-    found = Scratch(spark, "canonical").write(mapped_values(counted, names), "map")
+    found = Scratch(spark, "canonical").write(mapped_values(counted.repartition(parallel_tasks(spark)), names), "map")
     total = found.agg(F.sum("n")).first()[0] or 0
     hot = [r["value"] for r in found.where(F.col("n") >= max(10_000, total / 64)).limit(64).collect()]
     return found, own, hot

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.prose import cleaned
 from framewright.operators.skew import union_all
-from framewright.session import Scratch, load
+from framewright.session import Scratch, load, spread
 
 #: Letters per q-gram; letters per diagonal band; documents looked up at once.
 Q, BAND, CHUNK = 12, 64, 256
@@ -290,13 +290,13 @@ def leaked(spark: SparkSession, passages: DataFrame, documents: DataFrame) -> Da
     held = passages.where("passage_id is not null and passage_text is not null").select("passage_id", "passage_text")
     letters = held.agg(F.coalesce(F.sum(F.length("passage_text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(letters / BLOCK_LETTERS))
-    found = []
+    texts, found = spread(documents.select("doc_id", "text")), []
     for k in range(blocks):
         block = held.where(F.pmod(F.xxhash64("passage_id"), F.lit(blocks)) == k) if blocks > 1 else held
         rows = sorted((r["passage_id"], r["passage_text"]) for r in block.distinct().collect())
         index = Passages([i for i, _ in rows], [word_list(t) for _, t in rows])
         found.append(
-            documents.select("doc_id", "text").mapInPandas(_search(index), "passage_id bigint, doc_id bigint, share double")
+            texts.mapInPandas(_search(index), "passage_id bigint, doc_id bigint, share double")
         )
     return union_all(found).groupBy("passage_id", "doc_id").agg(F.max("share").alias("share"))
 

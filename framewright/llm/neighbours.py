@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.skew import lookup_join
-from framewright.session import Scratch, load
+from framewright.session import Scratch, load, parallel_tasks
 
 DIMENSIONS = 64
 NEIGHBOURS = 5
@@ -222,7 +222,7 @@ def nearest(
         _keyed(list(_curves(curves, mean, cov, seed))), "curve int, position bigint, row_index bigint, unit array<float>"
     )
     near = (
-        keyed.repartitionByRange("curve", "position")
+        keyed.repartitionByRange(parallel_tasks(spark), "curve", "position")
         .sortWithinPartitions("curve", "position", "row_index")
         .mapInArrow(_windows(k, window), "row_index bigint, near array<struct<away:double,other:bigint>>")
     )

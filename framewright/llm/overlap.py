@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.keys import digest, letters_and_digits, split_name
 from framewright.operators.skew import salted_join
-from framewright.session import Scratch, load
+from framewright.session import Scratch, load, spread
 
 SIDE, CHANNELS = 8, 4
 PIXELS = SIDE * SIDE
@@ -176,7 +176,7 @@ class Overlaps:
         self.spark, self.source = spark, df
         self.scratch = Scratch(spark, "overlap")
         split = split_name(F.col("split"))
-        typed = df.where(F.col("sequence_id").isNotNull() & split.isNotNull()).select(
+        typed = spread(df).where(F.col("sequence_id").isNotNull() & split.isNotNull()).select(
             "sequence_id",
             split.alias("split"),
             letters_and_digits(F.col("source_id")).alias("source_key"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.keys import letters_and_digits
 from framewright.llm.prose import sentences
-from framewright.session import Scratch, load
+from framewright.session import Scratch, load, spread
 
 #: A familiar word stands in at least this share of the documents with prose and has at most so many letters.
 FAMILIAR_SHARE, FAMILIAR_LETTERS = 0.005, 5
@@ -49,7 +49,7 @@ def scored(spark: SparkSession, documents: DataFrame) -> DataFrame:
     ignored; a repeated doc_id gives a row each.
     """
     prose = Scratch(spark, "reading").write(
-        documents.select("doc_id", "text").mapInPandas(_prose, _PROSE).withColumn("row", F.monotonically_increasing_id()), "prose"
+        spread(documents.select("doc_id", "text")).mapInPandas(_prose, _PROSE).withColumn("row", F.monotonically_increasing_id()), "prose"
     )
     held = prose.where("n_words > 0").count()
     listed = (
