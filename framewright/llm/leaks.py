@@ -96,9 +96,10 @@ class Passages:
         self.letters = Letters.of(texts)
         at, h = self.letters.grams()
         order = np.argsort(h, kind="stable")
-        self.hash, self.place = h[order], at[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        self.place = at[order]
+        self.hash, self.first, self.many = np.unique(h[order], return_index=True, return_counts=True)
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.hash >> np.uint64(42)).astype(np.int64)] = True
         self.sizes = np.array([len(t) for t in texts], np.int64)
         # per letter of the block: words (of all passages in a row) that start before it, and that end at or before it
         lengths = np.array([len(w) for t in texts for w in t], np.int64)
@@ -110,19 +111,23 @@ class Passages:
     def regions(self, letters: Letters) -> tuple[np.ndarray, ...]:
         """Runs of shared q-grams, (pair, first letter in the documents, in the passages, words), in bands worth verifying."""
         at, h = letters.grams()
-        keep = self.seen[(h >> np.uint64(44)).astype(np.int64)]
+        keep = self.seen[(h >> np.uint64(42)).astype(np.int64)]
         at, h = at[keep], h[keep]
-        first, last = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        many = last - first
+        found = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        same = self.hash[found] == h if len(self.hash) else np.zeros(len(h), bool)
+        at, found = at[same], found[same]
+        many = self.many[found]
         at = np.repeat(at, many)
         if not len(at):
             return at, at, at, at
         ends = np.cumsum(many)
         inner = np.arange(ends[-1]) - np.repeat(ends - many, many)
-        place = self.place[np.repeat(first, many) + inner]
-        # hits on one diagonal of two texts are neighbours once sorted by it
-        order = np.lexsort((at, at - place))
-        at, place = at[order], place[order]
+        place = self.place[np.repeat(self.first[found], many) + inner]
+        # hits on one diagonal of two texts are neighbours once sorted by it; diagonal and place are packed into one word
+        base = len(self.letters.code)
+        packed = np.sort(((at - place + base) << 32) | at)
+        at = packed & 0xFFFFFFFF
+        place = at - ((packed >> 32) - base)
         owner, passage = letters.owner[at], self.letters.owner[place]
         fresh = np.ones(len(at), bool)
         fresh[1:] = (np.diff(at) != 1) | (np.diff(place) != 1) | (np.diff(owner) != 0) | (np.diff(passage) != 0)
@@ -235,6 +240,9 @@ def stretches(place: list[int]) -> list[tuple[int, int, int, int]]:
     j = np.array([place[k] for k in hits])
     gap = np.maximum(np.diff(i), np.diff(j)) - 1  # words altered, missing or added between two hits
     cost = np.concatenate([[0], np.cumsum(gap)])
+    span = i[:, None] - i[None, :] + 1
+    if not ((span >= STRETCH) & (cost[:, None] - cost[None, :] <= np.floor(ALTERED * span + 1e-9))).any():
+        return []
     best, via = [0] * (len(hits) + 1), [None] * (len(hits) + 1)
     for b in range(len(hits)):
         best[b + 1], via[b + 1] = best[b], None

@@ -19,10 +19,14 @@ FOREIGN = frozenset(
 )
 # Words that legal notices use and prose here doesn't.
 NOTICE = re.compile(
-    r"redistribut|warrant|copyright|all rights reserved|licen[cs]ed? under|merchantab|permission is hereby|\(c\) ?\d{4}|liabilit"
-    r"|provided that attribution|derivative compilations|without express",
+    r"(?:redistribut|warrant|copyright|all rights reserved|licen[cs]ed? under|merchantab|permission is hereby|\(c\) ?\d{4}|liabilit"
+    r"|provided that attribution|derivative compilations|without express)",
     re.I,
 )
+NOTICE_STEMS = (
+    "redistribut", "warrant", "copyright", "rights reserved", "licen", "merchantab", "permission is hereby", "(c)", "liabilit",
+    "provided that attribution", "derivative compilations", "without express",
+)
 _INVISIBLE = {c: None for c in [0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x200E, 0x200F]}
 _BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|blockquote|section|article|tr|body|html|hr)\b[^>]*>", re.I)
 _DROP_TAG = re.compile(r"<(script|style|pre|code|table|h[1-6]|title|a|nav|footer)\b[^>]*>.*?</\1\s*>", re.I | re.S)
@@ -30,6 +34,8 @@ _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,400}>")
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _LINK = re.compile(r"\[([^\]]*)\]\([^)\s]*\)|(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 _MARK = re.compile(r"^[ \t]*(?:(?:[-*+•‣·–—]|>+|\d{1,3}[.)]|\(\d{1,3}\))[ \t]+)+")
+_OTHER = re.compile(r"[\W\d_]+")
+_CODE_MARK = re.compile(r"[;:{}=(]")
 _WORD = re.compile(r"[a-z]+(?:['’-][a-z]+)*")
 _CODE = re.compile(r"[;{}=]\s*$|^\s*(?:def|for|if|while|return|import|class|var|let|const|function)\b.*[:({;]|\w+\(.*\)\s*;?\s*$|^\s*\w+(\[[^\]]*\])?\s*=[^=]")
 
@@ -76,7 +82,7 @@ def blocks(text: str) -> list[str]:
         line = raw.strip()
         marked = _MARK.match(raw)
         body = _MARK.sub("", raw).strip() if marked else line
-        letters = sum(c.isalpha() for c in body)
+        letters = len(_OTHER.sub("", body))
         quoted = line.startswith(">")
         if (
             not body
@@ -84,7 +90,7 @@ def blocks(text: str) -> list[str]:
             or body.count("|") >= 2
             or "\t" in body and len(re.findall(r"\t", body)) >= 2 and letters < 0.6 * len(body)
             or letters < 0.5 * len(body)
-            or _CODE.search(raw)
+            or _CODE_MARK.search(raw) and _CODE.search(raw)
         ):
             close()
             continue
@@ -102,8 +108,10 @@ def sentences(text: str) -> list[list[str]]:
     without a stop), notices and runs that aren't English prose are left out.
     """
     found = []
+    low = (text or "").lower()
+    noticed = any(stem in low for stem in NOTICE_STEMS)
     for block in blocks(text or ""):
-        if NOTICE.search(block):
+        if noticed and NOTICE.search(block):
             kept = [s for s in re.split(r"(?<=[.!?])\s+", block) if not NOTICE.search(s)]
             block = " ".join(kept)
         stops = re.search(r"[.!?…]", block)
