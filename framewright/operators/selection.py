@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEMPORAL_MODES = ("known", "pose_only", "all")
+TEMPORAL_MODES = ("known", "model_ready", "pose_only", "all")
 
 
 @dataclass(frozen=True)

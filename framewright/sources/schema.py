@@ -19,20 +19,20 @@ TABLES: dict[str, tuple[str, list[str]]] = {
     "rights_observations": ("id string, item_id string, license_raw string, license_expression string, terms_blob_sha256 string, robots_blob_sha256 string, observed_at string", ["id"]),
     "derivations": ("id string, child_sha256 string, parent_sha256 string, operation string, parameters_json string", ["id"]),
     "sequences": ("id string, item_id string, source_blob_sha256 string, extraction_method string, width int, height int, frame_count int, loop_mode string, action string, direction string, quality_tier string, metadata_json string, extraction_confidence double", ["id"]),
-    "frames": ("sequence_id string, ordinal int, blob_sha256 string, duration_ms int, bbox_json string", ["sequence_id", "ordinal"]),
+    "frames": ("sequence_id string, ordinal int, blob_sha256 string, duration_ms int, bbox_json string, metadata_json string", ["sequence_id", "ordinal"]),
     "captions": ("id string, sequence_id string, text string, structured_json string, method string, prompt_hash string, confidence double", ["id"]),
     "dataset_snapshots": ("id string, name string, manifest_sha256 string, created_at string", ["id"]),
     "dataset_members": ("snapshot_id string, sequence_id string, split string, sample_weight double, decision string, reason string", ["snapshot_id", "sequence_id"]),
     "events": ("id bigint, event_type string, entity_type string, entity_id string, payload_json string, created_at string", ["id"]),
     "entities": ("id string, source_id string, external_identity_key string, display_name string, entity_class string, entity_subclass string, species_or_type string, taxonomy_version string", ["source_id", "external_identity_key"]),
     "sequence_subjects": ("sequence_id string, entity_id string, role string, metadata_json string", ["sequence_id", "entity_id", "role"]),
-    "motion_annotations": ("sequence_id string, normalized_action string, action_family string, view string, direction string, loopable int, cycle_frames int, phase_zero_frame int, confidence double, conditioning_json string", ["sequence_id"]),
+    "motion_annotations": ("sequence_id string, vocabulary_version string, source_action string, normalized_action string, action_family string, view string, direction string, loopable int, cycle_frames int, phase_zero_frame int, confidence double, annotation_method string, conditioning_json string", ["sequence_id"]),
     "archive_inventories": ("archive_blob_sha256 string, member_count int, file_count int, total_bytes bigint, compressed_bytes bigint, inventory_sha256 string", ["archive_blob_sha256"]),
     "archive_members": ("archive_blob_sha256 string, ordinal int, normalized_path string, size_bytes bigint, compressed_bytes bigint, crc32 bigint, compression_method int, inspection_status string, extracted_blob_sha256 string", ["archive_blob_sha256", "ordinal"]),
     "media_observations": ("blob_sha256 string, inspector_version string, inspected_at string, format string, width int, height int, has_alpha int, is_animated int, frame_count int, total_duration_ms double, palette_sha256 string, pixel_sha256 string", ["blob_sha256", "inspector_version"]),
     "duplicate_edges": ("id string, left_blob_sha256 string, right_blob_sha256 string, method string, distance double, parameters_json string", ["left_blob_sha256", "right_blob_sha256", "method"]),
-    "sequence_occurrences": ("sequence_id string, archive_blob_sha256 string, member_ordinal int, role string", ["sequence_id", "archive_blob_sha256", "member_ordinal", "role"]),
-    "sequence_frames": ("sequence_id string, ordinal int, source_blob_sha256 string, source_frame_index int, duration_ms double, phase double", ["sequence_id", "ordinal"]),
+    "sequence_occurrences": ("sequence_id string, archive_blob_sha256 string, archive_member_ordinal int, occurrence_role string", ["sequence_id", "archive_blob_sha256", "archive_member_ordinal", "occurrence_role"]),
+    "sequence_frames": ("sequence_id string, ordinal int, source_blob_sha256 string, source_frame_index int, duration_ms double, phase double, direction string, view string, metadata_json string", ["sequence_id", "ordinal"]),
     "sequence_source_keys": ("source_id string, external_sequence_key string, sequence_id string", ["source_id", "external_sequence_key"]),
 }
 

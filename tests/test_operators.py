@@ -272,6 +272,6 @@ def test_schema(spark, tmp_path):
     assert len(schema.TABLES) == 25
     for name in schema.TABLES:
         assert schema.read(spark, str(tmp_path), name).count() == 0
-    df = spark.createDataFrame([("s", 0, "zz", 0, -1.0, 2.0), ("s", 1, None, 0, 1.0, 0.5)], schema.TABLES["sequence_frames"][0])
+    df = spark.createDataFrame([("s", 0, "zz", 0, -1.0, 2.0, None, None, None), ("s", 1, None, 0, 1.0, 0.5, None, None, None)], schema.TABLES["sequence_frames"][0])
     got = {r["ordinal"]: r["exclusion_reasons"] for r in schema.checked(df, "sequence_frames").collect()}
     assert got == {0: ["bad_source_blob_sha256", "negative_duration_ms", "range_phase"], 1: []}
