@@ -142,10 +142,11 @@ def assignments(spark: SparkSession, samples: DataFrame, policy: SplitPolicy) ->
         F.transform("source_blob_sha256", lambda d: F.concat(F.lit("blob:"), d)),
         F.transform("duplicate_group_ids", lambda d: F.concat(F.lit("group:"), d))))).alias("token"))
     found = components(spark, star_edges(tokens, "sequence_id", "token"))
-    # one component may hold a third of all samples, so its name is hashed from a bounded digest of its members
-    named = found.groupBy("component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
-    named = named.select("component", "n", F.concat(F.lit("component:"), F.sha2(F.concat_ws(chr(0), "component", "n", "x"), 256)).alias("component_id"))
-    placed = found.join(named, "component").select(F.col("node").alias("sequence_id"), "component_id", "n")
+    # named after its first member, so a component of any size is named without gathering it, and keeps its split as it grows
+    sizes_of = found.groupBy("component").agg(F.count("*").alias("n"))
+    placed = found.join(sizes_of, "component").select(
+        F.col("node").alias("sequence_id"), F.concat(F.lit("component:"), F.sha2("component", 256)).alias("component_id"), "n"
+    )
     if policy.strategy == "hash":
         return placed.select("sequence_id", "component_id", hash_split(policy.seed, F.col("component_id"), policy.ratios).alias("split"))
     sizes = sorted((r["component_id"], r["n"]) for r in placed.select("component_id", "n").distinct().collect())
@@ -223,15 +224,32 @@ def driver_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     tables["sequence_source_keys"] = shaped(rows.where("source_id is not null").select("source_id", F.col("sequence_id").alias("external_sequence_key"), "sequence_id"), "sequence_source_keys")
     tables["entities"] = shaped(rows.where("identity_id is not null").groupBy(F.col("identity_id").alias("id")).agg(F.min("source_id").alias("source_id"), F.lit("creature").alias("entity_class")), "entities")
     tables["sequence_subjects"] = shaped(rows.where("identity_id is not null").select("sequence_id", F.col("identity_id").alias("entity_id"), F.lit("primary").alias("role")), "sequence_subjects")
+    tables["sequence_occurrences"] = shaped(rows.where(blob.isNotNull()).select("sequence_id", blob.alias("archive_blob_sha256"), F.lit(0).alias("archive_member_ordinal"), F.lit("member").alias("occurrence_role")), "sequence_occurrences")
     tables["sequence_frames"] = shaped(rows.select("sequence_id", blob.alias("source_blob_sha256"), F.posexplode("frame_phases").alias("ordinal", "phase"), F.lit(100.0).alias("duration_ms")), "sequence_frames")
     return tables
 
 
 def dataset_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Samples of the test tables with component and split; sequences without a source key keep their identity's pack apart."""
+    """Samples of the test tables with component and split, tied by identity, source file and pack."""
     shot = snapshot_of(spark, driver_index(spark, root), Filters(minimum_frames=2, temporal_mode="known"), SplitPolicy())
     return shot.samples.join(shot.assignments, "sequence_id").select("sequence_id", "identity_id", "source_pack_id", "action", "frame_count", "component_id", "split")
 
 
 QUERIES = {"dataset_snapshot": dataset_snapshot}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "dataset_snapshot": """
+        WITH RECURSIVE p AS (SELECT *, regexp_replace(regexp_replace(lower(source_file_sha256), 'sha-?256', ''), '[^0-9a-z]+', '', 'g') AS f
+            FROM (SELECT DISTINCT ON (sequence_id) * FROM prepared_broad_rows ORDER BY sequence_id)),
+        q AS (SELECT *, CASE WHEN regexp_full_match(f, '[0-9a-f]{64}') AND NOT regexp_full_match(f, '0+') THEN f END AS file,
+            least(source_id, min(source_id) OVER (PARTITION BY identity_id)) AS src FROM p),
+        s AS (SELECT sequence_id, coalesce(identity_id, 'unassigned:' || sequence_id) AS identity_id,
+            coalesce('archive:' || file, 'source:' || coalesce(CASE WHEN identity_id IS NULL THEN source_id ELSE src END, 'unresolved')) AS source_pack_id,
+            lower(coalesce(nullif(trim(action), ''), 'unknown')) AS action, CAST(len(frame_phases) AS INTEGER) AS frame_count FROM q WHERE len(frame_phases) >= 2),
+        t AS (SELECT sequence_id, 'i' || identity_id AS token FROM s UNION ALL SELECT sequence_id, 'p' || source_pack_id FROM s),
+        c AS (SELECT token, min(sequence_id) AS centre FROM t GROUP BY 1), e AS (SELECT DISTINCT sequence_id AS a, centre AS b FROM t JOIN c USING (token)),
+        w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM w UNION SELECT r.node, w.b FROM r JOIN w ON r.seen = w.a),
+        g AS (SELECT node AS sequence_id, 'component:' || sha256(min(seen)) AS component_id FROM r GROUP BY 1),
+        h AS (SELECT *, ('0x' || substr(sha256('snapshot' || chr(0) || component_id), 1, 16))::UBIGINT AS x FROM g)
+        SELECT s.*, component_id, CASE WHEN x < %d::UBIGINT THEN 'train' WHEN x < %d::UBIGINT THEN 'validation' ELSE 'test' END AS split FROM s JOIN h USING (sequence_id)
+    """ % (int(0.8 * 2**64), int((0.8 + 0.1) * 2**64)),
+}
