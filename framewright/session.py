@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +70,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(parallel_tasks(spark))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of a session, once, so they need no path of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_framewright_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="framewright-code-")
+    _local_roots.append(folder)  # the driver serves the file to the executors
+    path = os.path.join(folder, "framewright.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._framewright_shipped = True
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
