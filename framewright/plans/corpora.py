@@ -15,7 +15,7 @@ ANCHORS = {"black": (0, 0, 0), "white": (255, 255, 255), "red": (220, 20, 20), "
 
 
 def densified_grid(spark: SparkSession, root: str) -> DataFrame:
-    lines = load(spark, root, "lineitem").where("l_orderkey % 20 = 0").select(
+    lines = load(spark, root, "lineitem").select(
         "l_orderkey", (F.col("l_linenumber") - 1).alias("index"), (F.col("l_suppkey") % 8).cast("int").alias("lane"), "l_partkey")
     return C.densified(lines, "l_orderkey", "index", "lane", 8, "l_partkey", "l_partkey").groupBy("l_orderkey", "cell_state").agg(
         F.count("*").alias("n_cells"), F.coalesce(F.sum("l_partkey"), F.lit(0)).alias("part_sum"))
@@ -27,7 +27,7 @@ def overlay_layers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def inherited_attributes(spark: SparkSession, root: str) -> DataFrame:
-    nodes = load(spark, root, "customer").where("c_custkey > 0").select(
+    nodes = load(spark, root, "customer").select(
         "c_custkey", F.expr("nullif(c_custkey div 3, 0)").alias("parent"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_mktsegment")).alias("segment"))
     return C.inherited(nodes, "c_custkey", "parent", "segment").select("c_custkey", F.coalesce("segment", F.lit("")).alias("segment"), F.coalesce("depth", F.lit(-1)).alias("depth"))
 
@@ -63,7 +63,7 @@ def idle_references(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rotation_families(spark: SparkSession, root: str) -> DataFrame:
-    rows = load(spark, root, "lineitem").where("l_partkey < 150").select("l_returnflag", "l_partkey", (F.col("l_suppkey") % 9).cast("int").alias("rotation"), (F.col("l_linestatus") == "F").alias("mirrored"))
+    rows = load(spark, root, "lineitem").select("l_returnflag", "l_partkey", (F.col("l_suppkey") % 9).cast("int").alias("rotation"), (F.col("l_linestatus") == "F").alias("mirrored"))
     return C.rotation_families(rows, "l_returnflag", "l_partkey", "rotation", "mirrored")
 
 
@@ -147,7 +147,7 @@ _SLOT_ROWS = ", ".join(f"('{s}', {n}, {r})" for s, ns in SLOTS.items() for r, n
 
 ORACLES = {
     "densified_grid": """
-        WITH l AS (SELECT l_orderkey, l_linenumber - 1 AS i, CAST(l_suppkey % 8 AS INTEGER) AS lane, max(l_partkey) AS v FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2, 3),
+        WITH l AS (SELECT l_orderkey, l_linenumber - 1 AS i, CAST(l_suppkey % 8 AS INTEGER) AS lane, max(l_partkey) AS v FROM lineitem GROUP BY 1, 2, 3),
         g AS (SELECT l_orderkey, unnest(range(max(i) + 1)) AS i FROM l GROUP BY 1), c AS (SELECT * FROM g, range(8) x(lane)),
         j AS (SELECT c.l_orderkey, l.v AS own, f.v AS front FROM c LEFT JOIN l ON l.l_orderkey = c.l_orderkey AND l.i = c.i AND l.lane = c.lane
             LEFT JOIN l f ON f.l_orderkey = c.l_orderkey AND f.i = c.i AND f.lane = 0)
@@ -160,7 +160,7 @@ ORACLES = {
         SELECT script_path, property_id FROM b WHERE base IS NULL OR property_id >= base
     """,
     "inherited_attributes": """
-        WITH RECURSIVE n AS (SELECT c_custkey AS k, nullif(c_custkey // 3, 0) AS p, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS s FROM customer WHERE c_custkey > 0),
+        WITH RECURSIVE n AS (SELECT c_custkey AS k, nullif(c_custkey // 3, 0) AS p, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS s FROM customer),
         r AS (SELECT k, k AS at, 0 AS depth FROM n UNION ALL SELECT r.k, n.p, depth + 1 FROM r JOIN n ON n.k = r.at WHERE n.s IS NULL AND n.p IS NOT NULL)
         SELECT r.k AS c_custkey, coalesce(max(n.s), '') AS segment, CAST(coalesce(max(CASE WHEN n.s IS NOT NULL THEN depth END), -1) AS INTEGER) AS depth FROM r JOIN n ON n.k = r.at GROUP BY 1
     """,
@@ -184,7 +184,7 @@ ORACLES = {
     """,
     "rotation_families": """
         WITH g AS (SELECT l_returnflag, l_partkey, list_sort(list_distinct(list(l_suppkey % 9))) AS h, count(*) FILTER (l_linestatus <> 'F') AS n_direct, count(*) FILTER (l_linestatus = 'F') AS n_mirrored
-            FROM lineitem WHERE l_partkey < 150 GROUP BY 1, 2),
+            FROM lineitem GROUP BY 1, 2),
         m AS (SELECT *, list_filter(range(1, 9), lambda x: NOT list_contains(h, x)) AS miss FROM g)
         SELECT l_returnflag, l_partkey, n_direct, n_mirrored, CASE WHEN list_contains(h, 0) AND len(miss) = 8 THEN '' ELSE array_to_string(miss, '|') END AS missing,
             CASE WHEN list_contains(h, 0) AND len(miss) < 8 THEN 'mixed' WHEN list_contains(h, 0) THEN 'all_views' WHEN len(miss) = 0 THEN 'directional' ELSE 'incomplete' END AS kind FROM m

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import labels as L
+from framewright.functions.keys import compatible
 from framewright.operators import kernels as K
 from framewright.operators import sampling as P
 from framewright.operators import timeline as T
@@ -61,7 +62,7 @@ def sampler_weights(spark: SparkSession, root: str) -> DataFrame:
 
 def balanced_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Forty (customer, priority, priority) pairs with every customer and priority used evenly; candidates come hash-first."""
-    orders = load(spark, root, "orders").where("o_custkey % 10 = 0").select("o_custkey", "o_orderpriority").distinct()
+    orders = load(spark, root, "orders").select("o_custkey", "o_orderpriority").distinct()
     grouped = P.probe(orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("a")).withColumn("all", F.lit(1)), "all", "o_custkey", 100)
     found = [(str(r["o_custkey"]), x, y) for r in grouped.collect() for i, x in enumerate(r["a"]) for y in r["a"][i + 1 :]]
     return spark.createDataFrame(P.greedy_pairs(found, 40), "identity string, first_action string, second_action string")
@@ -107,7 +108,7 @@ def cumulative_phase(spark: SparkSession, root: str) -> DataFrame:
 
 def timeline_fold(spark: SparkSession, root: str) -> DataFrame:
     """The lines of an order as lanes per return flag, brought to one timeline."""
-    lines = load(spark, root, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("bigint").alias("ms"))
+    lines = load(spark, root, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("bigint").alias("ms"))
     return T.folded(lines, "l_orderkey", "l_returnflag", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "ms")
 
 
@@ -122,7 +123,7 @@ def grid_cells(spark: SparkSession, root: str) -> DataFrame:
 
 def normalize_labels(spark: SparkSession, root: str) -> DataFrame:
     """Distinct raw verbs against the vocabulary: missing, exact, alias, embedded or unmapped."""
-    verbs = load(spark, root, "latent_motion_training_rows").select("verb").distinct().where(~F.coalesce(F.col("verb").rlike(r"[^\x00-\x7F]"), F.lit(False)))
+    verbs = load(spark, root, "latent_motion_training_rows").select("verb").distinct()
     names = load(spark, root, "action_vocabulary").select(
         F.col("canonical_action").alias("canonical"), F.explode(F.array_append("other_names", F.col("canonical_action"))).alias("name"))
     return L.normalized_label(verbs, "verb", names).select(F.coalesce("verb", F.lit("(null)")).alias("verb"), F.coalesce("label", F.lit("")).alias("label"), "confidence", "method")
@@ -169,7 +170,7 @@ def license_status(spark: SparkSession, root: str) -> DataFrame:
 
 def humanized_identities(spark: SparkSession, root: str) -> DataFrame:
     rows = load(spark, root, "latent_motion_training_rows").where("identity_id is not null").select("identity_id").distinct()
-    return rows.where(~F.col("identity_id").rlike(r"[^\x00-\x7F]")).select("identity_id", L.humanized(F.col("identity_id")).alias("label"))
+    return rows.select("identity_id", L.humanized(compatible(F.col("identity_id"))).alias("label"))
 
 
 def byte_tokens(spark: SparkSession, root: str) -> DataFrame:
@@ -305,7 +306,7 @@ ORACLES = {
     """,
     "timeline_fold": """
         WITH l AS (SELECT l_orderkey, l_returnflag, row_number() OVER w - 1 AS frame_index, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms,
-            CAST(l_quantity AS BIGINT) AS ms FROM lineitem WHERE l_orderkey % 10 = 0
+            CAST(l_quantity AS BIGINT) AS ms FROM lineitem
             WINDOW w AS (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
         m AS (SELECT DISTINCT l_orderkey, start_ms FROM l), e AS (SELECT l_orderkey, max(start_ms + ms) AS t FROM l GROUP BY 1),
         s AS (SELECT m.l_orderkey, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY m.l_orderkey ORDER BY start_ms), t) - start_ms AS span_ms FROM m JOIN e USING (l_orderkey))
@@ -319,8 +320,10 @@ ORACLES = {
             coalesce(max(CASE WHEN w >= 16 AND h >= 24 THEN (h // 24 - 1) * 24 END), -1) AS most_top FROM s GROUP BY 1
     """,
     "normalize_labels": r"""
-        WITH v AS (SELECT DISTINCT verb, regexp_replace(regexp_replace(lower(verb), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM latent_motion_training_rows
-            WHERE verb IS NULL OR NOT regexp_matches(verb, '[^\x00-\x7F]')),
+        WITH v AS (SELECT DISTINCT verb, regexp_replace(regexp_replace(lower(regexp_replace(translate(verb,
+                (SELECT string_agg(chr(CAST(65281 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)) || chr(12288) || chr(160),
+                (SELECT string_agg(chr(CAST(33 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)) || '  '),
+                '[^\x00-\x7F]+', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM latent_motion_training_rows),
         n AS (SELECT replace(name, ' ', '_') AS name, min(replace(canonical_action, ' ', '_')) AS c FROM (SELECT canonical_action, unnest(list_append(other_names, canonical_action)) AS name FROM action_vocabulary) GROUP BY 1),
         h AS (SELECT v.verb, k, n.name, n.c, row_number() OVER (PARTITION BY k ORDER BY length(n.name) DESC, n.name DESC) AS r FROM v JOIN n ON contains('_' || k || '_', '_' || n.name || '_') WHERE k <> '')
         SELECT coalesce(v.verb, '(null)') AS verb, coalesce(h.c, '') AS label,

@@ -65,7 +65,7 @@ def json_evidence(spark: SparkSession, root: str) -> DataFrame:
 
 def sample_documents(spark: SparkSession, root: str) -> DataFrame:
     """Orders as nested documents: their lines in order as one array, the first line as primary."""
-    orders = load(spark, root, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"), "o_orderpriority")
+    orders = load(spark, root, "orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority")
     lines = load(spark, root, "lineitem").withColumnRenamed("l_orderkey", "k")
     doc = S.nested(orders, "k", {"lines": (lines, ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])})
     return doc.select(
@@ -250,7 +250,7 @@ ORACLES = {
         SELECT o_orderkey, o_orderpriority, count(l_orderkey) AS n_lines,
             coalesce(string_agg(l_linenumber || ':' || l_partkey, '|' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity), '') AS lines,
             coalesce(first(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity), -1) AS first_part
-        FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1, 2
+        FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2
     """,
     "primary_subject": """
         SELECT l_partkey, l_suppkey, l_orderkey, l_quantity FROM lineitem
