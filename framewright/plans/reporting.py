@@ -84,8 +84,9 @@ def duplicate_excess(spark: SparkSession, root: str) -> DataFrame:
 
 
 def multi_action_identities(spark: SparkSession, root: str) -> DataFrame:
+    """Every identity with more than one verb."""
     motions = load(spark, root, "latent_motion_training_rows").where("identity_id is not null")
-    return R.multi_label_groups(motions, "identity_id", "verb", "sequence_id", 20)
+    return R.multi_label_groups(motions, "identity_id", "verb", "sequence_id", 2)
 
 
 def nearest_rank_distribution(spark: SparkSession, root: str) -> DataFrame:

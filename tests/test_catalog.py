@@ -61,3 +61,9 @@ def test_inheritance_through_deep_chains_and_cycles(spark):
     got = {r["n"]: (r["v"], r["depth"]) for r in C.inherited(spark.createDataFrame(chain, "n int, p int, v string"), "n", "p", "v").collect()}
     assert all(got[i] == ("root", i) for i in range(20))
     assert got[100] == got[101] == got[200] == (None, None)
+
+
+def test_multi_action_identities_keeps_every_identity_with_two_verbs(spark, tmp_path):
+    rows = [("two", "run", "s2"), ("two", "jump", "s1"), ("two", "jump", "s1"), ("one", "run", "s3"), ("one", "run", "s4"), ("half", "run", "s5"), ("half", None, "s6"), (None, "run", "s7"), (None, "jump", "s8")]
+    spark.createDataFrame(rows, "identity_id string, verb string, sequence_id string").write.parquet(str(tmp_path / "latent_motion_training_rows.parquet"))
+    assert [tuple(r) for r in catalog.QUERIES["multi_action_identities"](spark, str(tmp_path)).collect()] == [("two", 2, "s1|s2")]
