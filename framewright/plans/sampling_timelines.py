@@ -174,9 +174,9 @@ def humanized_identities(spark: SparkSession, root: str) -> DataFrame:
 
 
 def byte_tokens(spark: SparkSession, root: str) -> DataFrame:
-    """Descriptions as byte token ids of bounded length."""
+    """Descriptions as byte token ids: up to 96 bytes between the marks of start and end."""
     rows = load(spark, root, "semantic_embedding_rows").where("description is not null").select("row_index", "description").distinct()
-    ids = L.token_ids(F.col("description"), 24)
+    ids = L.token_ids(F.col("description"), 98)
     return rows.select("row_index", F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("tokens"))
 
 

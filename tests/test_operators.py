@@ -17,6 +17,7 @@ from framewright.operators import sampling as P
 from framewright.operators import selection as S
 from framewright.operators import timeline as T
 from framewright.operators import vectors as V
+from framewright.plans import sampling_timelines as Q
 from framewright.sources import archives as A
 from framewright.sources import publish as W
 from framewright.sources import schema
@@ -275,3 +276,10 @@ def test_schema(spark, tmp_path):
     df = spark.createDataFrame([("s", 0, "zz", 0, -1.0, 2.0, None, None, None), ("s", 1, None, 0, 1.0, 0.5, None, None, None)], schema.TABLES["sequence_frames"][0])
     got = {r["ordinal"]: r["exclusion_reasons"] for r in schema.checked(df, "sequence_frames").collect()}
     assert got == {0: ["bad_source_blob_sha256", "negative_duration_ms", "range_phase"], 1: []}
+
+
+def test_byte_tokens_keeps_whole_descriptions(spark, tmp_path):
+    texts = ["a" * 23, "é" * 48, "b" * 95 + "é", None]
+    spark.createDataFrame(list(enumerate(texts)), "row_index bigint, description string").write.parquet(str(tmp_path / "semantic_embedding_rows.parquet"))
+    got = {r["row_index"]: [int(x) for x in r["tokens"].split()] for r in Q.byte_tokens(spark, str(tmp_path)).collect()}
+    assert got == {0: [1, *[100] * 23, 2, *[0] * 73], 1: [1, *[0xC3 + 3, 0xA9 + 3] * 48, 2], 2: [1, *[101] * 95, 2, 0]}
