@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,20 +126,42 @@ def sampler_weights(df: DataFrame, identity: str, action: str) -> DataFrame:
     return df.join(weights, [identity, action])
 
 
-def greedy_pairs(candidates: list[tuple[str, str, str]], most: int) -> list[tuple[str, str, str]]:
-    """Balanced (identity, action, action) pairs: each step takes the pair whose identity, pair and actions are least used so far."""
-    used_identity: dict[str, int] = {}
-    used_pair: dict[tuple[str, str], int] = {}
-    used_action: dict[str, int] = {}
+def pair_candidates(df: DataFrame, identity: str, action: str, most: int) -> DataFrame:
+    """(identity, first_action, second_action, n_identities): per pair of actions its first ``most`` identities, and how many have it.
+
+    Offers enough for ``most`` picks by ``greedy_pairs``: before the last of
+    them fewer than ``most`` identities are used, so of a pair with more
+    identities one of the first ``most`` is unused and precedes all others.
+    """
+    held = df.where(F.col(identity).isNotNull() & F.col(action).isNotNull()).groupBy(F.col(identity).alias("identity")).agg(F.array_sort(F.collect_set(action)).alias("_a"))
+    pairs = held.select("identity", F.explode(F.flatten(F.transform("_a", lambda x: F.transform(
+        F.filter("_a", lambda y: y > x), lambda y: F.struct(x.alias("first_action"), y.alias("second_action")))))).alias("p")).select("identity", "p.*")
+    names = ["first_action", "second_action"]
+    counts = pairs.groupBy(*names).agg(F.count("*").alias("n_identities"))
+    first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("identity"))).where(F.col("_r") <= most).drop("_r")
+    return first.join(counts, names).select("identity", *names, "n_identities")
+
+
+def greedy_pairs(candidates: list[tuple[str, str, str]], most: int, frequency: dict[tuple[str, str], int] | None = None) -> list[tuple[str, str, str]]:
+    """Balanced (identity, action, action) pairs, one best candidate at a time.
+
+    Best is that of the identity least used so far, then a pair not used yet,
+    the actions least used, the pair that fewest identities have, the names.
+    ``frequency`` is the number of identities of each pair; without it the
+    candidates are counted.
+    """
     left, out = set(candidates), []
+    held = frequency if frequency is not None else Counter(c[1:] for c in left)
+    used_identity: Counter[str] = Counter()
+    used_action: Counter[str] = Counter()
+    used_pairs: set[tuple[str, str]] = set()
     while left and len(out) < most:
-        best = min(left, key=lambda c: (used_identity.get(c[0], 0), used_pair.get(c[1:], 0), used_action.get(c[1], 0) + used_action.get(c[2], 0), c[1:], c[0]))
+        best = min(left, key=lambda c: (used_identity[c[0]], c[1:] in used_pairs, used_action[c[1]] + used_action[c[2]], held[c[1:]], c[1:], c[0]))
         left.discard(best)
         out.append(best)
-        used_identity[best[0]] = used_identity.get(best[0], 0) + 1
-        used_pair[best[1:]] = used_pair.get(best[1:], 0) + 1
-        for a in best[1:]:
-            used_action[a] = used_action.get(a, 0) + 1
+        used_identity[best[0]] += 1
+        used_pairs.add(best[1:])
+        used_action.update(best[1:])
     return out
 
 

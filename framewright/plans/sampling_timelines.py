@@ -61,11 +61,11 @@ def sampler_weights(spark: SparkSession, root: str) -> DataFrame:
 
 
 def balanced_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Forty (customer, priority, priority) pairs with every customer and priority used evenly; candidates come hash-first."""
-    orders = load(spark, root, "orders").select("o_custkey", "o_orderpriority").distinct()
-    grouped = P.probe(orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("a")).withColumn("all", F.lit(1)), "all", "o_custkey", 100)
-    found = [(str(r["o_custkey"]), x, y) for r in grouped.collect() for i, x in enumerate(r["a"]) for y in r["a"][i + 1 :]]
-    return spark.createDataFrame(P.greedy_pairs(found, 40), "identity string, first_action string, second_action string")
+    """Forty (customer, priority, priority) pairs with every customer and priority used evenly, chosen from all customers."""
+    orders = load(spark, root, "orders").select(F.col("o_custkey").cast("string").alias("identity"), "o_orderpriority")
+    found = P.pair_candidates(orders, "identity", "o_orderpriority", 40).collect()  # at most 40 for each pair of priorities
+    chosen = P.greedy_pairs([tuple(r)[:3] for r in found], 40, {(r["first_action"], r["second_action"]): r["n_identities"] for r in found})
+    return spark.createDataFrame(chosen, "identity string, first_action string, second_action string")
 
 
 def adjacent_transitions(spark: SparkSession, root: str) -> DataFrame:

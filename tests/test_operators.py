@@ -283,3 +283,24 @@ def test_byte_tokens_keeps_whole_descriptions(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "row_index bigint, description string").write.parquet(str(tmp_path / "semantic_embedding_rows.parquet"))
     got = {r["row_index"]: [int(x) for x in r["tokens"].split()] for r in Q.byte_tokens(spark, str(tmp_path)).collect()}
     assert got == {0: [1, *[100] * 23, 2, *[0] * 73], 1: [1, *[0xC3 + 3, 0xA9 + 3] * 48, 2], 2: [1, *[101] * 95, 2, 0]}
+
+
+def test_balanced_pairs_choose_from_every_identity(spark, tmp_path):
+    # 300 identities of three common pairs, and a rare pair of the identity last in order
+    held = {f"{i:03d}": ["a", "b", "c"] for i in range(300)} | {"zz": ["a", "x"], "solo": ["a"]}
+    rows = [(i, a) for i, actions in held.items() for a in actions]
+    df = spark.createDataFrame([*rows, *rows[:5], (None, "a"), (None, "b"), ("n", None)], "i string, a string")
+    every = [(i, x, y) for i, actions in held.items() for x in actions for y in actions if x < y]
+    found = P.pair_candidates(df, "i", "a", 40).collect()
+    assert len(found) == 3 * 40 + 1
+    frequency = {(r[1], r[2]): r[3] for r in found}
+    assert frequency == {("a", "b"): 300, ("a", "c"): 300, ("b", "c"): 300, ("a", "x"): 1}
+    chosen = P.greedy_pairs([tuple(r)[:3] for r in found], 40, frequency)
+    assert chosen == P.greedy_pairs(every, 40) and chosen[0] == ("zz", "a", "x")
+    # no more identities than picks: all candidates are offered
+    few = [c for c in every if c[0] < "005" or c[0] == "zz"]
+    near = df.where("i < '005' or i = 'zz'")
+    assert P.greedy_pairs([tuple(r)[:3] for r in P.pair_candidates(near, "i", "a", 40).collect()], 40) == P.greedy_pairs(few, 40)
+    spark.createDataFrame([(k, f"{p}") for k in range(500) for p in "abc"] + [(999, "a"), (999, "x")], "o_custkey bigint, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = [tuple(r) for r in Q.balanced_pairs(spark, str(tmp_path)).collect()]
+    assert len(got) == 40 and got[0] == ("999", "a", "x") and len({g[0] for g in got}) == 40
