@@ -5,8 +5,10 @@ levels on two shifted grids. Suffixes start at each pixel row, as frames lie in
 register; the suffix array over all pictures is built to the depth at which a
 suffix has shown MIN_VISIBLE visible pixels, distributed by that prefix. Cross-
 split suffixes with such a common prefix are neighbours in it and reveal shared
-spans, the spans of two pictures are merged into their coverage, and each pair
-is verified on the full pixels. Digests and identities are joined beside.
+spans, the spans of two pictures are merged into their coverage. As small edits in
+every row can break all spans, pictures also meet in a grid over the sums of their
+rows, in which no near pair is lost. The pairs of both paths are verified on the full
+pixels. Digests and identities are joined beside.
 """
 
 from __future__ import annotations
@@ -32,10 +34,13 @@ GRIDS = (0, STEP // 2)
 MIN_VISIBLE = 6
 #: Greatest mean difference of the 256 premultiplied values of near pictures.
 NEAR = 2.0
+#: Greatest sum of the differences of the row sums of near pictures, with room for rounding, and width of a grid cell.
+#: A cell is wider than twice the budget, so a row sum reaches one neighbouring cell at most.
+BUDGET, CELL = NEAR * BYTES + 1, 1040
 
 _RECORD = (
-    "sequence_id string, split string, source_key string, identity string, digest string, blank boolean, pic bigint, tone bigint, "
-    "spans array<struct<key:bigint,first:tinyint,rows:tinyint>>"
+    "sequence_id string, split string, source_key string, identity string, digest string, blank boolean, pic bigint, tone bigint, low bigint, high bigint, "
+    "spans array<struct<key:bigint,first:tinyint,rows:tinyint>>, cells array<bigint>"
 )
 
 
@@ -101,8 +106,44 @@ def tones(x: np.ndarray) -> np.ndarray:
     return quarter[:, 0] | quarter[:, 1] << 16 | quarter[:, 2] << 32 | quarter[:, 3] << 48
 
 
+def row_sums(x: np.ndarray) -> np.ndarray:
+    """The sums of the premultiplied values of each pixel row; together they differ by no more than the pictures do."""
+    return premultiplied(x).reshape(len(x), SIDE, SIDE * CHANNELS).sum(2, dtype=np.float64)
+
+
+def packed(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row sums without fractions, 16 bits each: of the upper and of the lower four rows."""
+    whole = np.floor(sums).astype(np.int64)
+    return tuple(whole[:, k] | whole[:, k + 1] << 16 | whole[:, k + 2] << 32 | whole[:, k + 3] << 48 for k in (0, 4))
+
+
+def cells(sums: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(picture, key) of the grid cell of the row sums, and where ``around`` says so of every cell that a near picture can lie in.
+
+    To leave a cell a row sum must change by its distance to the border, and
+    the changes of all rows together stay within the budget: about 33 cells.
+    """
+    cell = np.floor(sums / CELL).astype(np.int64)
+    up = sums - cell * CELL > CELL / 2
+    away = np.where(up, (cell + 1) * CELL - sums, sums - cell * CELL)
+    owner, rest = np.arange(len(sums)), np.full(len(sums), BUDGET)
+    for r in range(SIDE):
+        move = np.flatnonzero(around[owner] & (away[owner, r] <= rest))
+        moved = cell[move].copy()
+        moved[:, r] += np.where(up[owner[move], r], 1, -1)
+        cell, rest = np.concatenate([cell, moved]), np.concatenate([rest, rest[move] - away[owner[move], r]])
+        owner = np.concatenate([owner, owner[move]])
+    return owner, hashed(cell.view(np.uint64), 211).view(np.int64)
+
+
+def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """One list per row of the values it owns."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[np.argsort(owner, kind="stable")]))
+
+
 def _tone_gap(one: str, two: str) -> Column:
-    """Sum of the differences of the quarters' sums: never more than that of all values, but for rounding."""
+    """Sum of the differences of four packed sums: never more than that of all values, but for rounding."""
     quarter = lambda c, k: F.shiftright(c, 16 * k).bitwiseAND(F.lit(65535))
     return sum((F.abs(quarter(one, k) - quarter(two, k)) for k in range(4)), F.lit(0))
 
@@ -130,14 +171,19 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(np.concatenate(c)[order]) for c in (key, first, rows)], ["key", "first", "rows"]
         )
         ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        sums = row_sums(x)
+        cell_owner, cell_key = cells(sums[heads], ~train[at[heads]])
+        low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        low[at], high[at] = packed(sums)
         blank = np.zeros(n, bool)
         blank[at[~seen]] = True
         whole, tone, hidden = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
         whole[at[seen]], tone[at[seen]], hidden[at[seen]] = pic[seen], tones(x[seen]), False
         yield pa.RecordBatch.from_arrays(
             [b.column(c) for c in ("sequence_id", "split", "source_key", "identity", "digest")]
-            + [pa.array(blank), pa.array(whole, mask=hidden), pa.array(tone, mask=hidden), pa.ListArray.from_arrays(ends, items)],
-            names=["sequence_id", "split", "source_key", "identity", "digest", "blank", "pic", "tone", "spans"],
+            + [pa.array(blank), pa.array(whole, mask=hidden), pa.array(tone, mask=hidden), pa.array(low, mask=hidden), pa.array(high, mask=hidden)]
+            + [pa.ListArray.from_arrays(ends, items), _lists(at[heads][cell_owner], cell_key, n)],
+            names=["sequence_id", "split", "source_key", "identity", "digest", "blank", "pic", "tone", "low", "high", "spans", "cells"],
         )
 
 
@@ -186,6 +232,18 @@ class Overlaps:
         )
         self.records = self.scratch.write(typed.mapInArrow(_records, _RECORD), "records")
 
+    def _grid_pairs(self) -> DataFrame:
+        """(pic_train, pic_eval): different pictures whose row sums differ by no more than those of near pictures may."""
+        once = self.records.where("size(cells) > 0").select("pic", (F.col("split") == "train").alias("train"), "low", "high", "cells").dropDuplicates(["pic", "train"])
+        side = lambda train, name: once.where(F.col("train") == train).select(
+            F.explode("cells").alias("key"), F.col("pic").alias(f"pic_{name}"), F.col("low").alias(f"low_{name}"), F.col("high").alias(f"high_{name}"))
+        gap = _tone_gap("low_train", "low_eval") + _tone_gap("high_train", "high_eval")
+        return (
+            side(True, "train").join(side(False, "eval"), "key")
+            .where((F.col("pic_train") != F.col("pic_eval")) & (gap <= NEAR * BYTES + 8))
+            .select("pic_train", "pic_eval")
+        )
+
     def near_pictures(self) -> DataFrame:
         """(pic_train, pic_eval, rows_shared, away) of different pictures whose mean difference is at most NEAR."""
         suffixes = self.records.where("size(spans) > 0").select(
@@ -198,6 +256,8 @@ class Overlaps:
             train.join(held, "key")  # adaptive execution splits a crowded prefix
             .where(F.col("pic_train") != F.col("pic_eval"))
             .where(_tone_gap("tone_train", "tone_eval") <= NEAR * BYTES + 8)
+            .select("pic_train", "pic_eval", "mask")
+            .unionByName(self._grid_pairs().withColumn("mask", F.lit(0)))
             .groupBy("pic_train", "pic_eval")
             .agg(F.bit_count(F.bit_or("mask")).alias("rows_shared"))
         )

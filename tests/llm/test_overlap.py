@@ -111,3 +111,36 @@ def test_tones_bound_the_distance(spark):
     away = np.abs(M.premultiplied(x) - M.premultiplied(y)).sum((1, 2))
     assert all(g <= d + 8 for g, d in zip(gaps, away))
     assert F.col  # functions stay importable for the frame above
+
+
+def test_small_edits_in_every_row_are_found(spark):
+    # one value of a visible pixel of each row moved by 64, an even shift of 4 in half the values, strong edits of one pixel
+    rng = np.random.default_rng(6)
+    rows, want = [], set()
+    for i in range(150):
+        x = rng.integers(70, 186, (64, 4)).astype(np.uint8)
+        x[:, 3] = 255
+        local, even, strong = (x.astype(int) for _ in range(3))
+        for r in range(8):
+            local[8 * r + rng.integers(8), rng.integers(3)] += 64 * rng.choice([-1, 1])
+        even[:, 0] += 4
+        even[:, 1] -= 4
+        strong[rng.integers(64), :2] += 64
+        rows.append(row(f"t{i:03d}", "train", x))
+        for k, y in enumerate((local, even, strong)):
+            assert np.abs(M.premultiplied(x[None]).astype(float) - M.premultiplied(y[None].astype(np.uint8)).astype(float)).mean() <= M.NEAR
+            rows.append(row(f"v{k}{i:03d}", "test", y.astype(np.uint8)))
+            want.add((f"t{i:03d}", f"v{k}{i:03d}"))
+    got, every = found(spark, rows)
+    assert want <= set(got) and len(every) == len(set(every))
+    assert set(got.values()) == {"near picture"}
+
+
+def test_cells_hold_every_near_picture():
+    rng = np.random.default_rng(7)
+    one = np.concatenate([rng.uniform(0, 8160, (4000, 8)), rng.integers(0, 8, (2000, 8)) * M.CELL, np.zeros((10, 8))])
+    spend = rng.dirichlet(np.full(8, 0.4), len(one)) * rng.choice([512, 300, 20], (len(one), 1)) * rng.choice([-1, 1], one.shape)
+    two = np.maximum(one + spend, 0)
+    _, held = M.cells(one, np.zeros(len(one), bool))
+    owner, around = M.cells(two, np.ones(len(two), bool))
+    assert set(range(len(one))) == set(owner[around == held[owner]].tolist())
