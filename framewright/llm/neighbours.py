@@ -4,7 +4,9 @@ Every distinct vector is put in order along several space-filling curves, each
 over its own random rotation and shift. Vectors near each other in space are
 near in at least one order with high probability, so per curve each row meets
 the rows of its own, the preceding and the following window; the windows'
-results are merged and reranked by exact cosine.
+results are merged and reranked by exact cosine. Vectors of one cell of a curve
+are ordered by the same curve's next finer levels, so a dense group of near
+copies is ordered along each curve like the whole table.
 """
 
 from __future__ import annotations
@@ -23,10 +25,18 @@ DIMENSIONS = 64
 NEIGHBOURS = 5
 #: Orderings, rows per window, axes and bits per axis of a curve.
 CURVES, WINDOW, AXES, BITS = 12, 512, 8, 7
+#: Further bits per axis, each time BITS, that order the vectors of one cell.
+FINER = 2
+POSITIONS = ["position", *[f"finer{k}" for k in range(1, FINER + 1)]]
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Position along the Hilbert curve of integer cells [n, axes], axes * bits <= 63.
+    """Position along the Hilbert curve of integer cells [n, axes], axes * bits <= 63."""
+    return hilbert_keys(cells, bits, bits)[0]
+
+
+def hilbert_keys(cells: np.ndarray, bits: int, part: int) -> list[np.ndarray]:
+    """Position along the Hilbert curve of integer cells [n, axes] as keys of ``part`` levels each, coarsest first, axes * part <= 63.
 
     Per level from the coarsest, the orthant of a cell is read as a Gray code,
     after undoing the reflection and rotation that the levels above imply.
@@ -36,6 +46,7 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     entry = np.zeros(n, np.int64)  # corner where the curve enters the current cube
     turn = np.zeros(n, np.int64)  # rotation of the axes within the current cube
     key = np.zeros(n, np.int64)
+    keys = []
     for level in range(bits - 1, -1, -1):
         orthant = np.zeros(n, np.int64)
         for a in range(axes):
@@ -61,7 +72,10 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
         direction = np.where(rank == 0, 0, ones % axes)
         entry = entry ^ (((corner << by) | (corner >> (axes - by))) & full)
         turn = (turn + direction + 1) % axes
-    return key
+        if level % part == 0:
+            keys.append(key)
+            key = np.zeros(n, np.int64)
+    return keys
 
 
 def _matrix(column: pa.Array, width: int = DIMENSIONS) -> np.ndarray:
@@ -91,17 +105,19 @@ def _keyed(curves: list, bits: int = BITS):
                 continue
             x = _matrix(b.column("unit"))
             for j, (axes, mean, shift) in enumerate(curves):
-                z = x @ axes - mean
+                z = x.astype(np.float64) @ axes - mean
                 even = 1 / (1 + np.exp(-1.702 * z))  # near the normal distribution function
-                cells = np.minimum(((even * 0.5 + shift) * (1 << bits)).astype(np.int64), (1 << bits) - 1)
+                deep = bits * (1 + FINER)
+                cells = np.minimum(((even * 0.5 + shift) * (1 << deep)).astype(np.int64), (1 << deep) - 1)
+                positions = hilbert_keys(cells, deep, bits)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(x), j, np.int32)),
-                        pa.array(hilbert_key(cells, bits)),
+                        *[pa.array(p) for p in positions],
                         b.column("row_index"),
                         b.column("unit"),
                     ],
-                    names=["curve", "position", "row_index", "unit"],
+                    names=["curve", *POSITIONS, "row_index", "unit"],
                 )
 
     return run
@@ -219,11 +235,11 @@ def nearest(
     outer = np.sum([p["outer"] for p in parts], axis=0).reshape(DIMENSIONS, DIMENSIONS) if parts else np.eye(DIMENSIONS)
     cov = outer / max(n, 1) - np.outer(mean, mean)
     keyed = distinct.mapInArrow(
-        _keyed(list(_curves(curves, mean, cov, seed))), "curve int, position bigint, row_index bigint, unit array<float>"
+        _keyed(list(_curves(curves, mean, cov, seed))), f"curve int, {', '.join(f'{p} bigint' for p in POSITIONS)}, row_index bigint, unit array<float>"
     )
     near = (
-        keyed.repartitionByRange(parallel_tasks(spark), "curve", "position")
-        .sortWithinPartitions("curve", "position", "row_index")
+        keyed.repartitionByRange(parallel_tasks(spark), "curve", *POSITIONS)
+        .sortWithinPartitions("curve", *POSITIONS, "row_index")
         .mapInArrow(_windows(k, window), "row_index bigint, near array<struct<away:double,other:bigint>>")
     )
     merged = (

@@ -58,3 +58,23 @@ def test_hilbert_neighbours_touch():
         key = N.hilbert_key(grid, bits)
         assert sorted(key) == list(range(len(grid)))
         assert np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(1).max() == 1
+
+
+def test_recall_in_a_dense_group_of_near_copies(spark):
+    # a third of the table around one direction, as close as scaled and encoded copies, far denser than a cell of the curves
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    spread_out = np.repeat(rng.normal(size=(200, 64)), 10, axis=0) + 0.3 * rng.normal(size=(2000, 64))
+    basis = rng.normal(size=(4, 64))
+    dense = centre + 0.0004 * rng.normal(size=(1000, 4)) @ basis
+    x = np.concatenate([spread_out, dense]).astype(np.float32)[rng.permutation(3000)]
+    ids = list(range(3000))
+    want = brute(ids, x, 5)
+    got = {}
+    for r in N.nearest(spark, table(spark, [(i, v.tolist()) for i, v in zip(ids, x)]), window=32).collect():
+        got.setdefault(r["row_index"], []).append(r["other"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = [i for i in ids if u[i] @ centre > 0.99]
+    assert len(group) == 1000
+    assert np.mean([len(set(want[i]) & set(got[i])) / 5 for i in group]) >= 0.9
