@@ -205,13 +205,18 @@ def snapshot_of(spark: SparkSession, tables: Mapping[str, DataFrame], filters: F
 
 
 def driver_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The test tables seen as a provenance index."""
-    from framewright.functions.keys import digest
+    """The test tables seen as a provenance index.
+
+    Entities are identities by their letters and digits. A sequence carries the
+    digest of its decoded array; equal arrays of differing files give star
+    edges from the array to each of the files.
+    """
+    from framewright.functions.keys import digest, letters_and_digits
     from framewright.session import load
 
     tables = {name: schema.empty(spark, name) for name in schema.TABLES}
-    rows = load(spark, root, "prepared_broad_rows").dropDuplicates(["sequence_id"])
-    blob = digest(F.col("source_file_sha256"))
+    rows = load(spark, root, "prepared_broad_rows").dropDuplicates(["sequence_id"]).withColumn("identity_id", letters_and_digits(F.col("identity_id")))
+    blob, array = digest(F.col("source_file_sha256")), digest(F.col("normalized_array_sha256"))
 
     def shaped(df: DataFrame, name: str) -> DataFrame:
         held = dict(df.dtypes)
@@ -219,18 +224,21 @@ def driver_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
     tables["items"] = shaped(load(spark, root, "corpus_items").dropDuplicates(["id"]), "items")
     tables["sequences"] = shaped(rows.select(
-        F.col("sequence_id").alias("id"), blob.alias("source_blob_sha256"), F.greatest(F.size("frame_phases"), F.lit(0)).alias("frame_count"),
+        F.col("sequence_id").alias("id"), F.coalesce(array, blob).alias("source_blob_sha256"), F.greatest(F.size("frame_phases"), F.lit(0)).alias("frame_count"),
         F.lit("loop").alias("loop_mode"), "action", F.lit("F0").alias("quality_tier")), "sequences")
     tables["sequence_source_keys"] = shaped(rows.where("source_id is not null").select("source_id", F.col("sequence_id").alias("external_sequence_key"), "sequence_id"), "sequence_source_keys")
     tables["entities"] = shaped(rows.where("identity_id is not null").groupBy(F.col("identity_id").alias("id")).agg(F.min("source_id").alias("source_id"), F.lit("creature").alias("entity_class")), "entities")
     tables["sequence_subjects"] = shaped(rows.where("identity_id is not null").select("sequence_id", F.col("identity_id").alias("entity_id"), F.lit("primary").alias("role")), "sequence_subjects")
     tables["sequence_occurrences"] = shaped(rows.where(blob.isNotNull()).select("sequence_id", blob.alias("archive_blob_sha256"), F.lit(0).alias("archive_member_ordinal"), F.lit("member").alias("occurrence_role")), "sequence_occurrences")
     tables["sequence_frames"] = shaped(rows.select("sequence_id", blob.alias("source_blob_sha256"), F.posexplode("frame_phases").alias("ordinal", "phase"), F.lit(100.0).alias("duration_ms")), "sequence_frames")
+    held = rows.select(array.alias("left_blob_sha256"), blob.alias("right_blob_sha256")).where("left_blob_sha256 is not null and right_blob_sha256 is not null").distinct()
+    shared = held.groupBy("left_blob_sha256").agg(F.count("*").alias("_n")).where("_n > 1").select("left_blob_sha256")
+    tables["duplicate_edges"] = shaped(held.join(shared, "left_blob_sha256").withColumn("id", F.concat_ws(":", F.lit("exact"), "left_blob_sha256", "right_blob_sha256")), "duplicate_edges")
     return tables
 
 
 def dataset_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Samples of the test tables with component and split, tied by identity, source file and pack."""
+    """Samples of the test tables with component and split, tied by identity, equal arrays, source file and pack."""
     shot = snapshot_of(spark, driver_index(spark, root), Filters(minimum_frames=2, temporal_mode="known"), SplitPolicy())
     return shot.samples.join(shot.assignments, "sequence_id").select("sequence_id", "identity_id", "source_pack_id", "action", "frame_count", "component_id", "split")
 

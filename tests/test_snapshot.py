@@ -82,3 +82,20 @@ def test_policy_and_balanced(spark):
     entities = [{"id": f"e{i}", "source_id": "s"} for i in range(30)]
     shot = N.snapshot_of(spark, index(spark, sequences=rows, sequence_subjects=subjects, entities=entities), Filters(), N.SplitPolicy(strategy="balanced"))
     assert {r["split"]: r["n"] for r in shot.assignments.groupBy("split").agg(F.count("*").alias("n")).collect()} == {"train": 24, "validation": 3, "test": 3}
+
+
+def test_driver_tables_tie_equal_arrays_and_spellings_of_an_identity(spark, tmp_path):
+    # array A lies in two files, B in a file and in none; two spellings of one identity; strangers named unknown
+    rows = [("q1", "Wolf", A, D), ("q2", "bear", A.upper(), E), ("q3", "WOLF!", None, None), ("q4", "Unknown", B, G), ("q5", "unknown", C, None), ("q6", "elk", B, None), ("q7", "owl", C[:-1] + "d", "0" * 64)]
+    table = [(s, i, "run", f"s{k}", array, file, [0.0, 0.5]) for k, (s, i, array, file) in enumerate(rows)]
+    columns = "sequence_id string, identity_id string, action string, source_id string, normalized_array_sha256 string, source_file_sha256 string, frame_phases array<double>"
+    spark.createDataFrame([*table, table[0]], columns).write.parquet(str(tmp_path / "prepared_broad_rows.parquet"))
+    spark.createDataFrame([("i", "s")], "id string, source_id string").write.parquet(str(tmp_path / "corpus_items.parquet"))
+    edges = N.driver_index(spark, str(tmp_path))["duplicate_edges"].collect()
+    assert {(r["left_blob_sha256"], r["right_blob_sha256"]) for r in edges} == {(A, D), (A, E)}
+    got = {r["sequence_id"]: r for r in N.dataset_snapshot(spark, str(tmp_path)).collect()}
+    groups = {}
+    for s, r in got.items():
+        groups.setdefault(r["component_id"], set()).add(s)
+    assert sorted(map(sorted, groups.values())) == [["q1", "q2", "q3"], ["q4", "q6"], ["q5"], ["q7"]]
+    assert all(len({got[s]["split"] for s in g}) == 1 for g in groups.values())
