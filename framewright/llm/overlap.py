@@ -1,19 +1,22 @@
 """p1: the same or nearly the same records across splits.
 
-A picture is read as a text of 64 pixel symbols, its channels cut into coarse
-levels on two shifted grids. Suffixes start at each pixel row, as frames lie in
-register; the suffix array over all pictures is built to the depth at which a
-suffix has shown MIN_VISIBLE visible pixels, distributed by that prefix. Cross-
-split suffixes with such a common prefix are neighbours in it and reveal shared
-spans, the spans of two pictures are merged into their coverage. As small edits in
-every row can break all spans, pictures also meet in a grid over the sums of their
-rows, in which no near pair is lost. The pairs of both paths are verified on the full
-pixels. Digests and identities are joined beside.
+A picture is read as a text of its visible pixels: each symbol is the step from
+the pixel before and the levels of its premultiplied colours, and each suffix
+starts with its place in the frame, as frames lie in register. The suffixes of
+all pictures, from every visible pixel, are put in order in partitions, cut at
+DEPTH symbols; longer common prefixes show as chains of starts. Neighbours in
+this order with a common prefix of LEAST symbols or more form an interval, in
+which suffixes of train and evaluation pictures share a span; the spans of two
+pictures are merged into the pixels they cover in common. As small edits in every
+row can break all spans, pictures also meet in a grid over the sums of their
+rows, in which no near pair is lost. The pairs of both paths are verified on the
+full pixels. Digests and identities are joined beside.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +24,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.keys import digest, letters_and_digits, split_name
-from framewright.operators.skew import salted_join
-from framewright.session import Scratch, load, spread
+from framewright.operators.skew import lookup_join, salted_join
+from framewright.session import Scratch, load, parallel_tasks, spread
 
 SIDE, CHANNELS = 8, 4
 PIXELS = SIDE * SIDE
 BYTES = PIXELS * CHANNELS
-#: Channel levels of a symbol are STEP wide; the second grid is shifted by half a step.
-STEP = 64
-GRIDS = (0, STEP // 2)
-#: Visible pixels that the common prefix of two suffixes must show.
-MIN_VISIBLE = 6
+#: Colour levels of a symbol are STEP wide, and a step of FAR pixels or more ends a text.
+STEP, FAR = 64, 16
+#: Symbols to which the suffix array is kept, and least common prefix of neighbours.
+DEPTH, LEAST = 6, 5
+#: Bits of a symbol: four for the step, six for the levels; a word starts with the place of its first pixel.
+SYMBOL, LEVELS = 10, 6
+#: Pairs that one step compares, and estimated suffixes beyond which an interval is dealt over SALTS tasks.
+PAIRS, CROWDED, SALTS = 1 << 21, 500_000, 16
+#: One picture in SAMPLED tells which intervals are crowded; it decides where they are compared, never what.
+SAMPLED = 64
 #: Greatest mean difference of the 256 premultiplied values of near pictures.
 NEAR = 2.0
 #: Greatest sum of the differences of the row sums of near pictures, with room for rounding, and width of a grid cell.
@@ -39,8 +47,8 @@ NEAR = 2.0
 BUDGET, CELL = NEAR * BYTES + 1, 1040
 
 _RECORD = (
-    "sequence_id string, split string, source_key string, identity string, digest string, blank boolean, pic bigint, tone bigint, low bigint, high bigint, "
-    "spans array<struct<key:bigint,first:tinyint,rows:tinyint>>, cells array<bigint>"
+    "sequence_id string, split string, source_key string, identity string, digest string, blank boolean, pic bigint, image string, low bigint, high bigint, "
+    "cells array<bigint>"
 )
 
 
@@ -61,9 +69,14 @@ def hashed(words: np.ndarray, seed: int) -> np.ndarray:
 
 def pictures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(positions, pixels [n, 64, 4]) of the values that are whole frames; hidden pixels are zeroed."""
-    values = column.to_pylist()
-    at = np.array([i for i, v in enumerate(values) if v is not None and len(v) == BYTES], np.int64)
-    x = np.frombuffer(b"".join(values[i] for i in at), np.uint8).reshape(-1, PIXELS, CHANNELS).copy()
+    column = column.cast(pa.binary())
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, np.int64), np.zeros((0, PIXELS, CHANNELS), np.uint8)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    whole = (np.diff(ends) == BYTES) & ~np.asarray(column.is_null())
+    at = np.flatnonzero(whole)
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    x = data[ends[at][:, None] + np.arange(BYTES)].reshape(-1, PIXELS, CHANNELS)
     x[x[:, :, 3] == 0] = 0
     return at, x
 
@@ -74,36 +87,45 @@ def premultiplied(x: np.ndarray) -> np.ndarray:
     return v
 
 
-def spans(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
-    """(picture, key, first row, rows) of each suffix prefix that shows enough visible pixels.
+def suffixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(picture, word) of each suffix: the place of its first pixel, its levels, and DEPTH - 1 times step and levels.
 
-    A picture with fewer visible pixels than MIN_VISIBLE has one span, its whole text.
+    Words compare like the suffixes they start. A suffix that ends before DEPTH
+    symbols adds nothing to those before it and is kept only where the whole
+    picture shows fewer visible pixels; its word is filled up with the end, zero.
     """
-    shown = (x[:, :, 3] > 0).reshape(-1, SIDE, SIDE).sum(2)
-    before = np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(shown, axis=1)], axis=1)
-    value = premultiplied(x)
-    found = []
-    for grid in GRIDS:
-        level = ((value + grid) // STEP).astype(np.uint16)
-        symbol = ((level[:, :, 0] * 5 + level[:, :, 1]) * 5 + level[:, :, 2]) * 5 + level[:, :, 3]
-        words = np.ascontiguousarray(symbol.reshape(-1, SIDE, SIDE)).view(np.uint64)  # [n, rows, 2]
-        row = np.stack([hashed(words[:, r], 101 + r) for r in range(SIDE)], axis=1)
-        sums = np.concatenate([np.zeros((len(x), 1), np.uint64), np.cumsum(row, axis=1, dtype=np.uint64)], axis=1)
-        for first in range(SIDE):
-            reach = before[:, first + 1 :] - before[:, first : first + 1]
-            enough = reach >= MIN_VISIBLE
-            rows = np.where(enough.any(1), enough.argmax(1) + 1, SIDE - first if first == 0 else 0)
-            at = np.flatnonzero((rows > 0) & (before[:, -1] > 0))
-            h = sums[at, first + rows[at]] - sums[at, first]
-            key = mixed(h + np.uint64(grid * 1_000_003 + first * 64 + 1) * mixed(rows[at].astype(np.uint64)))
-            found.append((at, key.view(np.int64), first, rows[at]))
-    return found
-
-
-def tones(x: np.ndarray) -> np.ndarray:
-    """The sums of the premultiplied values of each quarter of a picture, 16 bits each."""
-    quarter = np.floor(premultiplied(x).reshape(len(x), 4, BYTES // 4).sum(2)).astype(np.int64)
-    return quarter[:, 0] | quarter[:, 1] << 16 | quarter[:, 2] << 32 | quarter[:, 3] << 48
+    owner, place = np.nonzero(x[:, :, 3] > 0)
+    level = np.minimum(premultiplied(x)[owner, place, :3] / STEP, 3).astype(np.int64)
+    levels = level[:, 0] << 4 | level[:, 1] << 2 | level[:, 2]
+    n = len(owner)
+    word = (place << LEVELS) | levels
+    inside = np.ones(n, bool)
+    for k in range(1, DEPTH):
+        at = np.minimum(np.arange(n) + k, n - 1)
+        step = place[at] - place[at - 1] if n else place
+        inside &= (np.arange(n) + k < n) & (owner[at] == owner) & (step < FAR)
+        word = (word << SYMBOL) | np.where(inside, (step << LEVELS) | levels[at], 0)
+    shown = np.bincount(owner, minlength=len(x))
+    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if n else inside
+    kept = inside | (first & (shown[owner] < DEPTH))
+    return owner[kept], word[kept]
+
+
+def span_mask(word: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The pixels that the first ``symbols`` symbols of a word show, one bit each."""
+    place = word >> (LEVELS + SYMBOL * (DEPTH - 1))
+    mask = np.uint64(1) << place.astype(np.uint64)
+    for k in range(1, DEPTH):
+        step = (word >> (SYMBOL * (DEPTH - 1 - k) + LEVELS)) & (FAR - 1)
+        place = place + step
+        mask |= np.where((k < symbols) & (step > 0), np.uint64(1) << (place & 63).astype(np.uint64), np.uint64(0))
+    return mask.view(np.int64)
+
+
+def halves(x: np.ndarray) -> np.ndarray:
+    """Sums of the premultiplied values of the upper and the lower half of a picture, 15 bits each."""
+    half = np.floor(premultiplied(x).reshape(len(x), 2, BYTES // 2).sum(2)).astype(np.int64)
+    return half[:, 0] << 15 | half[:, 1]
 
 
 def row_sums(x: np.ndarray) -> np.ndarray:
@@ -142,55 +164,106 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[np.argsort(owner, kind="stable")]))
 
 
-def _tone_gap(one: str, two: str) -> Column:
+def _gap(one: str, two: str) -> Column:
     """Sum of the differences of four packed sums: never more than that of all values, but for rounding."""
     quarter = lambda c, k: F.shiftright(c, 16 * k).bitwiseAND(F.lit(65535))
     return sum((F.abs(quarter(one, k) - quarter(two, k)) for k in range(4)), F.lit(0))
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records with blank flag and picture hash; of equal pictures of one side in a batch one carries the spans."""
+    """Records with blank flag, picture hash and a 128-bit name of the picture; of equal pictures of one side in a batch one carries the cells."""
     for b in batches:
         n = b.num_rows
         at, x = pictures(b.column("rgba"))
-        pic = hashed(np.ascontiguousarray(x).reshape(len(x), BYTES).view(np.uint64), 7).view(np.int64)
+        pic = hashed(x.reshape(len(x), BYTES).view(np.uint64), 7).view(np.int64)
         seen = (x[:, :, 3] > 0).any(1)
         train = np.array([s == "train" for s in b.column("split").to_pylist()], bool)
         _, heads = np.unique(np.stack([pic, train[at].astype(np.int64)], axis=1)[seen], axis=0, return_index=True)
         heads = np.flatnonzero(seen)[heads]
-        owner, key, first, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)], [np.zeros(0, np.int8)]
-        for o, k, f, r in spans(x[heads]):
-            owner.append(at[heads][o])
-            key.append(k)
-            first.append(np.full(len(o), f, np.int8))
-            rows.append(r.astype(np.int8))
-        owner = np.concatenate(owner)
-        order = np.argsort(owner, kind="stable")
-        sizes = np.bincount(owner, minlength=n) if n else np.zeros(0, np.int64)
-        items = pa.StructArray.from_arrays(
-            [pa.array(np.concatenate(c)[order]) for c in (key, first, rows)], ["key", "first", "rows"]
-        )
-        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         sums = row_sums(x)
         cell_owner, cell_key = cells(sums[heads], ~train[at[heads]])
         low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
         low[at], high[at] = packed(sums)
         blank = np.zeros(n, bool)
         blank[at[~seen]] = True
-        whole, tone, hidden = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-        whole[at[seen]], tone[at[seen]], hidden[at[seen]] = pic[seen], tones(x[seen]), False
+        whole, hidden = np.zeros(n, np.int64), np.ones(n, bool)
+        whole[at[seen]], hidden[at[seen]] = pic[seen], False
+        image: list[str | None] = [None] * n
+        for k, v in zip(at[seen], x[seen]):
+            image[k] = blake2b(v.tobytes(), digest_size=16).hexdigest()
         yield pa.RecordBatch.from_arrays(
             [b.column(c) for c in ("sequence_id", "split", "source_key", "identity", "digest")]
-            + [pa.array(blank), pa.array(whole, mask=hidden), pa.array(tone, mask=hidden), pa.array(low, mask=hidden), pa.array(high, mask=hidden)]
-            + [pa.ListArray.from_arrays(ends, items), _lists(at[heads][cell_owner], cell_key, n)],
-            names=["sequence_id", "split", "source_key", "identity", "digest", "blank", "pic", "tone", "low", "high", "spans", "cells"],
+            + [pa.array(blank), pa.array(whole, mask=hidden), pa.array(image, pa.string()), pa.array(low, mask=hidden), pa.array(high, mask=hidden)]
+            + [_lists(at[heads][cell_owner], cell_key, n)],
+            names=["sequence_id", "split", "source_key", "identity", "digest", "blank", "pic", "image", "low", "high", "cells"],
+        )
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, pic, seat) of every suffix; seat holds the side of the picture and the sums of its halves."""
+    for b in batches:
+        at, x = pictures(b.column("rgba"))
+        train = np.asarray(b.column("train"))[at].astype(np.int64)
+        pic = hashed(x.reshape(len(x), BYTES).view(np.uint64), 7).view(np.int64)
+        _, heads = np.unique(np.stack([pic, train], axis=1), axis=0, return_index=True)
+        owner, word = suffixes(x[heads])
+        seat = (train[heads] << 30) | halves(x[heads])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(word), pa.array(pic[heads][owner]), pa.array(seat[owner].astype(np.int32))], names=["word", "pic", "seat"]
+        )
+
+
+def _interval_pairs(word: np.ndarray, pic: np.ndarray, seat: np.ndarray, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(pic_train, pic_eval, mask) of each train and evaluation suffix of one interval whose halves may be those of near pictures."""
+    interval = np.cumsum(fresh) - 1
+    is_train = (seat >> 30) == 1
+    t, e = np.flatnonzero(is_train), np.flatnonzero(~is_train)
+    low, high = np.searchsorted(interval[t], interval[e], "left"), np.searchsorted(interval[t], interval[e], "right")
+    e, low, many = e[high > low], low[high > low], (high - low)[high > low]
+    for part in np.split(np.arange(len(e)), np.flatnonzero(np.diff(np.cumsum(many) // PAIRS)) + 1):
+        if not len(part):
+            continue
+        one = np.repeat(e[part], many[part])
+        ends = np.cumsum(many[part])
+        two = t[np.repeat(low[part] - (ends - many[part]), many[part]) + np.arange(ends[-1])]
+        a, b = seat[one].astype(np.int64), seat[two].astype(np.int64)
+        away = np.abs((a >> 15 & 32767) - (b >> 15 & 32767)) + np.abs((a & 32767) - (b & 32767))
+        near = (away <= NEAR * BYTES + 8) & (pic[one] != pic[two])
+        one, two = one[near], two[near]
+        common = np.where(word[one] == word[two], DEPTH, LEAST)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pic[two]), pa.array(pic[one]), pa.array(span_mask(word[one], common))], names=["pic_train", "pic_eval", "mask"]
         )
 
 
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks ordered suffixes; neighbours of one band with a common prefix of LEAST symbols or more stay in one interval."""
+    held: list[np.ndarray] | None = None
+    wait = 1 << 17
+
+    def fresh_of(word: np.ndarray, band: np.ndarray) -> np.ndarray:
+        fresh = np.ones(len(word), bool)
+        fresh[1:] = ((word[1:] ^ word[:-1]) >> (SYMBOL * (DEPTH - LEAST)) != 0) | (band[1:] != band[:-1])
+        return fresh
+
+    for b in batches:
+        rows = [b.column(c).to_numpy() for c in ("word", "pic", "seat", "band")]
+        held = rows if held is None else [np.concatenate(pair) for pair in zip(held, rows)]
+        if len(held[0]) < wait:
+            continue
+        fresh = fresh_of(held[0], held[3])
+        last = int(np.flatnonzero(fresh)[-1])  # the last interval may go on
+        yield from _interval_pairs(*[c[:last] for c in held[:3]], fresh[:last])
+        held = [c[last:] for c in held]
+        wait = len(held[0]) + (1 << 17)
+    if held is not None and len(held[0]):
+        yield from _interval_pairs(*held[:3], fresh_of(held[0], held[3]))
+
+
 def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at, x = pictures(b.column("rgba"))
-        pic = hashed(np.ascontiguousarray(x).reshape(len(x), BYTES).view(np.uint64), 7).view(np.int64)
+        pic = hashed(x.reshape(len(x), BYTES).view(np.uint64), 7).view(np.int64)
         _, heads = np.unique(pic, return_index=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(pic[heads]), pa.array([v.tobytes() for v in x[heads]], pa.binary())], names=["pic", "pixels"]
@@ -203,8 +276,8 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q = premultiplied(x).astype(np.float64), premultiplied(y).astype(np.float64)
         away = np.abs(p - q).reshape(len(x), BYTES).mean(1) if len(x) else np.zeros(0)
         yield pa.RecordBatch.from_arrays(
-            [b.column("pic_train"), b.column("pic_eval"), b.column("rows_shared"), pa.array(away)],
-            names=["pic_train", "pic_eval", "rows_shared", "away"],
+            [b.column("pic_train"), b.column("pic_eval"), b.column("mask"), pa.array(away)],
+            names=["pic_train", "pic_eval", "mask", "away"],
         )
 
 
@@ -237,38 +310,68 @@ class Overlaps:
         once = self.records.where("size(cells) > 0").select("pic", (F.col("split") == "train").alias("train"), "low", "high", "cells").dropDuplicates(["pic", "train"])
         side = lambda train, name: once.where(F.col("train") == train).select(
             F.explode("cells").alias("key"), F.col("pic").alias(f"pic_{name}"), F.col("low").alias(f"low_{name}"), F.col("high").alias(f"high_{name}"))
-        gap = _tone_gap("low_train", "low_eval") + _tone_gap("high_train", "high_eval")
+        gap = _gap("low_train", "low_eval") + _gap("high_train", "high_eval")
         return (
             side(True, "train").join(side(False, "eval"), "key")
             .where((F.col("pic_train") != F.col("pic_eval")) & (gap <= NEAR * BYTES + 8))
             .select("pic_train", "pic_eval")
         )
 
+    def _sides(self) -> DataFrame:
+        split = split_name(F.col("split"))
+        return self.source.where(F.col("sequence_id").isNotNull() & F.col("rgba").isNotNull() & split.isNotNull()).select(
+            (split == "train").alias("train"), "rgba"
+        )
+
+    def _banded(self, pictures: DataFrame) -> DataFrame:
+        """Suffixes with their interval and band of brightness; an evaluation suffix also enters the band that its budget reaches."""
+        total = F.shiftright("seat", 15).bitwiseAND(F.lit(32767)) + F.col("seat").bitwiseAND(F.lit(32767))
+        reach = F.when(F.col("seat") < (1 << 30), F.lit(int(BUDGET) + 2)).otherwise(F.lit(0))
+        bands = F.sequence(F.floor((total - reach) / CELL).cast("int"), F.floor((total + reach) / CELL).cast("int"))
+        return pictures.mapInArrow(_suffixes, "word bigint, pic bigint, seat int").select(
+            "word", "pic", "seat", F.shiftright("word", SYMBOL * (DEPTH - LEAST)).alias("interval"), F.explode(bands).alias("band")
+        )
+
+    def _span_pairs(self) -> DataFrame:
+        """(pic_train, pic_eval, mask): neighbours in the suffix array of train and evaluation, with the pixels of their common prefix."""
+        sides = self._sides()
+        crowded = [
+            (r["interval"], r["band"])
+            for r in self._banded(sides.sample(1 / SAMPLED, seed=1)).groupBy("interval", "band").count()
+            .where(F.col("count") >= CROWDED / SAMPLED).orderBy(F.desc("count")).limit(1000).collect()
+        ]
+        rows = self._banded(spread(sides)).withColumn("salt", F.lit(0))
+        if crowded:
+            hot = self.spark.createDataFrame(crowded, "interval bigint, band int").withColumn("hot", F.lit(True))
+            # at most 1000 intervals; train suffixes of a crowded one are dealt out, the evaluation suffixes meet each part
+            marked = rows.drop("salt").join(F.broadcast(hot), ["interval", "band"], "left")
+            train = F.col("seat") >= (1 << 30)
+            own = F.array(F.when(F.col("hot").isNotNull() & train, F.pmod("pic", F.lit(SALTS)).cast("int")).otherwise(0))
+            every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+            rows = marked.withColumn("salt", F.explode(F.when(F.col("hot").isNotNull() & ~train, every).otherwise(own)))
+        return (
+            rows.repartition(parallel_tasks(self.spark), "interval", "band", "salt")
+            .sortWithinPartitions("band", "salt", "word")
+            .select("word", "pic", "seat", (F.col("band") * SALTS + F.col("salt")).alias("band"))
+            .mapInArrow(_intervals, "pic_train bigint, pic_eval bigint, mask bigint")
+        )
+
     def near_pictures(self) -> DataFrame:
-        """(pic_train, pic_eval, rows_shared, away) of different pictures whose mean difference is at most NEAR."""
-        suffixes = self.records.where("size(spans) > 0").select(
-            "pic", "tone", (F.col("split") == "train").alias("train"), F.explode("spans").alias("s")
-        ).select("pic", "tone", "train", F.col("s.key").alias("key"), F.col("s.first").alias("first"), F.col("s.rows").alias("rows"))
-        mask = F.expr("cast(shiftleft(shiftleft(1, cast(rows as int)) - 1, cast(first as int)) as int)")
-        train = suffixes.where("train").select("key", F.col("pic").alias("pic_train"), F.col("tone").alias("tone_train"), mask.alias("mask"))
-        held = suffixes.where("not train").select("key", F.col("pic").alias("pic_eval"), F.col("tone").alias("tone_eval"))
+        """(pic_train, pic_eval, mask, away) of different pictures whose mean difference is at most NEAR; mask shows the pixels of shared spans."""
         pairs = (
-            train.join(held, "key")  # adaptive execution splits a crowded prefix
-            .where(F.col("pic_train") != F.col("pic_eval"))
-            .where(_tone_gap("tone_train", "tone_eval") <= NEAR * BYTES + 8)
-            .select("pic_train", "pic_eval", "mask")
-            .unionByName(self._grid_pairs().withColumn("mask", F.lit(0)))
+            self._span_pairs()
+            .unionByName(self._grid_pairs().withColumn("mask", F.lit(0).cast("bigint")))
             .groupBy("pic_train", "pic_eval")
-            .agg(F.bit_count(F.bit_or("mask")).alias("rows_shared"))
+            .agg(F.bit_or("mask").alias("mask"))  # shared spans merged into coverage
         )
         pairs = self.scratch.write(pairs, "candidates")
-        ends = pairs.select("pic_train", "pic_eval", "rows_shared", F.explode(F.array(
+        ends = pairs.select("pic_train", "pic_eval", "mask", F.explode(F.array(
             F.struct(F.col("pic_train").alias("pic"), F.lit(True).alias("is_train")),
             F.struct(F.col("pic_eval").alias("pic"), F.lit(False).alias("is_train")),
-        )).alias("e")).select("pic_train", "pic_eval", "rows_shared", "e.pic", "e.is_train")
+        )).alias("e")).select("pic_train", "pic_eval", "mask", "e.pic", "e.is_train")
         wanted = ends.select("pic").distinct()
         pixels = (
-            self.source.where(F.col("rgba").isNotNull() & split_name(F.col("split")).isNotNull())
+            self._sides()
             .select("rgba")
             .mapInArrow(_pixels, "pic bigint, pixels binary")
             .join(wanted, "pic", "left_semi")
@@ -277,25 +380,25 @@ class Overlaps:
         )
         both = (
             ends.join(pixels, "pic")
-            .groupBy("pic_train", "pic_eval", "rows_shared")
+            .groupBy("pic_train", "pic_eval", "mask")
             .agg(
                 F.max(F.when(F.col("is_train"), F.col("pixels"))).alias("one"),
                 F.max(F.when(~F.col("is_train"), F.col("pixels"))).alias("two"),
             )
         )
-        measured = both.mapInArrow(_distances, "pic_train bigint, pic_eval bigint, rows_shared int, away double")
+        measured = both.mapInArrow(_distances, "pic_train bigint, pic_eval bigint, mask bigint, away double")
         return measured.where(F.col("away") <= NEAR)
 
-    def pairs(self) -> DataFrame:
-        """(train_id, eval_id, eval_split, eval_source, kind): kind is identity, digest, same picture or near picture."""
-        rows = self.records.select("sequence_id", "split", "source_key", "identity", "digest", "blank", "pic")
+    def _keyed(self) -> DataFrame:
+        """(sequence_id, split, source_key, k) of the rows whose identity, digest or picture stands on both sides."""
+        rows = self.records.select("sequence_id", "split", "source_key", "identity", "digest", "blank", "image")
         void = rows.where("blank and digest is not null").select(F.concat(F.lit("d"), "digest").alias("k")).distinct()
         keyed = rows.select(
             "sequence_id", "split", "source_key",
             F.explode(F.array_compact(F.array(
                 F.concat(F.lit("i"), "identity"),
                 F.when(~F.col("blank"), F.concat(F.lit("d"), "digest")),
-                F.concat(F.lit("p"), F.col("pic").cast("string")),
+                F.concat(F.lit("p"), "image"),
             ))).alias("k"),
         )
         is_train = F.col("split") == "train"
@@ -307,22 +410,50 @@ class Overlaps:
             .join(void, "k", "left_anti")
         )
         shared = self.scratch.write(shared, "shared")
-        held = self.scratch.write(keyed.join(shared, "k").distinct(), "held")
+        return self.scratch.write(lookup_join(keyed, shared, "k").distinct(), "held")
+
+    def pairs(self) -> DataFrame:
+        """(train_id, eval_id, kind): kind is identity, digest, same picture or near picture."""
+        held, is_train = self._keyed(), F.col("split") == "train"
         train = held.where(is_train).select("k", F.col("sequence_id").alias("train_id"))
-        others = held.where(~is_train).select(
-            "k", F.col("sequence_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source_key").alias("eval_source")
+        others = held.where(~is_train).select("k", F.col("sequence_id").alias("eval_id"))
+        equal = salted_join(train, others, "k").withColumn("kind", _kind("k")).drop("k")
+        near = self.scratch.write(self.near_pictures(), "near").select("pic_train", "pic_eval")
+        pics = self.records.where("pic is not null")
+        of_train = pics.where(is_train).select(F.col("pic").alias("pic_train"), F.col("sequence_id").alias("train_id"))
+        of_eval = pics.where(~is_train).select(F.col("pic").alias("pic_eval"), F.col("sequence_id").alias("eval_id"))
+        close = salted_join(of_eval, salted_join(of_train, near, "pic_train"), "pic_eval").withColumn("kind", F.lit("near picture"))
+        names = ["train_id", "eval_id", "kind"]
+        return equal.select(*names).unionByName(close.select(*names)).where("train_id <> eval_id")
+
+    def overlapping(self) -> DataFrame:
+        """(eval_id, kind, mask) of the evaluation rows with a partner in train, without listing the partners.
+
+        Per key the smallest and the greatest train row tell whether one other
+        than the row itself exists. ``mask`` shows the pixels that spans shared
+        with near train pictures cover together; null for the other kinds.
+        """
+        held, is_train = self._keyed(), F.col("split") == "train"
+        ends = [F.min("sequence_id").alias("least"), F.max("sequence_id").alias("most")]
+        by_key = held.where(is_train).groupBy("k").agg(*ends)
+        other = (F.col("least") != F.col("eval_id")) | (F.col("most") != F.col("eval_id"))
+        equal = lookup_join(held.where(~is_train).select("k", F.col("sequence_id").alias("eval_id")), by_key, "k").where(other).select(
+            "eval_id", _kind("k").alias("kind"), F.lit(None).cast("bigint").alias("mask")
         )
-        kinds = F.when(F.col("k").startswith("i"), "identity").when(F.col("k").startswith("d"), "digest").otherwise("same picture")
-        equal = salted_join(train, others, "k").withColumn("kind", kinds).drop("k")
         near = self.scratch.write(self.near_pictures(), "near")
         pics = self.records.where("pic is not null")
-        of_train = pics.where(is_train).select(F.col("pic").alias("pic_train"), F.col("sequence_id").alias("train_id"))
-        of_eval = pics.where(~is_train).select(
-            F.col("pic").alias("pic_eval"), F.col("sequence_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source_key").alias("eval_source")
+        by_pic = pics.where(is_train).groupBy(F.col("pic").alias("pic_train")).agg(*ends)
+        of_eval = near.join(by_pic, "pic_train").groupBy("pic_eval").agg(
+            F.min("least").alias("least"), F.max("most").alias("most"), F.bit_or("mask").alias("mask")
         )
-        close = near.join(of_train, "pic_train").join(of_eval, "pic_eval").withColumn("kind", F.lit("near picture"))
-        names = ["train_id", "eval_id", "eval_split", "eval_source", "kind"]
-        return equal.select(*names).unionByName(close.select(*names)).where("train_id <> eval_id")
+        rows = pics.where(~is_train).select(F.col("pic").alias("pic_eval"), F.col("sequence_id").alias("eval_id"))
+        close = lookup_join(rows, of_eval, "pic_eval").where(other).select("eval_id", F.lit("near picture").alias("kind"), "mask")
+        return equal.unionByName(close)
+
+
+def _kind(key: str) -> Column:
+    first = F.substring(key, 1, 1)
+    return F.when(first == "i", "identity").when(first == "d", "digest").otherwise("same picture")
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -335,11 +466,12 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, root: str) -> DataFrame:
-    """Per evaluation split and source: rows, rows that overlap train, and by which kind."""
+    """Per evaluation split and source: rows, rows that overlap train, by which kind, and pixels that shared spans cover in near rows."""
     found = Overlaps(spark, load(spark, root, "prepared_broad_rows"))
-    hit = found.pairs().groupBy("eval_id").agg(
+    hit = found.overlapping().groupBy("eval_id").agg(
         *[F.max((F.col("kind") == k).cast("int")).alias(c) for k, c in
-          (("identity", "_identity"), ("digest", "_digest"), ("same picture", "_same"), ("near picture", "_near"))]
+          (("identity", "_identity"), ("digest", "_digest"), ("same picture", "_same"), ("near picture", "_near"))],
+        F.bit_count(F.bit_or("mask")).alias("_covered"),
     )
     rows = found.records.where("split <> 'train'").select("sequence_id", "split", "source_key").dropDuplicates(["sequence_id"])
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
@@ -353,6 +485,7 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
             total("_digest").alias("by_digest"),
             total("_same").alias("by_same_picture"),
             total("_near").alias("by_near_picture"),
+            total("_covered").alias("covered_pixels"),
         )
     )
 

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from framewright.llm import overlap as M
 
@@ -98,19 +97,92 @@ def test_copies_on_both_sides_and_empty(spark):
 
 
 @pytest.mark.parametrize("visible", [1, 3, 64])
-def test_sparse_pictures_have_a_span(visible):
+def test_every_picture_has_a_suffix(visible):
     x = frame(np.random.default_rng(visible), visible)[None]
-    assert sum(len(o) for o, *_ in M.spans(x)) >= 1
+    owner, _ = M.suffixes(x)
+    assert len(owner) >= max(1, visible - M.DEPTH + 1 if visible == 64 else 1)
+
+
+def test_words_order_and_cover_like_the_suffixes():
+    rng = np.random.default_rng(12)
+    x = np.stack([frame(rng, int(rng.integers(M.DEPTH, 65))) for _ in range(40)])
+    owner, word = M.suffixes(x)
+    assert (word >= 0).all()
+    # the pixels of each word are visible ones of its picture, and all of them are covered by its suffixes unless a wide gap cuts them off
+    masks = M.span_mask(word, np.full(len(word), M.DEPTH)).view(np.uint64)
+    for i in range(len(x)):
+        seen = sum(1 << int(p) for p in np.flatnonzero(x[i, :, 3]))
+        union = int(np.bitwise_or.reduce(masks[owner == i])) if (owner == i).any() else 0
+        assert union & ~seen == 0
+        if np.diff(np.flatnonzero(x[i, :, 3])).max() < M.FAR:
+            assert union == seen
+
+
+def test_intervals_give_all_pairs_of_shared_prefixes_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    word = np.sort(rng.integers(0, 400, 3000) << 8)
+    pic, seat = rng.permutation(3000), (rng.integers(0, 2, 3000) << 30).astype(np.int32)
+    table = pa.table({"word": word, "pic": pic, "seat": seat, "band": np.zeros(3000, np.int32)})
+    got = [tuple(r.values())[:2] for b in M._intervals(iter(table.to_batches(max_chunksize=97))) for r in b.to_pylist()]
+    key = word >> (M.SYMBOL * (M.DEPTH - M.LEAST))
+    want = [
+        (int(pic[i]), int(pic[j])) for i in np.flatnonzero(seat > 0) for j in np.flatnonzero((key == key[i]) & (seat == 0))
+    ]
+    assert sorted(got) == sorted(want)
+
+
+def test_one_altered_pixel_per_row_shares_a_span():
+    rng = np.random.default_rng(14)
+    x = np.full((300, 64, 4), 100, np.uint8)
+    x[:, :, 3] = 255
+    y = x.copy()
+    for i in range(len(y)):
+        for r in range(8):
+            y[i, 8 * r + rng.integers(8), rng.integers(3)] += 60
+    _, one = M.suffixes(x[:1])
+    owner, two = M.suffixes(y)
+    shared = np.isin(two >> (M.SYMBOL * (M.DEPTH - M.LEAST)), one >> (M.SYMBOL * (M.DEPTH - M.LEAST)))
+    assert set(owner[shared].tolist()) == set(range(300))
+
+
+def test_crowded_intervals_are_dealt_out(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    x = frame(rng)
+    rows, want = [], set()
+    for i in range(60):
+        y = x.astype(int)
+        y[np.flatnonzero(x[:, 3])[i % 40], i % 3] ^= 1
+        rows.append(row(f"q{i:02d}", "train" if i % 3 else "test", y.astype(np.uint8)))
+    plain = set(found(spark, rows)[0])
+    monkeypatch.setattr(M, "CROWDED", 1)
+    monkeypatch.setattr(M, "SAMPLED", 1)
+    assert set(found(spark, rows)[0]) == plain and plain
 
 
-def test_tones_bound_the_distance(spark):
+def test_packed_sums_bound_the_distance(spark):
     rng = np.random.default_rng(8)
     x, y = np.stack([frame(rng) for _ in range(50)]), np.stack([frame(rng) for _ in range(50)])
-    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(M.tones(x), M.tones(y))], "a bigint, b bigint")
-    gaps = [r[0] for r in df.select(M._tone_gap("a", "b")).collect()]
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(M.packed(M.row_sums(x))[0], M.packed(M.row_sums(y))[0])], "a bigint, b bigint")
+    gaps = [r[0] for r in df.select(M._gap("a", "b")).collect()]
     away = np.abs(M.premultiplied(x) - M.premultiplied(y)).sum((1, 2))
     assert all(g <= d + 8 for g, d in zip(gaps, away))
-    assert F.col  # functions stay importable for the frame above
+
+
+def test_report_counts_what_the_pairs_say(spark):
+    rng = np.random.default_rng(16)
+    rows = []
+    for i in range(60):
+        x = frame(rng)
+        y = x.copy()
+        y[np.flatnonzero(x[:, 3])[0], 0] ^= 1
+        rows += [row(f"t{i:02d}", "train", x, f"id{i % 7}"), row(f"e{i:02d}", "test", y if i % 2 else x, f"id{i % 9}", "ab" * 32 if i % 5 == 0 else None)]
+    o = M.Overlaps(spark, table(spark, rows))
+    pairs = {(r["eval_id"], r["kind"]) for r in o.pairs().collect()}
+    hits = o.overlapping().collect()
+    assert {(r["eval_id"], r["kind"]) for r in hits} == pairs
+    assert all(bin(r["mask"] & (2**64 - 1)).count("1") >= M.LEAST for r in hits if r["kind"] == "near picture")
 
 
 def test_small_edits_in_every_row_are_found(spark):
