@@ -36,6 +36,14 @@ STEP, FAR = 64, 16
 DEPTH, LEAST = 6, 5
 #: Bits of a symbol: four for the step, six for the levels; a word starts with the place of its first pixel.
 SYMBOL, LEVELS = 10, 6
+#: Pixels that shared spans must cover together for a pair to be measured; pairs that share less are left to the grid.
+COVER = 16
+#: Candidate pairs up to which their pictures' names are broadcast; beyond, the pictures are shuffled to them.
+FEW = 200_000
+#: Rows of a key from which joins deal it out; at most HOTTEST keys are treated so, the greatest first.
+HOT_ROWS, HOTTEST = 10_000, 64
+#: Pictures whose suffixes one task orders.
+PICTURES = 100_000
 #: Pairs that one step compares, and estimated suffixes beyond which an interval is dealt over SALTS tasks.
 PAIRS, CROWDED, SALTS = 1 << 21, 500_000, 16
 #: One picture in SAMPLED tells which intervals are crowded; it decides where they are compared, never what.
@@ -45,6 +53,8 @@ NEAR = 2.0
 #: Greatest sum of the differences of the row sums of near pictures, with room for rounding, and width of a grid cell.
 #: A cell is wider than twice the budget, so a row sum reaches one neighbouring cell at most.
 BUDGET, CELL = NEAR * BYTES + 1, 1040
+#: Width of a band of brightness within an interval of the suffix array.
+BAND = 4 * CELL
 
 _RECORD = (
     "sequence_id string, split string, source_key string, identity string, digest string, blank boolean, pic bigint, image string, low bigint, high bigint, "
@@ -214,9 +224,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _interval_pairs(word: np.ndarray, pic: np.ndarray, seat: np.ndarray, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(pic_train, pic_eval, mask) of each train and evaluation suffix of one interval whose halves may be those of near pictures."""
+    """(pic_train, pic_eval, mask) of each train and evaluation suffix of one interval and slot whose halves may be those of near pictures."""
     interval = np.cumsum(fresh) - 1
-    is_train = (seat >> 30) == 1
+    is_train = (seat >> 30 & 1) == 1
     t, e = np.flatnonzero(is_train), np.flatnonzero(~is_train)
     low, high = np.searchsorted(interval[t], interval[e], "left"), np.searchsorted(interval[t], interval[e], "right")
     e, low, many = e[high > low], low[high > low], (high - low)[high > low]
@@ -226,9 +236,9 @@ def _interval_pairs(word: np.ndarray, pic: np.ndarray, seat: np.ndarray, fresh:
         one = np.repeat(e[part], many[part])
         ends = np.cumsum(many[part])
         two = t[np.repeat(low[part] - (ends - many[part]), many[part]) + np.arange(ends[-1])]
-        a, b = seat[one].astype(np.int64), seat[two].astype(np.int64)
+        a, b = seat[one], seat[two]
         away = np.abs((a >> 15 & 32767) - (b >> 15 & 32767)) + np.abs((a & 32767) - (b & 32767))
-        near = (away <= NEAR * BYTES + 8) & (pic[one] != pic[two])
+        near = (away <= NEAR * BYTES + 8) & (a >> 31 == b >> 31) & (pic[one] != pic[two])
         one, two = one[near], two[near]
         common = np.where(word[one] == word[two], DEPTH, LEAST)
         yield pa.RecordBatch.from_arrays(
@@ -237,27 +247,27 @@ def _interval_pairs(word: np.ndarray, pic: np.ndarray, seat: np.ndarray, fresh:
 
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks ordered suffixes; neighbours of one band with a common prefix of LEAST symbols or more stay in one interval."""
+    """Walks ordered suffixes; neighbours with a common prefix of LEAST symbols or more stay in one interval."""
     held: list[np.ndarray] | None = None
     wait = 1 << 17
 
-    def fresh_of(word: np.ndarray, band: np.ndarray) -> np.ndarray:
+    def fresh_of(word: np.ndarray) -> np.ndarray:
         fresh = np.ones(len(word), bool)
-        fresh[1:] = ((word[1:] ^ word[:-1]) >> (SYMBOL * (DEPTH - LEAST)) != 0) | (band[1:] != band[:-1])
+        fresh[1:] = (word[1:] ^ word[:-1]) >> (SYMBOL * (DEPTH - LEAST)) != 0
         return fresh
 
     for b in batches:
-        rows = [b.column(c).to_numpy() for c in ("word", "pic", "seat", "band")]
+        rows = [b.column(c).to_numpy() for c in ("word", "pic", "seat")]
         held = rows if held is None else [np.concatenate(pair) for pair in zip(held, rows)]
         if len(held[0]) < wait:
             continue
-        fresh = fresh_of(held[0], held[3])
+        fresh = fresh_of(held[0])
         last = int(np.flatnonzero(fresh)[-1])  # the last interval may go on
-        yield from _interval_pairs(*[c[:last] for c in held[:3]], fresh[:last])
+        yield from _interval_pairs(*[c[:last] for c in held], fresh[:last])
         held = [c[last:] for c in held]
         wait = len(held[0]) + (1 << 17)
     if held is not None and len(held[0]):
-        yield from _interval_pairs(*held[:3], fresh_of(held[0], held[3]))
+        yield from _interval_pairs(*held, fresh_of(held[0]))
 
 
 def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,45 +334,47 @@ class Overlaps:
         )
 
     def _banded(self, pictures: DataFrame) -> DataFrame:
-        """Suffixes with their interval and band of brightness; an evaluation suffix also enters the band that its budget reaches."""
+        """Suffixes with their band of brightness; an evaluation suffix also enters the band that its budget reaches."""
         total = F.shiftright("seat", 15).bitwiseAND(F.lit(32767)) + F.col("seat").bitwiseAND(F.lit(32767))
         reach = F.when(F.col("seat") < (1 << 30), F.lit(int(BUDGET) + 2)).otherwise(F.lit(0))
-        bands = F.sequence(F.floor((total - reach) / CELL).cast("int"), F.floor((total + reach) / CELL).cast("int"))
-        return pictures.mapInArrow(_suffixes, "word bigint, pic bigint, seat int").select(
-            "word", "pic", "seat", F.shiftright("word", SYMBOL * (DEPTH - LEAST)).alias("interval"), F.explode(bands).alias("band")
-        )
+        bands = F.sequence(F.floor((total - reach) / BAND).cast("int"), F.floor((total + reach) / BAND).cast("int"))
+        return pictures.mapInArrow(_suffixes, "word bigint, pic bigint, seat int").select("word", "pic", "seat", F.explode(bands).alias("band"))
 
     def _span_pairs(self) -> DataFrame:
         """(pic_train, pic_eval, mask): neighbours in the suffix array of train and evaluation, with the pixels of their common prefix."""
-        sides = self._sides()
+        sides, interval = self._sides(), F.shiftright("word", SYMBOL * (DEPTH - LEAST))
         crowded = [
             (r["interval"], r["band"])
-            for r in self._banded(sides.sample(1 / SAMPLED, seed=1)).groupBy("interval", "band").count()
+            for r in self._banded(sides.sample(1 / SAMPLED, seed=1)).groupBy(interval.alias("interval"), "band").count()
             .where(F.col("count") >= CROWDED / SAMPLED).orderBy(F.desc("count")).limit(1000).collect()
         ]
-        rows = self._banded(spread(sides)).withColumn("salt", F.lit(0))
+        rows, salt = self._banded(spread(sides)), F.lit(0)
         if crowded:
-            hot = self.spark.createDataFrame(crowded, "interval bigint, band int").withColumn("hot", F.lit(True))
+            hot = self.spark.createDataFrame(crowded, "_interval bigint, _band int")
             # at most 1000 intervals; train suffixes of a crowded one are dealt out, the evaluation suffixes meet each part
-            marked = rows.drop("salt").join(F.broadcast(hot), ["interval", "band"], "left")
-            train = F.col("seat") >= (1 << 30)
-            own = F.array(F.when(F.col("hot").isNotNull() & train, F.pmod("pic", F.lit(SALTS)).cast("int")).otherwise(0))
-            every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-            rows = marked.withColumn("salt", F.explode(F.when(F.col("hot").isNotNull() & ~train, every).otherwise(own)))
+            rows = rows.join(F.broadcast(hot), (interval == F.col("_interval")) & (F.col("band") == F.col("_band")), "left")
+            is_hot, train = F.col("_interval").isNotNull(), F.col("seat") >= (1 << 30)
+            own = F.array(F.when(is_hot & train, F.pmod("pic", F.lit(SALTS)).cast("int")).otherwise(0))
+            rows = rows.withColumn("salt", F.explode(F.when(is_hot & ~train, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(own)))
+            salt = F.col("salt")
+        # three words a row: the slot, band and salt, rides above the seat
+        slot = F.shiftleft((F.col("band") * SALTS + salt).cast("bigint"), 31)
         return (
-            rows.repartition(parallel_tasks(self.spark), "interval", "band", "salt")
-            .sortWithinPartitions("band", "salt", "word")
-            .select("word", "pic", "seat", (F.col("band") * SALTS + F.col("salt")).alias("band"))
+            rows.select("word", "pic", slot.bitwiseOR(F.col("seat").cast("bigint")).alias("seat"))
+            .repartition(max(parallel_tasks(self.spark), self.records.count() // PICTURES), interval, F.shiftright("seat", 31))
+            .sortWithinPartitions("word")
             .mapInArrow(_intervals, "pic_train bigint, pic_eval bigint, mask bigint")
         )
 
     def near_pictures(self) -> DataFrame:
         """(pic_train, pic_eval, mask, away) of different pictures whose mean difference is at most NEAR; mask shows the pixels of shared spans."""
         pairs = (
-            self._span_pairs()
-            .unionByName(self._grid_pairs().withColumn("mask", F.lit(0).cast("bigint")))
+            self._span_pairs().withColumn("in_grid", F.lit(False))
+            .unionByName(self._grid_pairs().select("*", F.lit(0).cast("bigint").alias("mask"), F.lit(True).alias("in_grid")))
             .groupBy("pic_train", "pic_eval")
-            .agg(F.bit_or("mask").alias("mask"))  # shared spans merged into coverage
+            .agg(F.bit_or("mask").alias("mask"), F.max("in_grid").alias("in_grid"))  # shared spans merged into coverage
+            .where(F.col("in_grid") | (F.bit_count("mask") >= COVER))
+            .drop("in_grid")
         )
         pairs = self.scratch.write(pairs, "candidates")
         ends = pairs.select("pic_train", "pic_eval", "mask", F.explode(F.array(
@@ -370,6 +382,8 @@ class Overlaps:
             F.struct(F.col("pic_eval").alias("pic"), F.lit(False).alias("is_train")),
         )).alias("e")).select("pic_train", "pic_eval", "mask", "e.pic", "e.is_train")
         wanted = ends.select("pic").distinct()
+        if pairs.count() <= FEW:
+            wanted = F.broadcast(wanted)
         pixels = (
             self._sides()
             .select("rgba")
@@ -389,12 +403,12 @@ class Overlaps:
         measured = both.mapInArrow(_distances, "pic_train bigint, pic_eval bigint, mask bigint, away double")
         return measured.where(F.col("away") <= NEAR)
 
-    def _keyed(self) -> DataFrame:
-        """(sequence_id, split, source_key, k) of the rows whose identity, digest or picture stands on both sides."""
-        rows = self.records.select("sequence_id", "split", "source_key", "identity", "digest", "blank", "image")
+    def _keyed(self) -> tuple[DataFrame, list]:
+        """(sequence_id, split, k) of the rows whose identity, digest or picture stands on both sides; and the hot keys among them."""
+        rows = self.records.select("sequence_id", "split", "identity", "digest", "blank", "image")
         void = rows.where("blank and digest is not null").select(F.concat(F.lit("d"), "digest").alias("k")).distinct()
         keyed = rows.select(
-            "sequence_id", "split", "source_key",
+            "sequence_id", "split",
             F.explode(F.array_compact(F.array(
                 F.concat(F.lit("i"), "identity"),
                 F.when(~F.col("blank"), F.concat(F.lit("d"), "digest")),
@@ -404,25 +418,27 @@ class Overlaps:
         is_train = F.col("split") == "train"
         shared = (
             keyed.groupBy("k")
-            .agg(F.max(is_train).alias("_t"), F.max(~is_train).alias("_e"))
+            .agg(F.max(is_train).alias("_t"), F.max(~is_train).alias("_e"), F.count("*").alias("n"))
             .where("_t and _e")
-            .select("k")
+            .select("k", "n")
             .join(void, "k", "left_anti")
         )
         shared = self.scratch.write(shared, "shared")
-        return self.scratch.write(lookup_join(keyed, shared, "k").distinct(), "held")
+        hot = _hottest(shared, "k")
+        return self.scratch.write(lookup_join(keyed, shared.select("k"), "k", hot=hot).distinct(), "held"), hot
 
     def pairs(self) -> DataFrame:
         """(train_id, eval_id, kind): kind is identity, digest, same picture or near picture."""
-        held, is_train = self._keyed(), F.col("split") == "train"
+        (held, hot), is_train = self._keyed(), F.col("split") == "train"
         train = held.where(is_train).select("k", F.col("sequence_id").alias("train_id"))
         others = held.where(~is_train).select("k", F.col("sequence_id").alias("eval_id"))
-        equal = salted_join(train, others, "k").withColumn("kind", _kind("k")).drop("k")
+        equal = salted_join(train, others, "k", hot=hot).withColumn("kind", _kind("k")).drop("k")
         near = self.scratch.write(self.near_pictures(), "near").select("pic_train", "pic_eval")
         pics = self.records.where("pic is not null")
         of_train = pics.where(is_train).select(F.col("pic").alias("pic_train"), F.col("sequence_id").alias("train_id"))
         of_eval = pics.where(~is_train).select(F.col("pic").alias("pic_eval"), F.col("sequence_id").alias("eval_id"))
-        close = salted_join(of_eval, salted_join(of_train, near, "pic_train"), "pic_eval").withColumn("kind", F.lit("near picture"))
+        hot = _hottest(pics.groupBy("pic").agg(F.count("*").alias("n")), "pic")
+        close = salted_join(of_eval, salted_join(of_train, near, "pic_train", hot=hot), "pic_eval", hot=hot).withColumn("kind", F.lit("near picture"))
         names = ["train_id", "eval_id", "kind"]
         return equal.select(*names).unionByName(close.select(*names)).where("train_id <> eval_id")
 
@@ -433,11 +449,11 @@ class Overlaps:
         than the row itself exists. ``mask`` shows the pixels that spans shared
         with near train pictures cover together; null for the other kinds.
         """
-        held, is_train = self._keyed(), F.col("split") == "train"
+        (held, hot), is_train = self._keyed(), F.col("split") == "train"
         ends = [F.min("sequence_id").alias("least"), F.max("sequence_id").alias("most")]
         by_key = held.where(is_train).groupBy("k").agg(*ends)
         other = (F.col("least") != F.col("eval_id")) | (F.col("most") != F.col("eval_id"))
-        equal = lookup_join(held.where(~is_train).select("k", F.col("sequence_id").alias("eval_id")), by_key, "k").where(other).select(
+        equal = lookup_join(held.where(~is_train).select("k", F.col("sequence_id").alias("eval_id")), by_key, "k", hot=hot).where(other).select(
             "eval_id", _kind("k").alias("kind"), F.lit(None).cast("bigint").alias("mask")
         )
         near = self.scratch.write(self.near_pictures(), "near")
@@ -447,10 +463,16 @@ class Overlaps:
             F.min("least").alias("least"), F.max("most").alias("most"), F.bit_or("mask").alias("mask")
         )
         rows = pics.where(~is_train).select(F.col("pic").alias("pic_eval"), F.col("sequence_id").alias("eval_id"))
-        close = lookup_join(rows, of_eval, "pic_eval").where(other).select("eval_id", F.lit("near picture").alias("kind"), "mask")
+        hot = _hottest(rows.groupBy("pic_eval").agg(F.count("*").alias("n")), "pic_eval")
+        close = lookup_join(rows, of_eval, "pic_eval", hot=hot).where(other).select("eval_id", F.lit("near picture").alias("kind"), "mask")
         return equal.unionByName(close)
 
 
+def _hottest(counts: DataFrame, key: str) -> list:
+    """The keys of at least HOT_ROWS rows, the HOTTEST greatest of them."""
+    return [r[0] for r in counts.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).select(key).limit(HOTTEST).collect()]
+
+
 def _kind(key: str) -> Column:
     first = F.substring(key, 1, 1)
     return F.when(first == "i", "identity").when(first == "d", "digest").otherwise("same picture")

@@ -123,8 +123,8 @@ def test_intervals_give_all_pairs_of_shared_prefixes_over_batches():
 
     rng = np.random.default_rng(13)
     word = np.sort(rng.integers(0, 400, 3000) << 8)
-    pic, seat = rng.permutation(3000), (rng.integers(0, 2, 3000) << 30).astype(np.int32)
-    table = pa.table({"word": word, "pic": pic, "seat": seat, "band": np.zeros(3000, np.int32)})
+    pic, seat = rng.permutation(3000), rng.integers(0, 2, 3000) << 30
+    table = pa.table({"word": word, "pic": pic, "seat": seat})
     got = [tuple(r.values())[:2] for b in M._intervals(iter(table.to_batches(max_chunksize=97))) for r in b.to_pylist()]
     key = word >> (M.SYMBOL * (M.DEPTH - M.LEAST))
     want = [
@@ -182,7 +182,8 @@ def test_report_counts_what_the_pairs_say(spark):
     pairs = {(r["eval_id"], r["kind"]) for r in o.pairs().collect()}
     hits = o.overlapping().collect()
     assert {(r["eval_id"], r["kind"]) for r in hits} == pairs
-    assert all(bin(r["mask"] & (2**64 - 1)).count("1") >= M.LEAST for r in hits if r["kind"] == "near picture")
+    masks = [r["mask"] & (2**64 - 1) for r in hits if r["kind"] == "near picture"]
+    assert masks and all(m == 0 or bin(m).count("1") >= M.LEAST for m in masks) and any(masks)
 
 
 def test_small_edits_in_every_row_are_found(spark):
