@@ -1,12 +1,17 @@
 """p4: the k most similar vectors for every vector, by shifted Hilbert orderings.
 
 Every distinct vector is put in order along several space-filling curves, each
-over its own random rotation and shift. Vectors near each other in space are
-near in at least one order with high probability, so per curve each row meets
-the rows of its own, the preceding and the following window; the windows'
-results are merged and reranked by exact cosine. Vectors of one cell of a curve
-are ordered by the same curve's next finer levels, so a dense group of near
-copies is ordered along each curve like the whole table.
+over its own random axes and shift. Vectors near each other in space are near in
+at least one order with high probability, so per curve each row meets the rows
+of its own, the preceding and the following window; the windows' results are
+merged and reranked by exact cosine. Vectors of one cell of a curve are ordered
+by the same curve's next finer levels, so a dense group of near copies is
+ordered along each curve like the whole table.
+
+How many curves a table needs depends on how its vectors are spread. So recall is
+measured in every run, on PROBES rows against all others, and curves are added
+by rounds until it reaches TARGET. Where MOST curves don't reach it, as for
+vectors evenly spread in all directions, blocks of rows are compared exactly.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.skew import lookup_join
@@ -23,10 +28,17 @@ from framewright.session import Scratch, load, parallel_tasks
 
 DIMENSIONS = 64
 NEIGHBOURS = 5
-#: Orderings, rows per window, axes and bits per axis of a curve.
-CURVES, WINDOW, AXES, BITS = 12, 512, 8, 7
+#: Orderings added in a round and in all, rows per window, axes and bits per axis of a curve.
+CURVES, MOST, WINDOW, AXES, BITS = 3, 24, 4096, 8, 7
+#: Rows whose true neighbours are found to measure recall, and the recall at which no more curves are added.
+PROBES, TARGET = 512, 0.995
+#: Rows of a block of the exact search, of a task that walks a curve, and rows multiplied at once.
+BLOCK, TASK_ROWS, STEP = 1 << 17, 1 << 17, 512
+#: Partners of a row, on average, beyond which the bound of a step is drawn tighter.
+CROWD = 256
 #: Further bits per axis, each time BITS, that order the vectors of one cell.
 FINER = 2
+NEAR = "row_index bigint, near array<struct<away:double,other:bigint>>"
 POSITIONS = ["position", *[f"finer{k}" for k in range(1, FINER + 1)]]
 
 
@@ -79,21 +91,52 @@ def hilbert_keys(cells: np.ndarray, bits: int, part: int) -> list[np.ndarray]:
 
 
 def _matrix(column: pa.Array, width: int = DIMENSIONS) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
+    """The vectors of a binary column of whole float32 vectors."""
+    if not len(column):
+        return np.zeros((0, width), np.float32)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return data.view(np.float32).reshape(-1, width) if ends[0] % 4 == 0 else np.frombuffer(data.tobytes(), np.float32).reshape(-1, width)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    x = np.ascontiguousarray(x, np.float32)
+    ends = np.arange(0, (len(x) + 1) * x.shape[1] * 4, x.shape[1] * 4, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_index, unit) of the vectors of DIMENSIONS finite numbers that aren't all zero."""
+    for b in batches:
+        column = b.column("v").cast(pa.list_(pa.float64()))
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+        at = np.flatnonzero((np.diff(ends) == DIMENSIONS) & ~np.asarray(column.is_null()))
+        values = np.asarray(column.values.to_numpy(zero_copy_only=False), np.float64)  # a null entry is not a number
+        x = values[ends[at][:, None] + np.arange(DIMENSIONS)]
+        with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+            norm = np.sqrt((x * x).sum(1))
+            fit = np.isfinite(x).all(1) & (norm > 0) & np.isfinite(norm)
+            unit = x[fit] / norm[fit][:, None]
+        yield pa.RecordBatch.from_arrays([b.column("row_index").take(pa.array(at[fit])), _binary(unit)], names=["row_index", "unit"])
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, value): number of vectors, their sums and the sums of their products, each under its own number."""
     n, total, outer = 0, np.zeros(DIMENSIONS), np.zeros((DIMENSIONS, DIMENSIONS))
     for b in batches:
         x = _matrix(b.column("unit")).astype(np.float64)
         n, total, outer = n + len(x), total + x.sum(0), outer + x.T @ x
-    yield pa.RecordBatch.from_pydict({"n": [n], "total": [total.tolist()], "outer": [outer.ravel().tolist()]})
+    if n:
+        values = np.concatenate([[n], total, outer.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["cell", "value"])
 
 
 def _curves(count: int, mean: np.ndarray, cov: np.ndarray, seed: int):
+    """Axes of curves: random directions, drawn the likelier the more the vectors vary along them."""
     rng = np.random.default_rng(seed)
+    root = cov / max(np.trace(cov), 1e-12) + 1e-9 * np.eye(DIMENSIONS)
     for _ in range(count):
-        axes = np.linalg.qr(rng.normal(size=(DIMENSIONS, DIMENSIONS)))[0][:, :AXES]
+        axes = np.linalg.qr(root @ rng.normal(size=(DIMENSIONS, AXES)))[0]
         spread = np.sqrt(np.maximum(np.einsum("da,de,ea->a", axes, cov, axes), 1e-12))
         yield (axes / spread).astype(np.float32), (mean @ axes / spread).astype(np.float32), rng.random(AXES) * 0.5
 
@@ -123,82 +166,201 @@ def _keyed(curves: list, bits: int = BITS):
     return run
 
 
+def best_of(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k: int) -> pa.RecordBatch | None:
+    """(row_index, near): for each row of x the k rows of y of greatest cosine, itself left out, ties to the smaller key.
+
+    A few rows more than k are chosen by single precision and ranked again by double.
+    """
+    take = min(k + 3, len(other) - 1)
+    if take < 1 or not len(ids):
+        return None
+    keys, away, sizes = [], [], []
+    for a in range(0, len(ids), STEP):
+        here, p = ids[a : a + STEP], x[a : a + STEP]
+        head = min(len(other), max(4 * STEP, take + 1))
+        s = p @ y.T
+        s[here[:, None] == other[None, :]] = -4
+        # the first columns give each row a bound that few others pass
+        bound = np.partition(s[:, :head], head - take, axis=1)[:, head - take]
+        passed = s >= bound[:, None]
+        if np.count_nonzero(passed) > CROWD * len(p):  # too many equal in single precision: the exact bound of each row
+            bound = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
+            passed = s > bound[:, None]
+            chosen = np.argpartition(-s, take - 1, axis=1)[:, :take]
+            np.put_along_axis(passed, chosen, True, axis=1)
+        row, col = np.nonzero(passed)
+        exact = np.einsum("nd,nd->n", p[row].astype(np.float64), y[col].astype(np.float64))
+        exact[s[row, col] < -3] = -4
+        order = np.lexsort((other[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        start = np.searchsorted(row, np.arange(len(p)))
+        kept = (np.arange(len(row)) - start[row] < k) & (exact > -3)
+        keys.append(other[col[kept]])
+        away.append(-exact[kept])
+        sizes.append(np.bincount(row[kept], minlength=len(p)))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(away)), pa.array(np.concatenate(keys))], ["away", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["row_index", "near"])
+
+
 def _windows(k: int, window: int):
     """Per window the k best of the window itself and of its two neighbours."""
 
-    def best(block, around):
-        ids, x = block
-        other = np.concatenate([o[0] for o in around])
-        y = np.concatenate([o[1] for o in around])
-        s = x @ y.T
-        s[ids[:, None] == other[None, :]] = -4
-        take = min(k + 3, s.shape[1] - 1)
-        if take < 1:
-            return None
-        near = np.argpartition(-s, take - 1, axis=1)[:, :take]
-        exact = np.einsum("id,ijd->ij", x.astype(np.float64), y[near].astype(np.float64))
-        exact[np.take_along_axis(s, near, 1) < -3] = -4
-        order = np.lexsort((other[near], -exact), axis=1)[:, :k]
-        return ids, other[np.take_along_axis(near, order, 1)], np.take_along_axis(exact, order, 1)
-
-    def emit(found):
-        ids, near, cos = found
-        width = near.shape[1]
-        sizes = np.arange(0, len(ids) * width + 1, width, dtype=np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(-cos.ravel()), pa.array(near.ravel())], ["away", "other"])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.ListArray.from_arrays(pa.array(sizes), pairs)], names=["row_index", "near"]
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks():
-            held, curve = [], None
+            held, size, curve = [], 0, None
+
+            def cut(last: bool):
+                nonlocal held, size
+                if not size:
+                    return
+                ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                at = 0
+                while len(ids) - at >= 2 * window or (last and at < len(ids)):
+                    end = len(ids) if last and len(ids) - at < 2 * window else at + window
+                    yield curve, (ids[at:end], x[at:end])
+                    at = end
+                held, size = ([(ids[at:], x[at:])], len(ids) - at) if at < len(ids) else ([], 0)
+
             for b in batches:
                 if not b.num_rows:
                     continue
                 kinds = b.column("curve").to_numpy()
                 ids, x = b.column("row_index").to_numpy(), _matrix(b.column("unit"))
                 for c in np.unique(kinds):
-                    at = kinds == c
                     if curve is not None and c != curve:
-                        if held and len(held[0]):
-                            yield curve, held
-                        held = []
+                        yield from cut(True)
                     curve = c
-                    held = [np.concatenate([held[0], ids[at]]), np.concatenate([held[1], x[at]])] if held else [ids[at], x[at]]
-                    while len(held[0]) >= 2 * window:
-                        yield curve, [held[0][:window], held[1][:window]]
-                        held = [held[0][window:], held[1][window:]]
-            if held and len(held[0]):
-                yield curve, held
+                    held.append((ids[kinds == c], x[kinds == c]))
+                    size += len(held[-1][0])
+                    if size >= 4 * window:
+                        yield from cut(False)
+            yield from cut(True)
 
         before = here = None
         for after in blocks():
             if here is not None:
-                around = [q[1] for q in (before, here, after) if q is not None and q[0] == here[0]]
-                if (found := best(here[1], around)) is not None:
-                    yield emit(found)
+                yield from _meet(k, before, here, after)
             before, here = here, after
         if here is not None:
-            around = [q[1] for q in (before, here) if q is not None and q[0] == here[0]]
-            if (found := best(here[1], around)) is not None:
-                yield emit(found)
+            yield from _meet(k, before, here, None)
+
+    return run
+
+
+def _meet(k: int, before, here, after) -> Iterator[pa.RecordBatch]:
+    around = [q[1] for q in (here, before, after) if q is not None and q[0] == here[0]]
+    found = best_of(*here[1], np.concatenate([o[0] for o in around]), np.concatenate([o[1] for o in around]), k)
+    if found is not None:
+        yield found
+
+
+def _probed(ids: np.ndarray, x: np.ndarray, k: int):
+    """Per task the k best partners of each probe among its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append((b.column("row_index").to_numpy(), _matrix(b.column("unit"))))
+            if sum(len(h[0]) for h in held) >= 1 << 15:
+                if (found := best_of(ids, x, *merged(), k)) is not None:
+                    yield found
+                held = []
+        if held and (found := best_of(ids, x, *merged(), k)) is not None:
+            yield found
+
+    return run
+
+
+def _exact_block(k: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, x, asks = table["row_index"].to_numpy(), _matrix(table["unit"].combine_chunks()), table["asks"].to_numpy(zero_copy_only=False)
+        asks = asks.astype(bool)
+        found = best_of(ids[asks], x[asks], ids[~asks], x[~asks], k) if (~asks).any() else None
+        kind = pa.schema([("row_index", pa.int64()), ("near", pa.list_(pa.struct([("away", pa.float64()), ("other", pa.int64())])))])
+        return pa.Table.from_batches([found]) if found is not None else kind.empty_table()
 
     return run
 
 
+def _merged(near: DataFrame, k: int, spread_over: Column | None = None) -> DataFrame:
+    """The k best of all partners offered to each row."""
+    keys = ["row_index"] if spread_over is None else ["row_index", spread_over.alias("_part")]
+    return (
+        near.groupBy(*keys)
+        .agg(F.flatten(F.collect_list("near")).alias("near"))
+        .select("row_index", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
+    )
+
+
 def valid_vectors(df: DataFrame, key: str = "row_index", vector: str = "embedding") -> DataFrame:
-    """One row per key with the unit vector; vectors that aren't 64 finite numbers, or are all zero, are left out."""
-    v = F.col(vector)
-    fit = (F.size(v) == DIMENSIONS) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    squares = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    kept = (
-        df.where(F.col(key).isNotNull() & v.isNotNull() & fit)
-        .select(F.col(key).cast("bigint").alias("row_index"), v.alias("_v"), F.sqrt(squares).alias("_norm"))
-        .where(F.col("_norm") > 0)
-        .select("row_index", F.transform("_v", lambda x: (x.cast("double") / F.col("_norm")).cast("float")).alias("unit"))
+    """One row per key with the unit vector as 64 floats in binary; vectors that aren't 64 finite numbers, or are all zero, are left out."""
+    held = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("row_index"), F.col(vector).alias("v"))
+    return held.mapInArrow(_units, "row_index bigint, unit binary").dropDuplicates(["row_index"])
+
+
+def _along_curves(spark: SparkSession, distinct: DataFrame, rows: int, curves: list, k: int, window: int) -> DataFrame:
+    """(row_index, near) from the windows of some curves."""
+    tasks = max(parallel_tasks(spark), len(curves) * (rows // TASK_ROWS))
+    places = ["curve", *POSITIONS, "row_index"]
+    return (
+        distinct.mapInArrow(_keyed(curves), f"curve int, {', '.join(f'{p} bigint' for p in POSITIONS)}, row_index bigint, unit binary")
+        .repartitionByRange(tasks, *places)
+        .sortWithinPartitions(*places)
+        .mapInArrow(_windows(k, window), NEAR)
     )
-    return kept.dropDuplicates(["row_index"])
+
+
+def _exact(spark: SparkSession, distinct: DataFrame, rows: int, k: int) -> DataFrame:
+    """(row_index, near) by comparing every block of rows with every other, the exact way for tables that curves don't order well."""
+    blocks = max(1, -(-rows // BLOCK))
+    home = F.pmod(F.xxhash64("row_index"), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    rows_of = distinct.withColumn("home", home)
+    asking = rows_of.select(F.col("home").alias("one"), F.explode(every).alias("two"), F.lit(True).alias("asks"), "row_index", "unit")
+    offered = rows_of.select(F.explode(every).alias("one"), F.col("home").alias("two"), F.lit(False).alias("asks"), "row_index", "unit")
+    return asking.unionByName(offered).groupBy("one", "two").applyInArrow(_exact_block(k), NEAR)
+
+
+def _recall(merged: DataFrame, true: dict[int, set[int]]) -> float:
+    """Share of the true partners of the probes that were found."""
+    found = merged.where(F.col("row_index").isin(list(true))).collect()
+    hits = sum(len(true[r["row_index"]] & {n["other"] for n in r["near"]}) for r in found)
+    return hits / max(sum(map(len, true.values())), 1)
+
+
+def nearest_distinct(
+    spark: SparkSession, scratch: Scratch, distinct: DataFrame, k: int, curves: int, most: int, window: int, target: float, seed: int
+) -> DataFrame:
+    """(row_index, near): the k best partners of every row of distinct vectors, by rounds of curves until the measured recall reaches ``target``."""
+    cells = {r["cell"]: r["value"] for r in distinct.mapInArrow(_moments, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()}
+    values = np.array([cells[c] for c in sorted(cells)]) if cells else np.zeros(1 + DIMENSIONS + DIMENSIONS**2)
+    n, rows = max(values[0], 1), int(values[0])
+    mean = values[1 : 1 + DIMENSIONS] / n
+    cov = values[1 + DIMENSIONS :].reshape(DIMENSIONS, DIMENSIONS) / n - np.outer(mean, mean)
+    probes = sorted(distinct.orderBy(F.xxhash64(F.lit(seed), "row_index"), "row_index").limit(PROBES).collect())
+    true: dict[int, set[int]] = {}
+    if probes:
+        ids, x = np.array([p["row_index"] for p in probes]), np.stack([np.frombuffer(p["unit"], np.float32) for p in probes])
+        best = distinct.mapInArrow(_probed(ids, x, k), NEAR)
+        best = _merged(_merged(best, k, F.pmod(F.spark_partition_id(), F.lit(1024))), k)
+        true = {r["row_index"]: {m["other"] for m in r["near"]} for r in best.collect()}
+    merged, used = None, 0
+    while used < most:
+        found = _along_curves(spark, distinct, rows, list(_curves(curves, mean, cov, seed + 1009 * used)), k, window)
+        used += curves
+        merged = scratch.write(_merged(found if merged is None else found.unionByName(merged), k), f"merged{used}")
+        if used > curves:
+            scratch.drop(f"merged{used - curves}")
+        if _recall(merged, true) >= target or not true:
+            return merged
+    return scratch.write(_merged(_exact(spark, distinct, rows, k), k), "exact")
 
 
 def nearest(
@@ -208,7 +370,9 @@ def nearest(
     vector: str = "embedding",
     k: int = NEIGHBOURS,
     curves: int = CURVES,
+    most: int = MOST,
     window: int = WINDOW,
+    target: float = TARGET,
     seed: int = 11,
 ) -> DataFrame:
     """(row_index, other, cosine, rank): for every valid vector the k of greatest cosine, ties to the smaller key.
@@ -224,30 +388,15 @@ def nearest(
         valid_vectors(df, key, vector).withColumn("copy_of", F.concat_ws(":", F.xxhash64("unit"), F.xxhash64(F.lit(7), "unit"))), "rows"
     )
     first = Window.partitionBy("copy_of").orderBy("row_index")
-    heads = (
-        rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
-    )
-    heads = scratch.write(heads, "heads")
-    distinct = heads.where("place = 1").select("row_index", "unit")
-    parts = distinct.mapInArrow(_moments, "n bigint, total array<double>, outer array<double>").collect()
-    n = sum(p["n"] for p in parts)
-    mean = np.sum([p["total"] for p in parts], axis=0) / max(n, 1) if parts else np.zeros(DIMENSIONS)
-    outer = np.sum([p["outer"] for p in parts], axis=0).reshape(DIMENSIONS, DIMENSIONS) if parts else np.eye(DIMENSIONS)
-    cov = outer / max(n, 1) - np.outer(mean, mean)
-    keyed = distinct.mapInArrow(
-        _keyed(list(_curves(curves, mean, cov, seed))), f"curve int, {', '.join(f'{p} bigint' for p in POSITIONS)}, row_index bigint, unit array<float>"
+    heads = scratch.write(
+        rows.select("row_index", "copy_of").withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1), "heads"
     )
-    near = (
-        keyed.repartitionByRange(parallel_tasks(spark), "curve", *POSITIONS)
-        .sortWithinPartitions("curve", *POSITIONS, "row_index")
-        .mapInArrow(_windows(k, window), "row_index bigint, near array<struct<away:double,other:bigint>>")
-    )
-    merged = (
-        near.groupBy("row_index")
-        .agg(F.flatten(F.collect_list("near")).alias("near"))  # k entries from each of the curves
-        .select("row_index", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
+    classes = heads.where("place > 1").select("copy_of").distinct().join(heads.where("place = 1").select("copy_of", F.col("row_index").alias("head")), "copy_of")
+    # only rows of a class of copies meet their head; the others are their own
+    distinct = scratch.write(
+        lookup_join(rows, classes, "copy_of", "left").where("head is null or head = row_index").select("row_index", "unit"), "distinct"
     )
-    merged = scratch.write(merged, "merged")
+    merged = nearest_distinct(spark, scratch, distinct, k, curves, most, window, target, seed)
     members = heads.groupBy("copy_of").agg(
         F.min("row_index").alias("head"), F.array_sort(F.collect_list("row_index")).alias("members")
     )  # at most k + 1 keys each

@@ -52,6 +52,34 @@ def test_few_rows(spark):
     assert {(r["row_index"], r["other"]) for r in N.nearest(spark, table(spark, [(1, one), (2, [-1.0] * 64)])).collect()} == {(1, 2), (2, 1)}
 
 
+def test_rounds_are_added_and_the_exact_way_closes_what_they_miss(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 64)).astype(np.float32)  # evenly spread: small windows miss most partners
+    ids = list(range(700))
+    want = brute(ids, x, 5)
+    rows = table(spark, [(i, v.tolist()) for i, v in zip(ids, x)])
+
+    def recall(**how):
+        got = {}
+        for r in N.nearest(spark, rows, window=16, curves=2, **how).collect():
+            got.setdefault(r["row_index"], []).append(r["other"])
+        return np.mean([len(set(want[i]) & set(got.get(i, []))) / 5 for i in ids])
+
+    few = recall(most=2, target=0.0)
+    more = recall(most=6, target=0.3)
+    assert few < more and more >= 0.25
+    assert recall(most=4) >= 0.999
+
+
+def test_equal_single_precision_scores_stay_bounded():
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=64)
+    x = (base + 1e-7 * rng.normal(size=(6000, 64))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = N.best_of(np.arange(6000), x, np.arange(6000), x, 5)
+    assert all(len(n) == 5 for n in found.column("near").to_pylist())
+
+
 def test_hilbert_neighbours_touch():
     for axes, bits in ((2, 5), (3, 3), (5, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * axes, indexing="ij"), -1).reshape(-1, axes)
