@@ -175,11 +175,15 @@ def best_of(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k:
     if take < 1 or not len(ids):
         return None
     keys, away, sizes = [], [], []
+    order = np.argsort(other, kind="stable")
+    found = order[np.minimum(np.searchsorted(other, ids, sorter=order), len(other) - 1)]
+    itself = np.where(other[found] == ids, found, -1)
     for a in range(0, len(ids), STEP):
-        here, p = ids[a : a + STEP], x[a : a + STEP]
+        p = x[a : a + STEP]
         head = min(len(other), max(4 * STEP, take + 1))
         s = p @ y.T
-        s[here[:, None] == other[None, :]] = -4
+        own = np.flatnonzero(itself[a : a + STEP] >= 0)
+        s[own, itself[a : a + STEP][own]] = -4
         # the first columns give each row a bound that few others pass
         bound = np.partition(s[:, :head], head - take, axis=1)[:, head - take]
         passed = s >= bound[:, None]
