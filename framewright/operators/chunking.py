@@ -13,18 +13,23 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.session import Scratch
+from framewright.session import Scratch, parallel_tasks
+
+#: Most rows of a chunk, and most offsets (hot keys times stored partitions) that are broadcast.
+MOST_ROWS, MOST_OFFSETS = 4_000_000, 200_000
 
 
 def numbered(
-    spark: SparkSession, df: DataFrame, key: str = "key", chunk_rows: int | None = None, parts: int = 64
+    spark: SparkSession, df: DataFrame, key: str = "key", chunk_rows: int | None = None, parts: int | None = None
 ) -> tuple[DataFrame, int, int]:
     """``df`` with ``row_pos`` (stored order), ``key_row`` (from 0 within a hot key) and ``chunk_id``.
 
     Returns (rows, number of rows, rows per chunk). A key of at most
     ``chunk_rows`` rows is one chunk and needs no number (``key_row`` null).
-    Only keys above ``chunk_rows`` = rows / ``parts`` get offsets: fewer than
-    ``parts`` keys times the number of stored partitions, a proven bound.
+    By default a chunk holds what an average task would, and never more than
+    MOST_ROWS. Only keys above ``chunk_rows`` get offsets, so there are fewer
+    than rows / chunk_rows of them times the number of stored partitions; they
+    are broadcast only where that product is at most MOST_OFFSETS.
     Null keys are dropped: an absent key groups with nothing.
     """
     scratch = Scratch(spark, "chunks")
@@ -33,10 +38,11 @@ def numbered(
     ).withColumn("_part", F.shiftright("row_pos", 33))
     per_part = scratch.write(stored.groupBy(key, "_part").agg(F.count("*").alias("_n")), "counts")
     total = per_part.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    size = chunk_rows or max(1, math.ceil(total / parts))
+    size = chunk_rows or max(1, min(math.ceil(total / (parts or 4 * parallel_tasks(spark))), MOST_ROWS))
     hot = per_part.groupBy(key).agg(F.sum("_n").alias("_all")).where(F.col("_all") > size).drop("_all")
-    # fewer than total / size keys exceed a chunk; beyond the bound the sides are shuffled instead
-    few = math.ceil(total / size) <= 4 * parts
+    hot = scratch.write(hot, "hot")
+    # beyond the bound both sides are shuffled by key and partition, which no key can crowd
+    few = hot.count() * max(per_part.select("_part").distinct().count(), 1) <= MOST_OFFSETS
     offer = F.broadcast if few else (lambda x: x)
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.join(offer(hot), key).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.operators.skew import hottest, lookup_join
 from framewright.session import Scratch
 
 MAX_ROUNDS = 60
@@ -22,7 +23,8 @@ def components(
     The number of rounds grows with the logarithm of the longest path.
 
     Clusters are kept as (node, member) rows, never as one list, so a cluster
-    of any size is spread over tasks; minima are pre-aggregated. Each round is
+    of any size is spread over tasks; minima are pre-aggregated, and a node that
+    holds more pairs than an average task meets its minimum by broadcast. Each round is
     written to the shared folder, and the last but one is dropped. Null ends
     and self-loops: an edge with a null end is ignored, a self-loop makes its
     node known. Repeated edges count once. No edges give no rows.
@@ -40,8 +42,10 @@ def components(
     )
     known = None
     for k in range(1, max_rounds + 1):
-        least = pairs.groupBy("node").agg(F.min("member").alias("least"))
-        joined = pairs.join(least, "node")
+        least = scratch.write(pairs.groupBy("node").agg(F.min("member").alias("least"), F.count("*").alias("n")), f"least{k}")
+        total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        # the cluster of a component's minimum may hold most pairs: it meets its one row by broadcast
+        joined = lookup_join(pairs, least.select("node", "least"), "node", hot=hottest(least, "node", total))
         sent = (
             joined.select(F.col("least").alias("node"), "member")
             .unionByName(joined.select(F.col("member").alias("node"), F.col("least").alias("member")))
@@ -50,6 +54,7 @@ def components(
         after = scratch.write(sent, f"round{k}")
         state = after.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("node", "member")), F.lit(0))).first()
         scratch.drop(f"round{k - 1}")
+        scratch.drop(f"least{k}")
         pairs = after
         if state == known:
             return pairs.groupBy("node").agg(F.min("member").alias("component"))

@@ -4,37 +4,50 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds at least 1/HOT_PARTS of the probe side, so at most HOT_PARTS keys are hot.
-HOT_PARTS = 64
+#: Most keys that are treated as hot, the greatest first; adaptive execution splits what is left.
+MOST_HOT = 4096
+#: Rows from which a key can be hot at all.
+LEAST_HOT = 10_000
 
 
-def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS, least: int = 10_000) -> list:
-    """Keys with at least 1/parts of the rows (and ``least`` rows): never more than ``parts`` of them."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    # the total rides along as one more grouped row, so the input is scanned once
-    ranked = counts.orderBy(F.desc("_n")).limit(parts).collect()
-    if not ranked or ranked[0]["_n"] < least:
+def _tasks(spark: SparkSession) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hottest(counts: DataFrame, key: str, total: int, n: str = "n", least: int | None = None, parts: int | None = None) -> list:
+    """The keys of a table (key, n) that hold more rows than an average task gets, at most MOST_HOT of them."""
+    parts = min(parts or _tasks(counts.sparkSession), MOST_HOT)
+    bound = max(LEAST_HOT if least is None else least, -(-total // parts))
+    return [r[0] for r in counts.where(F.col(n) >= bound).orderBy(F.desc(n)).select(key).limit(parts).collect()]
+
+
+def hot_keys(df: DataFrame, key: str, parts: int | None = None, least: int | None = None) -> list:
+    """Keys that hold more rows than an average task gets (and ``least`` rows): never more than there are tasks, or MOST_HOT."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    parts = min(parts or _tasks(df.sparkSession), MOST_HOT)
+    least = LEAST_HOT if least is None else least
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n")).limit(parts).collect()
+    if not top:
         return []
-    total = counts.agg(F.sum("_n")).first()[0]
-    return [r[key] for r in ranked if r["_n"] >= max(least, total / parts)]
+    total = counts.agg(F.sum("n")).first()[0]
+    return [r[key] for r in top if r["n"] >= max(least, total / parts)]
 
 
-def lookup_join(
-    probe: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot: list | None = None, parts: int = HOT_PARTS
-) -> DataFrame:
+def lookup_join(probe: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """Join ``probe`` with a lookup holding at most one row per key.
 
-    Rows of hot keys meet their at most ``parts`` lookup rows by broadcast and
+    Rows of hot keys meet their lookup rows, at most MOST_HOT, by broadcast and
     stay where they are; all other rows are shuffled by key as usual. Rows
     with a null key match nothing (kept by ``how='left'``).
     """
-    hot = hot_keys(probe, key, parts) if hot is None else hot
+    hot = hot_keys(probe, key) if hot is None else hot
     if not hot:
         return probe.join(lookup, key, how)
-    assert len(hot) <= parts, "the broadcast side would not be bounded"
+    if len(hot) > MOST_HOT:
+        raise ValueError("the broadcast side would not be bounded")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     few = lookup.where(F.col(key).isin(hot))
     return (

@@ -37,33 +37,42 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _named(profile: DataFrame, table: str) -> DataFrame:
-    return profile.select(
-        F.lit(table).alias("table_name"),
-        F.col("key").alias("key_value"),
-        "n_rows",
-        "n_chunks",
-        "largest_chunk",
-        "first_arrival",
-        "last_arrival",
-        "late_rows",
-        "distinct_labels",
+def _profiles(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    names = ["table_name", F.col("key").alias("key_value"), *columns]
+    items = key_profile(spark, _items(spark, root), "key_value", "ingested_at").withColumn("table_name", F.lit("corpus_items"))
+    motions = key_profile(spark, _motions(spark, root), "key_value", "ingested_at", "verb").withColumn(
+        "table_name", F.lit("latent_motion_training_rows")
     )
+    return items.select(*names).unionByName(motions.select(*names))
 
 
 def p2_key_results(spark: SparkSession, root: str) -> DataFrame:
-    """Rows, first and last arrival, distinct actions and late rows per source and per identity."""
-    return _named(key_profile(spark, _items(spark, root), "key_value", "ingested_at"), "corpus_items").unionByName(
-        _named(
-            key_profile(spark, _motions(spark, root), "key_value", "ingested_at", "verb"),
-            "latent_motion_training_rows",
-        )
-    )
+    """Rows, first and last arrival and distinct actions per source and per identity."""
+    return _profiles(spark, root, "n_rows", "first_arrival", "last_arrival", "distinct_labels")
+
+
+def p2_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks, rows of the largest chunk, and rows stored after a later arrival, per source and per identity."""
+    return _profiles(spark, root, "n_rows", "n_chunks", "largest_chunk", "late_rows")
 
 
-QUERIES = {"p2_found": p2_found, "p2_key_results": p2_key_results}
+QUERIES = {"p2_found": p2_found, "p2_key_results": p2_key_results, "p2_chunks": p2_chunks}
+
+_IDENTITY = r"""regexp_replace(lower(translate(identity_id,
+    (SELECT string_agg(chr(CAST(65281 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)),
+    (SELECT string_agg(chr(CAST(33 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)))),
+    '[^\p{L}\p{N}]+', '', 'g')"""
 
 ORACLES = {
+    "p2_key_results": rf"""
+        SELECT 'corpus_items' AS table_name, source_id AS key_value, count(*) AS n_rows, min(ingested_at) AS first_arrival,
+            max(ingested_at) AS last_arrival, CAST(NULL AS BIGINT) AS distinct_labels
+        FROM corpus_items WHERE lower(trim(source_id)) NOT IN ('', 'unknown') GROUP BY source_id
+        UNION ALL
+        SELECT 'latent_motion_training_rows', k, count(*), min(ingested_at), max(ingested_at), count(DISTINCT lower(trim(verb, ' ')))
+        FROM (SELECT {_IDENTITY} AS k, * FROM latent_motion_training_rows)
+        WHERE k NOT IN ('', 'unknown') GROUP BY k
+    """,
     "p2_found": r"""
         SELECT 'corpus_items' AS table_name, source_id AS key_value FROM corpus_items
         WHERE lower(trim(source_id)) NOT IN ('', 'unknown')
