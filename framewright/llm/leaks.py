@@ -3,19 +3,24 @@
 Q-gram lemma filtering: the letters of every document are cut into character
 q-grams and looked up among those of the passages; hits are counted in
 overlapping diagonal bands, and a region stays only if it shares at least the
-q-grams that a stretch within the edit budget must share. What stays is
-verified by a banded alignment of words.
+q-grams that a stretch within the edit budget must share. A stretch of n words
+with n / 10 of them altered holds an exact piece of at least PIECE words, which
+gives the bound; pieces with fewer letters than a q-gram are looked up whole.
+What stays is verified by an alignment in the bands around its exact pieces:
+equal runs are found first and then chained, so that a repeated word can't lead
+a stretch astray.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,19 +32,17 @@ from framewright.session import Scratch, load, spread
 Q, BAND, CHUNK = 12, 64, 256
 #: A leak covers this share of a passage's words in stretches of at least STRETCH words, of which 1 in 10 may be altered.
 COVER, STRETCH, ALTERED = 0.5, 8, 0.1
-#: Whole words that the q-grams of one band must spell out: of a stretch of eight words all, of one of ten with a changed
-#: word at least six (pieces shorter than a q-gram are not seen).
-BAND_WORDS = 6
-#: Letters between two runs of one stretch: a changed word and, on either side, a piece shorter than a q-gram.
-GAP = 48
-#: Share of a passage's words that the bands kept must spell out together. Half of the words lie in stretches; of ten
-#: words with one changed at least six are seen, so 0.3 of all.
-SEEN = 0.3
+#: Consecutive unaltered words that every stretch holds: of n words n // 10 are altered, which leaves the longest piece the
+#: fewest, five, at n = 10.
+PIECE = 5
+#: Share of a passage's words that shared q-grams must spell out: half of the words lie in stretches, and of a stretch at
+#: least half is seen (of ten words with one altered, a piece of four may be shorter than a q-gram).
+SEEN = 0.25
 #: Letters of passages that one task holds; more passages are searched in blocks, each against all documents.
 BLOCK_LETTERS = 4_000_000
 
-_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|blockquote|tr|td|th|table|h[1-6]|hr|pre|section)\b[^>]*>", re.I)
-_INLINE = re.compile(r"</?[a-zA-Z!][^<>]{0,400}>")
+_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|blockquote|tr|td|th|table|h[1-6]|hr|pre|section)\b[^<>]*>", re.I)
+_INLINE = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑]\s*\n\s*(?:[>|*#]+\s*)?(?=\w)|(?<=\w)[-‐‑](?=\w)")
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -88,18 +91,29 @@ class Letters:
         return at, h[at]
 
 
+def short_pieces(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(letter, hash) of every run of PIECE words that has fewer letters than a q-gram."""
+    at, hashes, base = [], [], 0
+    for words in texts:
+        sizes = [len(w) for w in words]
+        place = base
+        for i in range(len(words) - PIECE + 1):
+            if sum(sizes[i : i + PIECE]) < Q:
+                at.append(place)
+                hashes.append(xxhash.xxh3_64_intdigest("\0".join(words[i : i + PIECE])))
+            place += sizes[i]
+        base += sum(sizes)
+    return np.array(at, np.int64), np.array(hashes, np.uint64)
+
+
 class Passages:
-    """A block of passages, indexed by q-gram."""
+    """A block of passages, indexed by q-gram and by short piece."""
 
     def __init__(self, ids: list[int], texts: list[list[str]]):
         self.ids, self.texts = ids, texts
         self.letters = Letters.of(texts)
-        at, h = self.letters.grams()
-        order = np.argsort(h, kind="stable")
-        self.place = at[order]
-        self.hash, self.first, self.many = np.unique(h[order], return_index=True, return_counts=True)
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.hash >> np.uint64(42)).astype(np.int64)] = True
+        self.grams = self._index(*self.letters.grams())
+        self.pieces = self._index(*short_pieces(texts))
         self.sizes = np.array([len(t) for t in texts], np.int64)
         # per letter of the block: words (of all passages in a row) that start before it, and that end at or before it
         lengths = np.array([len(w) for t in texts for w in t], np.int64)
@@ -107,22 +121,39 @@ class Passages:
         letters = np.arange(len(self.letters.code) + 1)
         self.started = np.searchsorted(ends - lengths, letters, "left")
         self.ended = np.searchsorted(ends, letters, "right")
+        # the q-grams of the piece of PIECE words that has the fewest, per passage: what a stretch must share at least
+        self.bound = np.array([
+            max(1, min((sum(map(len, t[i : i + PIECE])) for i in range(len(t) - PIECE + 1)), default=1) - Q + 1) for t in texts
+        ], np.int64)
 
-    def regions(self, letters: Letters) -> tuple[np.ndarray, ...]:
-        """Runs of shared q-grams, (pair, first letter in the documents, in the passages, words), in bands worth verifying."""
-        at, h = letters.grams()
-        keep = self.seen[(h >> np.uint64(42)).astype(np.int64)]
+    @staticmethod
+    def _index(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(h, kind="stable")
+        keys, first, many = np.unique(h[order], return_index=True, return_counts=True)
+        seen = np.zeros(1 << 22, bool)
+        seen[(keys >> np.uint64(42)).astype(np.int64)] = True
+        return at[order], keys, first, many, seen
+
+    @staticmethod
+    def _hits(index: tuple[np.ndarray, ...], at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(letter in the documents, letter in the passages) of all equal entries."""
+        places, keys, first, many, seen = index
+        keep = seen[(h >> np.uint64(42)).astype(np.int64)]
         at, h = at[keep], h[keep]
-        found = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
-        same = self.hash[found] == h if len(self.hash) else np.zeros(len(h), bool)
+        if not len(keys) or not len(h):
+            return at[:0], at[:0]
+        found = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        same = keys[found] == h
         at, found = at[same], found[same]
-        many = self.many[found]
-        at = np.repeat(at, many)
-        if not len(at):
-            return at, at, at, at
-        ends = np.cumsum(many)
-        inner = np.arange(ends[-1]) - np.repeat(ends - many, many)
-        place = self.place[np.repeat(self.first[found], many) + inner]
+        count = many[found]
+        at = np.repeat(at, count)
+        ends = np.cumsum(count)
+        inner = np.arange(len(at)) - np.repeat(ends - count, count)
+        return at, places[np.repeat(first[found], count) + inner]
+
+    def regions(self, letters: Letters, docs: list[list[str]]) -> tuple[np.ndarray, ...]:
+        """Runs of shared q-grams, (pair, first letter in the documents, in the passages), of pairs worth verifying."""
+        at, place = self._hits(self.grams, *letters.grams())
         # hits on one diagonal of two texts are neighbours once sorted by it; diagonal and place are packed into one word
         base = len(self.letters.code)
         packed = np.sort(((at - place + base) << 32) | at)
@@ -132,146 +163,134 @@ class Passages:
         fresh = np.ones(len(at), bool)
         fresh[1:] = (np.diff(at) != 1) | (np.diff(place) != 1) | (np.diff(owner) != 0) | (np.diff(passage) != 0)
         heads = np.flatnonzero(fresh)
-        tails = np.concatenate([heads[1:], [len(at)]]) - 1
+        tails = np.concatenate([heads[1:], [len(at)]]) - 1 if len(heads) else heads
         words = self.ended[place[tails] + Q] - self.started[place[heads]]
-        some = words > 0
-        heads, words, reach = heads[some], words[some], place[tails[some]] + Q
+        grams = tails - heads + 1
         at, place = at[heads], place[heads]
-        pair = owner[heads] * len(self.texts) + passage[heads]
+        if len(self.pieces[0]):
+            more, there = self._hits(self.pieces, *short_pieces(docs))
+            at, place = np.concatenate([at, more]), np.concatenate([place, there])
+            words = np.concatenate([words, np.full(len(more), PIECE)])
+            grams = np.concatenate([grams, self.bound[self.letters.owner[there]]])  # a piece seen whole meets the bound
+        if not len(at):
+            return at, at, at
+        pair = letters.owner[at] * len(self.texts) + self.letters.owner[place]
+        passage = pair % len(self.texts)
         diagonal = letters.at[at] - self.letters.at[place]
-        keep = np.zeros(len(pair), bool)
+        dense = np.zeros(len(pair), bool)
         for shift in (0, BAND // 2):
-            band = pair * (1 << 24) + (diagonal + shift) // BAND + (1 << 23)
-            order = np.lexsort((place, band))
-            far = np.ones(len(order), bool)
-            far[1:] = (np.diff(band[order]) != 0) | (place[order][1:] - reach[order][:-1] > GAP)
-            chain = np.cumsum(far) - 1
-            keep[order] |= np.bincount(chain, weights=words[order])[chain] >= BAND_WORDS
-        pair, at, place, words = pair[keep], at[keep], place[keep], words[keep]
+            _, band = np.unique(pair * (1 << 24) + (diagonal + shift) // BAND + (1 << 23), return_inverse=True)
+            shared, longest = np.bincount(band, weights=grams), np.zeros(band.max() + 1, np.int64)
+            np.maximum.at(longest, band, words)
+            dense |= (shared[band] >= self.bound[passage]) & (longest[band] >= PIECE)
         _, group = np.unique(pair, return_inverse=True)
-        if len(pair):
-            enough = np.bincount(group, weights=words)[group] >= SEEN * self.sizes[pair % len(self.texts)]
-            pair, at, place, words = pair[enough], at[enough], place[enough], words[enough]
+        keep = (np.bincount(group, weights=np.maximum(words, 0))[group] >= SEEN * self.sizes[passage]) & (np.bincount(group, weights=dense)[group] > 0)
+        pair, at, place = pair[keep & dense], at[keep & dense], place[keep & dense]
         order = np.argsort(pair, kind="stable")
-        return pair[order], at[order], place[order], words[order]
+        return pair[order], at[order], place[order]
 
     def search(self, docs: list[list[str]]) -> Iterator[tuple[int, int, float]]:
         """(document, passage, share of the passage's words covered) of each leak."""
         letters = Letters.of(docs)
-        pair, at, place, words = self.regions(letters)
+        pair, at, place = self.regions(letters, docs)
         heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else pair
         for a, b in zip(heads, [*heads[1:], len(pair)]):
             doc, passage = divmod(int(pair[a]), len(self.texts))
-            share = self.verify(docs[doc], passage, letters, at[a:b], place[a:b], words[a:b])
+            text = self.texts[passage]
+            share = covered(stretches(equal_runs(text, docs[doc], np.unique(letters.word[at[a:b]])), len(text))) / max(len(text), 1)
             if share >= COVER:
                 yield doc, passage, share
 
-    def verify(
-        self, doc: list[str], passage: int, letters: Letters, at: np.ndarray, place: np.ndarray, seen: np.ndarray
-    ) -> float:
-        """Share of the passage's words in stretches, by banded alignment in every band that is dense enough."""
-        text = self.texts[passage]
-        diagonal = letters.at[at] - self.letters.at[place]
-        found: list[tuple[int, int, int, int]] = []
-        done: set[tuple[int, int]] = set()
-        for shift in (0, BAND // 2):
-            band = (diagonal + shift) // BAND
-            for b in np.unique(band):
-                here = band == b
-                if seen[here].sum() < BAND_WORDS:
-                    continue
-                steps = letters.word[at[here]] - self.letters.word[place[here]]
-                low, high = int(steps.min()), int(steps.max())
-                if (low, high) in done:
-                    continue
-                done.add((low, high))
-                found += stretches(aligned(text, doc, low - 3, high + 3))
-        return covered(found) / max(len(text), 1)
-
-
-def aligned(text: list[str], doc: list[str], low: int, high: int) -> list[int]:
-    """For each word of the text the place of its equal in the document, or -1, by the best alignment in a band.
-
-    Only cells with low <= j - i <= high are filled. Equal words gain 2,
-    changed, missing and added words lose 1.
+
+def equal_runs(text: list[str], doc: list[str], near: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place in the text, in the document, words) of the longest equal runs around the document's words ``near``.
+
+    Only diagonals within the edit budget of a run of PIECE words are kept.
     """
-    n, m, width = len(text), len(doc), high - low + 1
-    bad = -(10**9)
-    score = [0] * width  # row i: score of aligning text[:i] with doc[..j), j = i + low + c, start free
-    back: list[list[int]] = []
-    for i in range(n):
-        row, ways = [bad] * width, [0] * width
-        word = text[i]
-        for c in range(width):
-            j = i + low + c
-            if 0 <= j < m:
-                same = doc[j] == word
-                v, way = score[c] + (2 if same else -1), 1 if same else 2
-            else:
-                v, way = score[c] - 1, 2
-            if c + 1 < width and score[c + 1] - 1 > v:
-                v, way = score[c + 1] - 1, 3  # the word is missing in the document
-            if c and row[c - 1] - 1 > v:
-                v, way = row[c - 1] - 1, 4  # the document has a word more
-            row[c], ways[c] = v, way
-        back.append(ways)
-        score = row
-    place = [-1] * n
-    c, i = max(range(width), key=lambda c: score[c]), n - 1
-    while i >= 0:
-        way = back[i][c]
-        if way == 4:
-            c -= 1
+    n = len(text)
+    ids = {w: k for k, w in enumerate(dict.fromkeys(text))}
+    own = np.array([ids[w] for w in text])
+    cuts = np.flatnonzero(np.diff(near) > 2 * n) + 1
+    found, far = [], -1
+    for part in np.split(near, cuts):
+        low, high = max(int(part[0]) - 2 * n, far, 0), min(int(part[-1]) + 2 * n, len(doc))
+        far = high
+        other = np.fromiter((ids.get(w, -1) for w in doc[low:high]), np.int64, high - low)
+        i, j = np.nonzero(own[:, None] == other[None, :])
+        order = np.lexsort((i, j - i))
+        i, j = i[order], j[order] + low
+        if not len(i):
             continue
-        if way == 1:
-            place[i] = i + low + c
-        if way == 3:
-            c += 1
-        i -= 1
-    return place
-
-
-def stretches(place: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first, last, from, to): disjoint stretches of text words and their document places, most words in all."""
-    hits = [i for i, j in enumerate(place) if j >= 0]
-    if len(hits) < STRETCH - 1:
-        return []
-    i = np.array(hits)
-    j = np.array([place[k] for k in hits])
-    gap = np.maximum(np.diff(i), np.diff(j)) - 1  # words altered, missing or added between two hits
-    cost = np.concatenate([[0], np.cumsum(gap)])
-    span = i[:, None] - i[None, :] + 1
-    if not ((span >= STRETCH) & (cost[:, None] - cost[None, :] <= np.floor(ALTERED * span + 1e-9))).any():
-        return []
-    best, via = [0] * (len(hits) + 1), [None] * (len(hits) + 1)
-    for b in range(len(hits)):
-        best[b + 1], via[b + 1] = best[b], None
-        size = i[b] - i[: b + 1] + 1
-        fits = np.flatnonzero((size >= STRETCH) & (cost[b] - cost[: b + 1] <= np.floor(ALTERED * size + 1e-9)))
-        if len(fits):
-            value = np.array(best)[fits] + size[fits]
-            k = int(np.argmax(value))
-            if value[k] > best[b + 1]:
-                best[b + 1], via[b + 1] = int(value[k]), int(fits[k])
-    found, b = [], len(hits)
-    while b > 0:
-        if via[b] is None:
-            b -= 1
-        else:
-            a = via[b]
-            found.append((int(i[a]), int(i[b - 1]), int(j[a]), int(j[b - 1])))
-            b = a
+        fresh = np.ones(len(i), bool)
+        fresh[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+        head = np.flatnonzero(fresh)
+        size = np.diff(np.concatenate([head, [len(i)]]))
+        diagonal = (j - i)[head]
+        strong = np.unique(diagonal[size >= PIECE])
+        if not len(strong):
+            continue
+        slack = n // 10 + 1
+        after = np.searchsorted(strong, diagonal)
+        gap = np.minimum(
+            np.abs(strong[np.minimum(after, len(strong) - 1)] - diagonal), np.abs(strong[np.maximum(after - 1, 0)] - diagonal)
+        )
+        ok = gap <= slack
+        found += list(zip(i[head][ok].tolist(), j[head][ok].tolist(), size[ok].tolist()))
+    return sorted(found)
+
+
+def stretches(runs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int, int, int]]:
+    """(first, last, from, to, altered): chains of equal runs within the edit budget, of at least STRETCH words.
+
+    Words between two runs count as altered, the more of those on either side.
+    """
+    most = int(ALTERED * n + 1e-9)
+    steps: list[list[tuple[int, int]]] = [[] for _ in runs]
+    for a, (i, j, size) in enumerate(runs):
+        for b in range(len(runs)):
+            p, q, length = runs[b]
+            if b == a or p + length <= i + size or q + length <= j + size or p <= i or q <= j:
+                continue
+            trim = max(i + size - p, j + size - q, 0)
+            if trim < length and (cost := max(p + trim - i - size, q + trim - j - size)) <= most:
+                steps[a].append((b, cost))
+    found = []
+    for a, (i, j, _) in enumerate(runs):
+        best = {a: 0}
+        queue = [(i, a)]
+        done = set()
+        while queue:
+            _, c = heapq.heappop(queue)
+            if c in done:
+                continue
+            done.add(c)
+            p, q, length = runs[c]
+            words = p + length - i
+            if words >= STRETCH and best[c] <= int(ALTERED * words + 1e-9):
+                found.append((i, p + length - 1, j, q + length - 1, best[c]))
+            for d, cost in steps[c]:
+                if best[c] + cost < best.get(d, most + 1):
+                    best[d] = best[c] + cost
+                    done.discard(d)
+                    heapq.heappush(queue, (runs[d][0], d))
     return found
 
 
-def covered(found: list[tuple[int, int, int, int]]) -> int:
-    """Most words in stretches that follow each other in text and document."""
-    found = sorted(set(found), key=lambda s: (s[1], s[3]))
-    best: list[int] = []
-    for k, (a, b, c, d) in enumerate(found):
-        before = max((best[q] for q in range(k) if found[q][1] < a and found[q][3] < c), default=0)
-        best.append(before + b - a + 1)
-    return max(best, default=0)
+def covered(found: list[tuple[int, int, int, int, int]]) -> int:
+    """Most words in stretches that follow each other in text and document; where two overlap, the later starts after the earlier."""
+    if not found:
+        return 0
+    s = np.array(sorted(set(found), key=lambda s: (s[1], s[3])), np.int64)
+    best = np.zeros(len(s), np.int64)
+    for k, (a, b, c, d, altered) in enumerate(s):
+        best[k] = b - a + 1
+        if k:
+            lost = np.maximum(np.maximum(s[:k, 1] - a, s[:k, 3] - c) + 1, 0)
+            rest = b - a + 1 - lost
+            fits = (rest >= STRETCH) & (altered <= (ALTERED * rest + 1e-9).astype(np.int64)) & (s[:k, 3] < d)
+            if fits.any():
+                best[k] = max(best[k], int((best[:k] + rest)[fits].max()))
+    return int(best.max())
 
 
 def _search(passages: Passages):
@@ -289,18 +308,23 @@ def _search(passages: Passages):
 def leaked(spark: SparkSession, passages: DataFrame, documents: DataFrame) -> DataFrame:
     """(passage_id, doc_id, share): the documents that hold at least half of a passage's words in stretches.
 
-    Passages are a stated query set: they are held in blocks of at most
-    BLOCK_LETTERS letters, and each block meets all documents in one scan.
+    Passages are a stated query set: they are held in blocks, each checked to
+    have at most BLOCK_LETTERS letters (or one passage), and each block meets
+    all documents in one scan.
     Whole texts are searched. Null or empty texts, and passages of fewer than
     STRETCH words, match nothing; repeated passages and documents are each
     reported once per id; other columns are ignored.
     """
     held = passages.where("passage_id is not null and passage_text is not null").select("passage_id", "passage_text")
-    letters = held.agg(F.coalesce(F.sum(F.length("passage_text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(letters / BLOCK_LETTERS))
+    blocks, own = 1, F.xxhash64("passage_id")
+    while True:
+        size = held.groupBy(F.pmod(own, F.lit(blocks)).alias("k")).agg(F.sum(F.length("passage_text")).alias("n"), F.countDistinct("passage_id").alias("m"))
+        if size.where((F.col("n") > BLOCK_LETTERS) & (F.col("m") > 1)).isEmpty():
+            break
+        blocks *= 2
     texts, found = spread(documents.select("doc_id", "text")), []
     for k in range(blocks):
-        block = held.where(F.pmod(F.xxhash64("passage_id"), F.lit(blocks)) == k) if blocks > 1 else held
+        block = held.where(F.pmod(own, F.lit(blocks)) == k) if blocks > 1 else held
         rows = sorted((r["passage_id"], r["passage_text"]) for r in block.distinct().collect())
         index = Passages([i for i, _ in rows], [word_list(t) for _, t in rows])
         found.append(

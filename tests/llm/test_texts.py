@@ -65,7 +65,7 @@ def test_filter_loses_nothing_that_verification_keeps():
     want = set()
     for d, doc in enumerate(docs):
         for p, text in enumerate(texts):
-            if K.covered(K.stretches(K.aligned(text, doc, -len(text), len(doc)))) >= 0.5 * len(text):
+            if K.covered(K.stretches(K.equal_runs(text, doc, np.arange(len(doc))), len(text))) >= 0.5 * len(text):
                 want.add((d, p))
     assert len(want) > 10 and want <= got
 
@@ -101,9 +101,41 @@ def test_repeated_documents_keep_their_rows(spark, n):
     assert R.scored(spark, df).count() == n
 
 
-def test_alignment_is_banded():
-    text = passage(3, 12)
-    place = K.aligned(text, ["q"] * 5 + text, 3, 7)
-    assert place == list(range(5, 17))
-    assert K.aligned(text, ["q"] * 50 + text, 3, 7) == [-1] * 12
-    assert np.array_equal(K.Letters.of([["ab", "c"], []]).word, [0, 0, 1])
+@pytest.mark.parametrize("letters", [2, 3, 6])
+def test_two_exact_stretches_of_common_words_are_found(letters):
+    # passages of 32 words of which exactly half stand in two exact stretches, half of the words from 100 common ones
+    rng = random.Random(letters)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = [word(rng.randrange(1, letters + 1)) for _ in range(100)]
+    draw = lambda n: [rng.choice(common) if rng.random() < 0.5 else word(rng.randrange(1, letters + 1)) for _ in range(n)]
+    texts = [draw(32) for _ in range(300)]
+    index = K.Passages(list(range(300)), texts)
+    docs = [draw(60) + t[2:10] + draw(rng.randrange(1, 40)) + t[18:26] + draw(60) for t in texts]
+    got = {(d, p) for d, p, _ in index.search(docs)}
+    assert {(i, i) for i in range(300)} <= got
+
+
+def test_one_altered_word_in_ten_of_short_words():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2))
+    texts = [[word() for _ in range(20)] for _ in range(200)]
+    docs = []
+    for t in texts:
+        part = list(t[3:13])
+        part[rng.choice([4, 5])] = "q" * rng.randrange(1, 60)
+        docs.append([word() for _ in range(30)] + part + [word() for _ in range(30)])
+    got = {(d, p) for d, p, _ in K.Passages(list(range(200)), texts).search(docs)}
+    assert {(i, i) for i in range(200)} <= got
+
+
+def test_a_repeated_word_does_not_break_a_stretch():
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
+    doc = text[:8] + ["eight", "other"] + text[8:]
+    assert K.covered(K.stretches(K.equal_runs(text, doc, np.arange(len(doc))), 16)) == 16
+    assert K.covered(K.stretches(K.equal_runs(text, text[8:] + text[:8], np.arange(16)), 16)) == 8
+    assert K.covered([]) == 0 and K.equal_runs(text, ["q"], np.arange(1)) == []
+
+
+def test_long_tags_do_not_count():
+    text = " ".join(WORDS)
+    assert K.word_list(text.replace("quiet", '<a title="' + "words in a tag " * 60 + '">quiet')) == K.word_list(text)
