@@ -93,17 +93,17 @@ class Letters:
 
 def short_pieces(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """(letter, hash) of every run of PIECE words that has fewer letters than a q-gram."""
-    at, hashes, base = [], [], 0
-    for words in texts:
-        sizes = [len(w) for w in words]
-        place = base
-        for i in range(len(words) - PIECE + 1):
-            if sum(sizes[i : i + PIECE]) < Q:
-                at.append(place)
-                hashes.append(xxhash.xxh3_64_intdigest("\0".join(words[i : i + PIECE])))
-            place += sizes[i]
-        base += sum(sizes)
-    return np.array(at, np.int64), np.array(hashes, np.uint64)
+    words = [w for t in texts for w in t]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    if len(words) < PIECE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    last = len(words) - PIECE + 1
+    short = np.flatnonzero((ends[PIECE - 1 :] - starts[:last] < Q) & (owner[:last] == owner[PIECE - 1 :]))
+    hashes = [xxhash.xxh3_64_intdigest("\0".join(words[i : i + PIECE])) for i in short]
+    return starts[short], np.array(hashes, np.uint64)
 
 
 class Passages:
@@ -164,13 +164,14 @@ class Passages:
         fresh[1:] = (np.diff(at) != 1) | (np.diff(place) != 1) | (np.diff(owner) != 0) | (np.diff(passage) != 0)
         heads = np.flatnonzero(fresh)
         tails = np.concatenate([heads[1:], [len(at)]]) - 1 if len(heads) else heads
-        words = self.ended[place[tails] + Q] - self.started[place[heads]]
+        first = self.started[place[heads]]
+        words = np.maximum(self.ended[place[tails] + Q] - first, 0)
         grams = tails - heads + 1
         at, place = at[heads], place[heads]
         if len(self.pieces[0]):
             more, there = self._hits(self.pieces, *short_pieces(docs))
             at, place = np.concatenate([at, more]), np.concatenate([place, there])
-            words = np.concatenate([words, np.full(len(more), PIECE)])
+            words, first = np.concatenate([words, np.full(len(more), PIECE)]), np.concatenate([first, self.started[there]])
             grams = np.concatenate([grams, self.bound[self.letters.owner[there]]])  # a piece seen whole meets the bound
         if not len(at):
             return at, at, at
@@ -183,11 +184,18 @@ class Passages:
             shared, longest = np.bincount(band, weights=grams), np.zeros(band.max() + 1, np.int64)
             np.maximum.at(longest, band, words)
             dense |= (shared[band] >= self.bound[passage]) & (longest[band] >= PIECE)
+        pair, at, place, first, words = (c[dense] for c in (pair, at, place, first, words))
+        order = np.lexsort((first, pair))
+        pair, at, place, first, words = (c[order] for c in (pair, at, place, first, words))
+        # words of the passage that the runs of a pair spell together, each counted once
         _, group = np.unique(pair, return_inverse=True)
-        keep = (np.bincount(group, weights=np.maximum(words, 0))[group] >= SEEN * self.sizes[passage]) & (np.bincount(group, weights=dense)[group] > 0)
-        pair, at, place = pair[keep & dense], at[keep & dense], place[keep & dense]
-        order = np.argsort(pair, kind="stable")
-        return pair[order], at[order], place[order]
+        wide = np.int64(len(self.ended) + 1)
+        reach = np.maximum.accumulate(group * wide + first + words) - group * wide if len(group) else first
+        before = np.concatenate([[0], reach[:-1]])
+        before[np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]] = 0
+        fresh = np.maximum(first + words - np.maximum(before, first), 0)
+        keep = np.bincount(group, weights=fresh)[group] >= SEEN * self.sizes[pair % len(self.texts)]
+        return pair[keep], at[keep], place[keep]
 
     def search(self, docs: list[list[str]]) -> Iterator[tuple[int, int, float]]:
         """(document, passage, share of the passage's words covered) of each leak."""
@@ -247,9 +255,11 @@ def stretches(runs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int,
     most = int(ALTERED * n + 1e-9)
     steps: list[list[tuple[int, int]]] = [[] for _ in runs]
     for a, (i, j, size) in enumerate(runs):
-        for b in range(len(runs)):
+        for b in range(a + 1, len(runs)):  # runs lie in the order of the text
             p, q, length = runs[b]
-            if b == a or p + length <= i + size or q + length <= j + size or p <= i or q <= j:
+            if p - i - size > most:
+                break
+            if q - j - size > most or p + length <= i + size or q + length <= j + size or p <= i or q <= j:
                 continue
             trim = max(i + size - p, j + size - q, 0)
             if trim < length and (cost := max(p + trim - i - size, q + trim - j - size)) <= most:
