@@ -100,12 +100,6 @@ def _report(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return supply, quota_report(supply, load(spark, root, "balanced_corpus_targets"))
 
 
-def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    """Verbs of a config whose target share or minimum can't be met."""
-    _, report = _report(spark, root)
-    return report.where("unmet").select("config_name", "verb")
-
-
 def balanced_sample(spark: SparkSession, supply: DataFrame, report: DataFrame, vocabulary: DataFrame, seed: str = "sample") -> tuple[DataFrame, DataFrame]:
     """(sample, quotas): the drawn rows per config, and per config and verb what was wanted and drawn.
 
@@ -137,16 +131,26 @@ def balanced_sample(spark: SparkSession, supply: DataFrame, report: DataFrame, v
     return sample.select(F.col("a.config_name").alias("config_name"), "verb", "identity", "sequence_id"), quotas
 
 
+def _drawn(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    supply, report = _report(spark, root)
+    return balanced_sample(spark, supply, report, load(spark, root, "action_vocabulary"))
+
+
 def p5_sample(spark: SparkSession, root: str) -> DataFrame:
     """The sampled rows of every config: one per identity and verb."""
-    supply, report = _report(spark, root)
-    return balanced_sample(spark, supply, report, load(spark, root, "action_vocabulary"))[0]
+    return _drawn(spark, root)[0]
 
 
 def p5_shares(spark: SparkSession, root: str) -> DataFrame:
-    """Per config and verb: wanted and drawn rows, supply, and whether the target can't be met."""
-    supply, report = _report(spark, root)
-    return balanced_sample(spark, supply, report, load(spark, root, "action_vocabulary"))[1]
+    """Per config and verb: wanted rows, quota, rows really drawn, supply, and whether the target can't be met."""
+    sample, quotas = _drawn(spark, root)
+    counts = sample.groupBy("config_name", "verb").agg(F.count("*").alias("drawn"))
+    return quotas.join(counts, ["config_name", "verb"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint")))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Verbs of a config whose target share or minimum the draw can't meet."""
+    return p5_shares(spark, root).where("unmet").select("config_name", "verb")
 
 
 QUERIES = {"p5_found": p5_found, "p5_shares": p5_shares, "p5_sample": p5_sample}

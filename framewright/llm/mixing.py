@@ -56,13 +56,6 @@ def source_sizes(sized: DataFrame) -> DataFrame:
     return sized.groupBy("source_key").agg(F.sum("tokens").alias("tokens"))
 
 
-def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    """Sources that can't give their share of the budget even at full repetition."""
-    sizes = source_sizes(sized_documents(load(spark, root, "documents")))
-    plan = mixture_plan(sizes, load(spark, root, "mixture_targets"))
-    return plan.where("short").select("mixture_name", "doc_source")
-
-
 def mixed(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """(draws, plan): draws holds (mixture_name, doc_id, source_key, tokens, copies) with copies >= 1.
 
@@ -112,6 +105,11 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Sources whose draw can't give their share of the budget even at full repetition."""
+    return p8_shares(spark, root).where("short").select("mixture_name", "doc_source")
+
+
 QUERIES = {"p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture}
 
 _SIZES = r"""

@@ -30,7 +30,7 @@ NOTICE_STEMS = (
 _INVISIBLE = {c: None for c in [0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x200E, 0x200F]}
 _BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|blockquote|section|article|tr|body|html|hr)\b[^>]*>", re.I)
 _DROP_TAG = re.compile(r"<(script|style|pre|code|table|h[1-6]|title|a|nav|footer)\b[^>]*>.*?</\1\s*>", re.I | re.S)
-_TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,400}>")
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _LINK = re.compile(r"\[([^\]]*)\]\([^)\s]*\)|(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 _MARK = re.compile(r"^[ \t]*(?:(?:[-*+•‣·–—]|>+|\d{1,3}[.)]|\(\d{1,3}\))[ \t]+)+")
