@@ -75,11 +75,12 @@ def url_host(url: Column) -> Column:
 
 
 def humanized(identity: Column) -> Column:
-    """The readable end of an identifier: leaf, camel case opened, extension dropped, lower-case words."""
-    leaf = F.regexp_extract(identity, r"([^:/\\]+)[:/\\]*$", 1)
-    opened = F.regexp_replace(leaf, r"(?<=[a-z0-9])(?=[A-Z])", " ")
-    bare = F.regexp_replace(opened, r"\.[A-Za-z0-9]{1,5}$", "")
-    return F.trim(F.regexp_replace(F.lower(bare), r"[^a-z0-9]+", " "))
+    """The readable end of an identifier: leaf, camel case and acronyms opened, picture extension dropped, lower-case words; "unknown subject" if none are left."""
+    leaf = F.regexp_extract(identity, r"([^:/\\]*)$", 1)
+    opened = F.regexp_replace(F.regexp_replace(leaf, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    bare = F.regexp_replace(opened, r"(?i)\.(?:png|gif|webp|apng|jpg|jpeg)$", "")
+    words = F.lower(F.trim(F.regexp_replace(bare, r"[^0-9A-Za-z]+", " ")))
+    return F.when(words == "", "unknown subject").otherwise(words)
 
 
 def clauses(*parts: tuple[str, Column]) -> Column:
@@ -92,26 +93,23 @@ def clauses(*parts: tuple[str, Column]) -> Column:
 
 
 def budgeted_words(parts: Column, most: int) -> Column:
-    """Phrases of an array kept in order while the words fit a budget.
+    """Phrases of an array kept in order while the words fit a budget, joined by "; ".
 
     A phrase that is too long is skipped, not the end: a later shorter one may
-    still fit. Null, blank and repeated phrases, and phrases already contained
-    in a kept one, are dropped.
+    still fit. Null and blank phrases, and those that without regard to case
+    stand in a kept one, are dropped; blanks inside are collapsed.
     """
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"))
+    plain = F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p.isNotNull() & (p != ""))
 
     def step(state: Column, phrase: Column) -> Column:
-        words = F.size(F.split(F.trim(phrase), r"\s+"))
-        fits = (
-            phrase.isNotNull() & (F.trim(phrase) != "") & (state["used"] + words <= most)
-            & ~F.exists(state["kept"], lambda k: F.contains(k, F.trim(phrase)))
-        )
+        words = F.size(F.split(phrase, " "))
+        fits = (state["used"] + words <= most) & ~F.exists(state["kept"], lambda k: F.contains(F.lower(k), F.lower(phrase)))
         return F.when(
-            fits,
-            F.struct(F.array_append(state["kept"], F.trim(phrase)).alias("kept"), (state["used"] + words).alias("used")),
+            fits, F.struct(F.array_append(state["kept"], phrase).alias("kept"), (state["used"] + words).alias("used"))
         ).otherwise(state)
 
-    return F.aggregate(parts, start, step, lambda s: F.array_join(s["kept"], ", "))
+    return F.aggregate(plain, start, step, lambda s: F.array_join(s["kept"], "; "))
 
 
 def leaks_label(label: Column, caption: Column, least: int = 4) -> Column:
@@ -123,11 +121,12 @@ def leaks_label(label: Column, caption: Column, least: int = 4) -> Column:
 def normalized_label(df: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:
     """``df`` with (label, confidence, method) of a raw label against (name, canonical) pairs.
 
-    missing 0.0, exact 1.0 (the canonical name), alias 0.98 (another name),
-    embedded 0.85 (the longest name standing in the label as whole words),
-    unmapped 0.0. Names are compared as slugs. Distinct labels are matched, not
-    rows; the embedded names of a label are looked up word run by word run, so
-    there is no cross join.
+    missing 0.0 (null or empty), exact 1.0 (the canonical name), alias 0.98
+    (another name), embedded_token 0.85 (the longest name standing in the label
+    as whole words, of equally long ones the first), unmapped 0.0. Names are
+    compared as slugs. Distinct labels are matched, not rows; the embedded names
+    of a label are looked up word run by word run, up to the words of the
+    longest name, so there is no cross join.
     """
     key = slug(F.col(column))
     names = (
@@ -138,12 +137,13 @@ def normalized_label(df: DataFrame, column: str, vocabulary: DataFrame) -> DataF
     keyed = df.withColumn("_key", key)
     distinct = keyed.where("_key <> ''").select("_key").distinct()
     words = F.split("_key", "_")
+    most = names.agg(F.max(F.size(F.split("_name", "_")))).first()[0] or 1
     runs = distinct.select(
         "_key",
         F.explode(F.array_distinct(F.flatten(F.transform(
             F.sequence(F.lit(1), F.size(words)),
             lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(4), F.size(words) - i + 1)),
+                F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - i + 1)),
                 lambda n: F.array_join(F.slice(words, i, n), "_"),
             ),
         )))).alias("_name"),
@@ -152,16 +152,16 @@ def normalized_label(df: DataFrame, column: str, vocabulary: DataFrame) -> DataF
         runs.join(names, "_name")
         .withColumn("_whole", F.col("_name") == F.col("_key"))
         .groupBy("_key")
-        .agg(F.max_by(F.struct("_canonical", "_name", "_whole"), F.struct(F.length("_name"), "_name")).alias("_hit"))
+        .agg(F.min_by(F.struct("_canonical", "_name", "_whole"), F.struct(-F.length("_name"), "_name")).alias("_hit"))
         .select(
             "_key",
             F.col("_hit._canonical").alias("_label"),
             F.when(F.col("_hit._whole") & (F.col("_hit._name") == F.col("_hit._canonical")), "exact")
-            .when(F.col("_hit._whole"), "alias").otherwise("embedded").alias("_method"),
+            .when(F.col("_hit._whole"), "alias").otherwise("embedded_token").alias("_method"),
         )
     )
-    method = F.when(F.col(column).isNull() | (F.coalesce(F.col("_key"), F.lit("")) == ""), "missing").otherwise(F.coalesce("_method", F.lit("unmapped")))
-    confidence = F.create_map(*[F.lit(x) for kv in {"missing": 0.0, "exact": 1.0, "alias": 0.98, "embedded": 0.85, "unmapped": 0.0}.items() for x in kv])
+    method = F.when(F.coalesce(F.col(column), F.lit("")) == "", "missing").otherwise(F.coalesce("_method", F.lit("unmapped")))
+    confidence = F.create_map(*[F.lit(x) for kv in {"missing": 0.0, "exact": 1.0, "alias": 0.98, "embedded_token": 0.85, "unmapped": 0.0}.items() for x in kv])
     return (
         keyed.join(best, "_key", "left")
         .withColumn("method", method)
@@ -172,23 +172,26 @@ def normalized_label(df: DataFrame, column: str, vocabulary: DataFrame) -> DataF
 
 
 def token_ids(text: Column, most: int) -> Column:
-    """Byte token ids of a text: 1, then each UTF-8 byte + 3, then 2, padded with 0 to ``most`` ids.
+    """Byte token ids of a text: 1, then each UTF-8 byte + 3 of its trimmed NFC form, then 2, padded with 0 to ``most`` ids.
 
-    Too long a text is cut between characters, never inside one.
+    Too long a text is cut between characters, never inside one. A blank text
+    gives null. ``token_mask`` tells ids from padding.
     """
     room = most - 2
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    codes = F.transform(
-        F.sequence(F.lit(0), F.octet_length(text) - 1),
-        lambda i: F.conv(F.substr(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
-    )
-    codes = F.when(F.octet_length(text) > 0, codes).otherwise(F.array().cast("array<int>"))
-    # a byte 10xxxxxx continues a character: step back to the last start that fits
-    cut = F.aggregate(
-        F.sequence(F.lit(0), F.lit(3)),
-        F.lit(room),
-        lambda end, _: F.when((end < F.size(codes)) & (F.get(codes, end).bitwiseAND(F.lit(0xC0)) == 0x80), end - 1).otherwise(end),
-    )
-    body = F.transform(F.slice(codes, F.lit(1), F.least(F.size(codes), cut)), lambda c: c + 3)
-    whole = F.concat(F.array(F.lit(1)), body, F.array(F.lit(2)))
-    return F.concat(whole, F.array_repeat(F.lit(0), F.lit(most) - F.size(whole)))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def ids(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            held = b"" if v is None else unicodedata.normalize("NFC", v.strip()).encode()
+            if len(held) > room:
+                held = held[:room].decode(errors="ignore").encode()
+            out.append([1, *[x + 3 for x in held], 2, *[0] * (room - len(held))] if held else None)
+        return pd.Series(out)
+
+    return ids(text)
+
+
+def token_mask(ids: Column) -> Column:
+    """Which ids of a padded row count."""
+    return F.transform(ids, lambda i: i != 0)

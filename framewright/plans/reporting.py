@@ -232,7 +232,7 @@ ORACLES = {
     "multi_action_identities": """
         WITH d AS (SELECT DISTINCT identity_id, verb, sequence_id FROM latent_motion_training_rows WHERE identity_id IS NOT NULL AND verb IS NOT NULL)
         SELECT identity_id, count(DISTINCT verb) AS n_labels, string_agg(sequence_id, '|' ORDER BY verb, sequence_id) AS members
-        FROM d GROUP BY identity_id HAVING count(DISTINCT verb) >= 20
+        FROM d GROUP BY identity_id HAVING count(DISTINCT verb) >= 2
     """,
     "nearest_rank_distribution": """
         WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS i,

@@ -122,7 +122,7 @@ def grid_cells(spark: SparkSession, root: str) -> DataFrame:
 
 
 def normalize_labels(spark: SparkSession, root: str) -> DataFrame:
-    """Distinct raw verbs against the vocabulary: missing, exact, alias, embedded or unmapped."""
+    """Distinct raw verbs against the vocabulary: missing, exact, alias, embedded_token or unmapped."""
     verbs = load(spark, root, "latent_motion_training_rows").select("verb").distinct()
     names = load(spark, root, "action_vocabulary").select(
         F.col("canonical_action").alias("canonical"), F.explode(F.array_append("other_names", F.col("canonical_action"))).alias("name"))
@@ -176,7 +176,8 @@ def humanized_identities(spark: SparkSession, root: str) -> DataFrame:
 def byte_tokens(spark: SparkSession, root: str) -> DataFrame:
     """Descriptions as byte token ids: up to 96 bytes between the marks of start and end."""
     rows = load(spark, root, "semantic_embedding_rows").where("description is not null").select("row_index", "description").distinct()
-    ids = L.token_ids(F.col("description"), 98)
+    rows = rows.withColumn("ids", L.token_ids(F.col("description"), 98)).where("ids is not null")
+    ids = F.col("ids")
     return rows.select("row_index", F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("tokens"))
 
 
@@ -325,10 +326,10 @@ ORACLES = {
                 (SELECT string_agg(chr(CAST(33 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)) || '  '),
                 '[^\x00-\x7F]+', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM latent_motion_training_rows),
         n AS (SELECT replace(name, ' ', '_') AS name, min(replace(canonical_action, ' ', '_')) AS c FROM (SELECT canonical_action, unnest(list_append(other_names, canonical_action)) AS name FROM action_vocabulary) GROUP BY 1),
-        h AS (SELECT v.verb, k, n.name, n.c, row_number() OVER (PARTITION BY k ORDER BY length(n.name) DESC, n.name DESC) AS r FROM v JOIN n ON contains('_' || k || '_', '_' || n.name || '_') WHERE k <> '')
+        h AS (SELECT v.verb, k, n.name, n.c, row_number() OVER (PARTITION BY k ORDER BY length(n.name) DESC, n.name) AS r FROM v JOIN n ON contains('_' || k || '_', '_' || n.name || '_') WHERE k <> '')
         SELECT coalesce(v.verb, '(null)') AS verb, coalesce(h.c, '') AS label,
-            CASE WHEN v.k IS NULL OR v.k = '' THEN 0.0 WHEN h.name IS NULL THEN 0.0 WHEN h.name = v.k AND h.name = h.c THEN 1.0 WHEN h.name = v.k THEN 0.98 ELSE 0.85 END::DOUBLE AS confidence,
-            CASE WHEN v.k IS NULL OR v.k = '' THEN 'missing' WHEN h.name IS NULL THEN 'unmapped' WHEN h.name = v.k AND h.name = h.c THEN 'exact' WHEN h.name = v.k THEN 'alias' ELSE 'embedded' END AS method
+            CASE WHEN coalesce(v.verb, '') = '' THEN 0.0 WHEN h.name IS NULL THEN 0.0 WHEN h.name = v.k AND h.name = h.c THEN 1.0 WHEN h.name = v.k THEN 0.98 ELSE 0.85 END::DOUBLE AS confidence,
+            CASE WHEN coalesce(v.verb, '') = '' THEN 'missing' WHEN h.name IS NULL THEN 'unmapped' WHEN h.name = v.k AND h.name = h.c THEN 'exact' WHEN h.name = v.k THEN 'alias' ELSE 'embedded_token' END AS method
         FROM v LEFT JOIN (SELECT DISTINCT k, name, c FROM h WHERE r = 1) h ON h.k = v.k
     """,
     "range_classify": """
@@ -339,10 +340,15 @@ ORACLES = {
         SELECT source_id, external_id, CASE WHEN count(DISTINCT title) = 1 THEN max(title) ELSE '' END AS title,
             CASE WHEN count(DISTINCT creator_name) = 1 THEN max(creator_name) ELSE '' END AS creator_name, count(DISTINCT creator_name) AS n_creators FROM corpus_items GROUP BY 1, 2
     """,
-    "prompt_render": """
+    "prompt_render": r"""
+        WITH p AS (SELECT *, trim(regexp_replace(p_name, '\s+', ' ', 'g')) AS a, lower(trim(regexp_replace(p_type, '\s+', ' ', 'g'))) AS b, trim(regexp_replace(p_brand, '\s+', ' ', 'g')) AS c FROM part),
+        n AS (SELECT *, len(string_split(a, ' ')) AS la, len(string_split(b, ' ')) AS lb, len(string_split(c, ' ')) AS lc FROM p),
+        k AS (SELECT *, CASE WHEN la <= 3 THEN la ELSE 0 END AS u1 FROM n),
+        t AS (SELECT *, u1 + lb <= 3 AND NOT (u1 > 0 AND contains(lower(a), b)) AS two FROM k),
+        v AS (SELECT *, u1 + CASE WHEN two THEN lb ELSE 0 END AS u2 FROM t)
         SELECT p_partkey, concat_ws(', ', 'a ' || trim(p_name), 'of type ' || lower(trim(p_type)), CASE WHEN p_size % 2 = 0 THEN 'by ' || trim(p_brand) END) AS prompt,
-            concat_ws(', ', p_name, CASE WHEN len(string_split(p_name, ' ')) + 1 <= 3 AND NOT contains(p_name, lower(p_type)) THEN lower(p_type) END,
-                CASE WHEN len(string_split(p_name, ' ')) + 1 + CASE WHEN contains(p_name, lower(p_type)) THEN 0 ELSE 1 END <= 3 THEN p_brand END) AS short_prompt FROM part
+            concat_ws('; ', CASE WHEN u1 > 0 THEN a END, CASE WHEN two THEN b END,
+                CASE WHEN u2 + lc <= 3 AND NOT (u1 > 0 AND contains(lower(a), lower(c))) AND NOT (two AND contains(b, lower(c))) THEN c END) AS short_prompt FROM v
     """,
     "caption_leak": """
         WITH i AS (SELECT DISTINCT ON (id) * FROM corpus_items ORDER BY id)
@@ -359,11 +365,20 @@ ORACLES = {
             WHEN regexp_matches(lower(label), 'cc0|public domain|unlicense') THEN 'public_domain' WHEN regexp_matches(lower(label), 'cc-?by|apache|(^|[^a-z])mit([^a-z]|$)|gpl|bsd|ofl') THEN 'open' ELSE 'other' END AS status,
             coalesce(label, '') AS label, count(*) AS n_docs FROM d GROUP BY 1, 2
     """,
-    "byte_tokens": """
-        WITH r AS (SELECT DISTINCT row_index, description AS d, list_transform(range(octet_length(encode(description))), lambda i: CAST(('0x' || substr(hex(encode(description)), 2 * i + 1, 2)) AS INTEGER)) AS b
+    "byte_tokens": r"""
+        WITH t AS (SELECT DISTINCT row_index, nfc_normalize(regexp_replace(description, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')) AS d
             FROM semantic_embedding_rows WHERE description IS NOT NULL),
-        c AS (SELECT row_index, b, CASE WHEN len(b) <= 22 THEN len(b) WHEN b[23] & 192 <> 128 THEN 22 WHEN b[22] & 192 <> 128 THEN 21 WHEN b[21] & 192 <> 128 THEN 20 ELSE 19 END AS n FROM r)
-        SELECT row_index, array_to_string(list_concat(list_concat([1], list_transform(b[1:n], lambda x: x + 3)), list_concat([2], list_transform(range(22 - n), lambda x: 0))), ' ') AS tokens FROM c
+        r AS (SELECT row_index, list_transform(range(octet_length(encode(d))), lambda i: CAST(('0x' || substr(hex(encode(d)), 2 * i + 1, 2)) AS INTEGER)) AS b FROM t WHERE d <> ''),
+        c AS (SELECT row_index, b, CASE WHEN len(b) <= 96 THEN len(b) WHEN b[97] & 192 <> 128 THEN 96 WHEN b[96] & 192 <> 128 THEN 95 WHEN b[95] & 192 <> 128 THEN 94 ELSE 93 END AS n FROM r)
+        SELECT row_index, array_to_string(list_concat(list_concat([1], list_transform(b[1:n], lambda x: x + 3)), list_concat([2], list_transform(range(96 - n), lambda x: 0))), ' ') AS tokens FROM c
+    """,
+    "humanized_identities": r"""
+        WITH i AS (SELECT DISTINCT identity_id, translate(identity_id,
+                (SELECT string_agg(chr(CAST(65281 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)),
+                (SELECT string_agg(chr(CAST(33 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i))) AS v FROM latent_motion_training_rows WHERE identity_id IS NOT NULL),
+        l AS (SELECT identity_id, regexp_extract(v, '([^:/\\]*)$', 1) AS v FROM i),
+        o AS (SELECT identity_id, regexp_replace(regexp_replace(regexp_replace(v, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '\.(png|gif|webp|apng|jpg|jpeg)$', '', 'i') AS v FROM l)
+        SELECT identity_id, coalesce(nullif(lower(trim(regexp_replace(v, '[^0-9A-Za-z]+', ' ', 'g'))), ''), 'unknown subject') AS label FROM o
     """,
     "channel_statistics": """
         WITH v AS (SELECT unnest(range(len(embedding))) AS channel, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)

@@ -244,20 +244,34 @@ def dataset_snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"dataset_snapshot": dataset_snapshot}
+_PLAIN = r"""regexp_replace(lower(translate(identity_id,
+    (SELECT string_agg(chr(CAST(65281 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)),
+    (SELECT string_agg(chr(CAST(33 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)))), '[^\p{L}\p{N}]+', '', 'g')"""
+_HEX = "regexp_replace(regexp_replace(lower({c}), 'sha-?256', ''), '[^0-9a-z]+', '', 'g')"
 ORACLES = {
     "dataset_snapshot": """
-        WITH RECURSIVE p AS (SELECT *, regexp_replace(regexp_replace(lower(source_file_sha256), 'sha-?256', ''), '[^0-9a-z]+', '', 'g') AS f
+        WITH RECURSIVE p AS (SELECT *, {file} AS f, {array} AS a, {plain} AS i
             FROM (SELECT DISTINCT ON (sequence_id) * FROM prepared_broad_rows ORDER BY sequence_id)),
-        q AS (SELECT *, CASE WHEN regexp_full_match(f, '[0-9a-f]{64}') AND NOT regexp_full_match(f, '0+') THEN f END AS file,
-            least(source_id, min(source_id) OVER (PARTITION BY identity_id)) AS src FROM p),
+        q AS (SELECT sequence_id, source_id, action, frame_phases, CASE WHEN i NOT IN ('', 'unknown') THEN i END AS identity_id,
+            CASE WHEN regexp_full_match(f, '[0-9a-f]{{64}}') AND NOT regexp_full_match(f, '0+') THEN f END AS file,
+            CASE WHEN regexp_full_match(a, '[0-9a-f]{{64}}') AND NOT regexp_full_match(a, '0+') THEN a END AS arr FROM p),
+        u AS (SELECT *, least(source_id, min(source_id) OVER (PARTITION BY identity_id)) AS src FROM q),
         s AS (SELECT sequence_id, coalesce(identity_id, 'unassigned:' || sequence_id) AS identity_id,
             coalesce('archive:' || file, 'source:' || coalesce(CASE WHEN identity_id IS NULL THEN source_id ELSE src END, 'unresolved')) AS source_pack_id,
-            lower(coalesce(nullif(trim(action), ''), 'unknown')) AS action, CAST(len(frame_phases) AS INTEGER) AS frame_count FROM q WHERE len(frame_phases) >= 2),
-        t AS (SELECT sequence_id, 'i' || identity_id AS token FROM s UNION ALL SELECT sequence_id, 'p' || source_pack_id FROM s),
+            lower(coalesce(nullif(trim(action), ''), 'unknown')) AS action, CAST(len(frame_phases) AS INTEGER) AS frame_count, file, arr FROM u WHERE len(frame_phases) >= 2),
+        many AS (SELECT arr FROM (SELECT DISTINCT arr, file FROM q WHERE arr IS NOT NULL AND file IS NOT NULL) GROUP BY arr HAVING count(*) > 1),
+        linked AS (SELECT DISTINCT arr, file FROM q WHERE arr IN (FROM many) AND file IS NOT NULL),
+        t AS (SELECT sequence_id, 'i' || identity_id AS token FROM s UNION ALL SELECT sequence_id, 'p' || source_pack_id FROM s
+            UNION ALL SELECT sequence_id, 'b' || file FROM s WHERE file IS NOT NULL UNION ALL SELECT sequence_id, 'b' || arr FROM s WHERE arr IS NOT NULL
+            UNION ALL SELECT s.sequence_id, 'b' || l.arr FROM s JOIN linked l ON s.file = l.file),
         c AS (SELECT token, min(sequence_id) AS centre FROM t GROUP BY 1), e AS (SELECT DISTINCT sequence_id AS a, centre AS b FROM t JOIN c USING (token)),
         w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM w UNION SELECT r.node, w.b FROM r JOIN w ON r.seen = w.a),
         g AS (SELECT node AS sequence_id, 'component:' || sha256(min(seen)) AS component_id FROM r GROUP BY 1),
         h AS (SELECT *, ('0x' || substr(sha256('snapshot' || chr(0) || component_id), 1, 16))::UBIGINT AS x FROM g)
-        SELECT s.*, component_id, CASE WHEN x < %d::UBIGINT THEN 'train' WHEN x < %d::UBIGINT THEN 'validation' ELSE 'test' END AS split FROM s JOIN h USING (sequence_id)
-    """ % (int(0.8 * 2**64), int((0.8 + 0.1) * 2**64)),
+        SELECT s.sequence_id, identity_id, source_pack_id, action, frame_count, component_id,
+            CASE WHEN x < {train}::UBIGINT THEN 'train' WHEN x < {validation}::UBIGINT THEN 'validation' ELSE 'test' END AS split FROM s JOIN h USING (sequence_id)
+    """.format(
+        file=_HEX.format(c="source_file_sha256"), array=_HEX.format(c="normalized_array_sha256"), plain=_PLAIN,
+        train=int(0.8 * 2**64), validation=int((0.8 + 0.1) * 2**64),
+    ),
 }

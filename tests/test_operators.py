@@ -64,21 +64,28 @@ def test_labels(spark):
     assert column_of(spark, ["see https://a.b/c). and http://X.y/z, https://a.b/c"], L.url_references) == [["https://a.b/c", "http://X.y/z"]]
     assert column_of(spark, ["CC-BY-NC 4.0", "CC0", "MIT", None, "odd"], L.rights_status) == ["restricted", "public_domain", "open", "unknown", "other"]
     df = spark.createDataFrame([(["red hat", "a very long phrase here", None, "hat", "cape"],)], "p array<string>")
-    assert df.select(L.budgeted_words(F.col("p"), 3).alias("x")).first()["x"] == "red hat, cape"
+    assert df.select(L.budgeted_words(F.col("p"), 3).alias("x")).first()["x"] == "red hat; cape"
     ids = column_of(spark, ["aé", "", "ééé"], lambda c: L.token_ids(c, 6))
     assert ids[0] == [1, 97 + 3, 0xC3 + 3, 0xA9 + 3, 2, 0]
-    assert ids[1] == [1, 2, 0, 0, 0, 0]
+    assert ids[1] is None
     assert ids[2] == [1, 0xC3 + 3, 0xA9 + 3, 0xC3 + 3, 0xA9 + 3, 2]
     assert column_of(spark, ["aéé"], lambda c: L.token_ids(c, 6)) == [[1, 100, 0xC3 + 3, 0xA9 + 3, 2, 0]]
 
 
+def test_long_names_and_equal_lengths(spark):
+    vocab = spark.createDataFrame([("a b c d e", "five words"), ("dash", "dash"), ("jump", "jump")], "name string, canonical string")
+    df = spark.createDataFrame([("a b c d e",), ("now a b c d e too",), ("jump dash",)], "raw string")
+    got = {r["raw"]: (r["label"], r["method"]) for r in L.normalized_label(df, "raw", vocab).collect()}
+    assert got == {"a b c d e": ("five_words", "alias"), "now a b c d e too": ("five_words", "embedded_token"), "jump dash": ("dash", "embedded_token")}
+
+
 def test_normalized_label(spark):
     vocab = spark.createDataFrame([("run", "run"), ("jog", "run"), ("light attack", "light attack")], "name string, canonical string")
     df = spark.createDataFrame([("Run",), ("jog",), ("hero light-attack 2",), ("zzz",), (None,), ("  ",)], "raw string")
     got = {r["raw"]: (r["label"], r["confidence"], r["method"]) for r in L.normalized_label(df, "raw", vocab).collect()}
     assert got == {
-        "Run": ("run", 1.0, "exact"), "jog": ("run", 0.98, "alias"), "hero light-attack 2": ("light_attack", 0.85, "embedded"),
-        "zzz": (None, 0.0, "unmapped"), None: (None, 0.0, "missing"), "  ": (None, 0.0, "missing")}
+        "Run": ("run", 1.0, "exact"), "jog": ("run", 0.98, "alias"), "hero light-attack 2": ("light_attack", 0.85, "embedded_token"),
+        "zzz": (None, 0.0, "unmapped"), None: (None, 0.0, "missing"), "  ": (None, 0.0, "unmapped")}
 
 
 def test_merge(spark):
