@@ -177,7 +177,9 @@ def unfenced(text: Column) -> Column:
 
 def strict_choices(text: Column, choices: dict[str, list[str]]) -> Column:
     """A JSON reply that holds exactly the named fields with allowed values, as a map; null for any other reply."""
-    held = F.from_json(unfenced(text), "map<string,string>")
+    # within brackets, so that anything after the object breaks the reply
+    held = F.from_json(F.concat(F.lit("["), unfenced(text), F.lit("]")), "array<map<string,string>>")
+    held = F.when(F.size(held) == 1, F.get(held, F.lit(0)))
     names = sorted(choices)
     same = F.array_sort(F.map_keys(held)) == F.array(*[F.lit(n) for n in names])
     fits = same
