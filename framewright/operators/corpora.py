@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.skew import hottest, lookup_join
 from framewright.session import Scratch
 
 
@@ -38,16 +40,17 @@ def overlaid(df: DataFrame, path: str, rank: str, append: Column) -> DataFrame:
     return df.withColumn("_base", base).where(F.col("_base").isNull() | (F.col(rank) >= F.col("_base"))).drop("_base")
 
 
-def inherited(nodes: DataFrame, node: str, parent: str, value: str, most_depth: int = 32) -> DataFrame:
+def inherited(nodes: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     """(node, value, depth): the value of the node or of its nearest ancestor that has one.
 
     Pointers are doubled each round, so a tree of depth d takes log2(d)
-    rounds; a cycle ends as unresolved (null) after ``most_depth`` levels.
+    rounds, however deep; a node whose way up runs in a cycle without a value,
+    seen once more levels were followed than there are nodes, is unresolved (null).
     """
     scratch = Scratch(nodes.sparkSession, "inherit")
     state = nodes.select(node, F.col(parent).alias("up"), F.col(value).alias("v"), F.lit(0).alias("depth"), F.when(F.col(parent).isNotNull(), 1).otherwise(0).alias("jump"))
     state = scratch.write(state, "0")
-    for k in range(1, most_depth.bit_length() + 1):
+    for k in range(1, state.count().bit_length() + 2):
         of = state.select(F.col(node).alias("up"), F.col("up").alias("up2"), F.col("v").alias("v2"), F.col("depth").alias("d2"), F.col("jump").alias("j2"))
         need = F.col("v").isNull()
         after = state.join(of, "up", "left").select(
@@ -64,11 +67,12 @@ def inherited(nodes: DataFrame, node: str, parent: str, value: str, most_depth:
     return state.select(node, F.col("v").alias(value), F.when(F.col("v").isNotNull(), F.col("depth")).alias("depth"))
 
 
-def included(spark: SparkSession, edges: DataFrame, source: str, target: str, order: str, most_depth: int = 16) -> DataFrame:
+def included(spark: SparkSession, edges: DataFrame, source: str, target: str, order: str) -> DataFrame:
     """(root, document, path): every document a root includes, directly or not, once, at its first place in reading order.
 
-    A document met again on the same path (a cycle) is skipped. ``path`` is
-    the array of positions that leads to it, which sorts in reading order.
+    A document met again on the same path (a cycle) is skipped, so the rounds
+    end by themselves at the longest way. ``path`` is the array of positions
+    that leads to it, which sorts in reading order.
     """
     scratch = Scratch(spark, "include")
     step = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to"), F.col(order).cast("int").alias("_at"))
@@ -76,7 +80,7 @@ def included(spark: SparkSession, edges: DataFrame, source: str, target: str, or
         F.col(source).alias("root"), F.col(target).alias("document"), F.array(F.col(order).cast("int")).alias("path"), F.array(source, target).alias("_seen")
     ).where(F.col(source) != F.col(target)), "d0")
     found = [front]
-    for k in range(1, most_depth + 1):
+    for k in itertools.count(1):
         nxt = front.join(step, front["document"] == step["_from"]).where(~F.array_contains("_seen", F.col("_to"))).select(
             "root", F.col("_to").alias("document"), F.concat("path", F.array("_at")).alias("path"), F.concat("_seen", F.array("_to")).alias("_seen")
         )
@@ -253,8 +257,15 @@ def first_of_slots(df: DataFrame, group: str, number: str, slots: dict[str, list
 
 
 def alias_groups(df: DataFrame, key: str, value: Column) -> DataFrame:
-    """Groups of keys that share a value (an array counts as a value): members and size, alone ones left out."""
-    grouped = df.groupBy(value.alias("shared")).agg(F.array_sort(F.collect_set(key)).alias("_m")).where(F.size("_m") > 1)
-    return grouped.select(F.array_join("_m", "|").alias("members"), F.size("_m").cast("bigint").alias("n_members"))
-
+    """(key, first_member, n_members) of the keys that share a value (an array counts as a value) with another key.
 
+    One row per key, so a group of any size is gathered nowhere.
+    """
+    rows = df.select(F.col(key), F.xxhash64(value).alias("_h"), value.alias("_v")).distinct()
+    groups = rows.groupBy("_h", "_v").agg(F.min(key).alias("first_member"), F.count("*").alias("n_members")).where("n_members > 1")
+    counts = groups.groupBy("_h").agg(F.sum("n_members").alias("n"))
+    hot = hottest(counts, "_h", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    # equal hashes of different values are kept apart by the value itself
+    packed = groups.groupBy("_h").agg(F.collect_list(F.struct("_v", "first_member", "n_members")).alias("_g"))
+    met = lookup_join(rows, packed, "_h", hot=hot).select(key, "_v", F.explode("_g").alias("_g")).where(F.col("_v").eqNullSafe(F.col("_g._v")))
+    return met.select(key, F.col("_g.first_member").alias("first_member"), F.col("_g.n_members").alias("n_members"))

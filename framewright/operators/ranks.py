@@ -37,3 +37,21 @@ def distributed_rank(
     return placed.join(offsets, keys).select(
         *[placed[c] for c in df.columns], (F.col("_offset") + F.col("_inside")).alias(name)
     )
+
+
+def running_sum(spark: SparkSession, df: DataFrame, group: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``amount`` over the row and those before it within its group, in an order without ties.
+
+    As for ranks: ranges are summed inside, then the sums of the ranges before are added.
+    """
+    scratch = Scratch(spark, "sums")
+    ranged = scratch.write(
+        df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_place", F.monotonically_increasing_id()), "ranged"
+    ).withColumn("_range", F.shiftright("_place", 33))
+    sums = ranged.groupBy(*group, "_range").agg(F.sum(amount).alias("_s"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*group, "_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*group, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_inside", F.sum(amount).over(inside))
+    keys = [placed[g].eqNullSafe(offsets[g]) for g in group] + [placed["_range"] == offsets["_range"]]
+    return placed.join(offsets, keys).select(*[placed[c] for c in df.columns], (F.col("_offset") + F.col("_inside")).alias(name))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.operators.skew import union_all
+from framewright.operators.ranks import running_sum
+from framewright.operators.skew import hottest, lookup_join, union_all
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -114,15 +115,21 @@ def duplicate_summary(df: DataFrame, value: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, fractions: dict[str, tuple[int, int]]) -> DataFrame:
-    """Per group: least and greatest value and lower nearest-rank quantiles, the entry at floor((n - 1) * a / b)."""
-    order = Window.partitionBy(group).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(
-        group, value, (F.row_number().over(order) - 1).alias("_at"), F.count("*").over(Window.partitionBy(group)).alias("_n")
-    )
+    """Per group: least and greatest value and lower nearest-rank quantiles, the entry at floor((n - 1) * a / b).
+
+    Equal values are counted first, and their running counts are summed over
+    ranges, so a few groups of any size are spread over all tasks.
+    """
+    spark = df.sparkSession
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    placed = running_sum(spark, counts, [group], [value], "_c", "_end")
+    sizes = counts.groupBy(group).agg(F.sum("_c").alias("_n"))
+    ranked = placed.join(sizes, placed[group].eqNullSafe(sizes[group])).select(placed[group], placed[value], "_c", "_end", "_n")
+    at = lambda a, b: F.expr(f"((_n - 1) * {a}) div {b}")
     return ranked.groupBy(group).agg(
-        F.count("*").alias("n_rows"), F.min(value).alias("least"),
+        F.max("_n").alias("n_rows"), F.min(value).alias("least"),
         *[
-            F.max(F.when(F.col("_at") == F.expr(f"((_n - 1) * {a}) div {b}"), F.col(value))).alias(name)
+            F.max(F.when((F.col("_end") > at(a, b)) & (F.col("_end") - F.col("_c") <= at(a, b)), F.col(value))).alias(name)
             for name, (a, b) in fractions.items()
         ],
         F.max(value).alias("greatest"),
@@ -130,14 +137,11 @@ def nearest_rank(df: DataFrame, group: str, value: str, fractions: dict[str, tup
 
 
 def multi_label_groups(df: DataFrame, group: str, label: str, member: str, least: int) -> DataFrame:
-    """Groups with at least ``least`` distinct labels, and their members in (label, member) order."""
-    return (
-        df.where(F.col(group).isNotNull() & F.col(label).isNotNull())
-        .groupBy(group)
-        .agg(F.count_distinct(label).alias("n_labels"), F.array_sort(F.collect_set(F.struct(label, member))).alias("_m"))
-        .where(F.col("n_labels") >= least)
-        .select(group, "n_labels", F.array_join(F.transform("_m", lambda m: m[member].cast("string")), "|").alias("members"))
-    )
+    """(group, label, member, n_labels): the distinct members of groups with at least ``least`` distinct labels, one row each."""
+    rows = df.where(F.col(group).isNotNull() & F.col(label).isNotNull()).select(group, label, member).distinct()
+    labels = rows.groupBy(group, label).agg(F.count("*").alias("_c")).groupBy(group).agg(F.count("*").alias("n_labels"), F.sum("_c").alias("n")).where(F.col("n_labels") >= least)
+    total = labels.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return lookup_join(rows, labels.select(group, "n_labels"), group, hot=hottest(labels, group, total))
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -70,13 +70,20 @@ def negative_claims(document: Column, fields: list[str]) -> Column:
 
 
 def phases_ready(phases: Column, loop_mode: Column) -> Column:
-    """Whether phases fit their loop mode: strictly increasing, loop in [0, 1), others in [0, 1]; null, empty or unknown mode don't."""
+    """Whether phases fit their loop mode: strictly increasing, loop in [0, 1), one-shot and ping-pong in [0, 1]; null, empty or unknown mode don't.
+
+    An intro that turns into a loop has no phases in the intro, at least one
+    frame long; from the first phase on, which is 0, they are those of a loop.
+    """
+    intro = loop_mode == "intro_then_loop"
+    first = F.array_position(F.transform(phases, lambda p: p.isNotNull()), F.lit(True))
+    tail = F.when(intro, F.slice(phases, F.greatest(first, F.lit(1)).cast("int"), F.size(phases))).otherwise(phases)
     rising = F.forall(
-        F.zip_with(F.slice(phases, F.lit(1), F.size(phases) - 1), F.slice(phases, F.lit(2), F.greatest(F.size(phases) - 1, F.lit(0))), lambda a, b: a < b),
+        F.zip_with(F.slice(tail, F.lit(1), F.size(tail) - 1), F.slice(tail, F.lit(2), F.greatest(F.size(tail) - 1, F.lit(0))), lambda a, b: a < b),
         lambda ok: F.coalesce(ok, F.lit(False)),
     )
-    inside = F.forall(phases, lambda p: F.coalesce((p >= 0) & F.when(loop_mode == "loop", p < 1).otherwise(p <= 1), F.lit(False)))
-    known = loop_mode.isin("loop", "one_shot", "ping_pong")
+    inside = F.forall(tail, lambda p: F.coalesce((p >= 0) & F.when(loop_mode.isin("loop", "intro_then_loop"), p < 1).otherwise(p <= 1), F.lit(False)))
+    known = loop_mode.isin("loop", "one_shot", "ping_pong") | (intro & (first > 1) & (F.get(tail, F.lit(0)) == 0.0))
     return F.coalesce(known & (F.size(phases) > 0) & rising & inside, F.lit(False))
 
 

@@ -120,7 +120,7 @@ def anchored_palette(spark: SparkSession, root: str) -> DataFrame:
 
 def alias_groups(spark: SparkSession, root: str) -> DataFrame:
     per = load(spark, root, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderpriority")).alias("p"))
-    return C.alias_groups(per.select(F.col("o_custkey").cast("string").alias("k"), "p"), "k", F.col("p"))
+    return C.alias_groups(per.select(F.col("o_custkey").cast("string").alias("k"), "p"), "k", F.col("p")).withColumnRenamed("k", "o_custkey")
 
 
 def slot_choice(spark: SparkSession, root: str) -> DataFrame:
@@ -220,8 +220,9 @@ ORACLES = {
         SELECT p_brand, colour, n, round(n / sum(n) OVER (PARTITION BY p_brand), 9) AS share, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, colour) AS rank FROM s
     """,
     "alias_groups": """
-        WITH p AS (SELECT CAST(o_custkey AS VARCHAR) AS k, list_sort(list(o_orderpriority)) AS p FROM orders GROUP BY 1)
-        SELECT string_agg(k, '|' ORDER BY k) AS members, count(*) AS n_members FROM p GROUP BY p HAVING count(*) > 1
+        WITH p AS (SELECT CAST(o_custkey AS VARCHAR) AS k, list_sort(list(o_orderpriority)) AS p FROM orders GROUP BY 1),
+        g AS (SELECT p, min(k) AS first_member, count(*) AS n_members FROM p GROUP BY p HAVING count(*) > 1)
+        SELECT k AS o_custkey, first_member, n_members FROM p JOIN g USING (p)
     """,
     "slot_choice": f"""
         WITH w AS (SELECT * FROM (VALUES {_SLOT_ROWS}) v(slot, n, r))

@@ -84,7 +84,7 @@ def duplicate_excess(spark: SparkSession, root: str) -> DataFrame:
 
 
 def multi_action_identities(spark: SparkSession, root: str) -> DataFrame:
-    """Every identity with more than one verb."""
+    """The sequences of every identity with more than one verb, with the number of its verbs."""
     motions = load(spark, root, "latent_motion_training_rows").where("identity_id is not null")
     return R.multi_label_groups(motions, "identity_id", "verb", "sequence_id", 2)
 
@@ -230,9 +230,9 @@ ORACLES = {
             coalesce(CAST(sum(n - 1) FILTER (n > 1) AS BIGINT), 0) AS n_excess_rows FROM g
     """,
     "multi_action_identities": """
-        WITH d AS (SELECT DISTINCT identity_id, verb, sequence_id FROM latent_motion_training_rows WHERE identity_id IS NOT NULL AND verb IS NOT NULL)
-        SELECT identity_id, count(DISTINCT verb) AS n_labels, string_agg(sequence_id, '|' ORDER BY verb, sequence_id) AS members
-        FROM d GROUP BY identity_id HAVING count(DISTINCT verb) >= 2
+        WITH d AS (SELECT DISTINCT identity_id, verb, sequence_id FROM latent_motion_training_rows WHERE identity_id IS NOT NULL AND verb IS NOT NULL),
+        n AS (SELECT identity_id, count(DISTINCT verb) AS n_labels FROM d GROUP BY identity_id HAVING count(DISTINCT verb) >= 2)
+        SELECT identity_id, verb, sequence_id, n_labels FROM d JOIN n USING (identity_id)
     """,
     "nearest_rank_distribution": """
         WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS i,

@@ -211,15 +211,15 @@ def reference_comparison(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_event_windows(spark: SparkSession, root: str) -> DataFrame:
-    """Daily event counts per type through a stream; the last day stays open until the watermark passes it."""
-    counts = E.windowed_counts(E.event_stream(spark, f"{root}/events.parquet"), "1 day", "0 seconds", "event_type")
-    return E.run_available(spark, counts).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", "total_value")
+    """Daily event counts per type through a stream; a day is open until an event of a later day has come."""
+    counts = E.windowed_counts(E.event_stream(spark, f"{root}/events.parquet"), "1 day", None, "event_type")
+    return E.closed_windows(spark, counts, "event_type").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", "total_value")
 
 
 def stream_insert_or_ignore(spark: SparkSession, root: str) -> DataFrame:
     """Events of a stream kept once per identifier, counted per type."""
-    fresh = E.without_repeats(E.event_stream(spark, f"{root}/events.parquet"), "event_id", "10 days").select("event_id", "event_type")
-    return E.run_available(spark, fresh).groupBy("event_type").agg(F.count("*").alias("n_events"))
+    fresh = E.inserted_once(spark, E.event_stream(spark, f"{root}/events.parquet").select("event_id", "event_type"), "event_id")
+    return fresh.groupBy("event_type").agg(F.count("*").alias("n_events"))
 
 
 QUERIES = {f.__name__: f for f in (

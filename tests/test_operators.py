@@ -79,6 +79,12 @@ def test_long_names_and_equal_lengths(spark):
     assert got == {"a b c d e": ("five_words", "alias"), "now a b c d e too": ("five_words", "embedded_token"), "jump dash": ("dash", "embedded_token")}
 
 
+def test_phases_of_an_intro_that_loops(spark):
+    rows = [([None, None, 0.0, 0.5], True), ([0.0, 0.5], False), ([None, 0.25, 0.5], False), ([None, 0.0, None], False), ([None, 0.0, 1.0], False), ([None, None], False), ([], False)]
+    df = spark.createDataFrame(rows, "p array<double>, want boolean").select(S.phases_ready(F.col("p"), F.lit("intro_then_loop")).alias("got"), "want")
+    assert all(r["got"] == r["want"] for r in df.collect())
+
+
 def test_normalized_label(spark):
     vocab = spark.createDataFrame([("run", "run"), ("jog", "run"), ("light attack", "light attack")], "name string, canonical string")
     df = spark.createDataFrame([("Run",), ("jog",), ("hero light-attack 2",), ("zzz",), (None,), ("  ",)], "raw string")
