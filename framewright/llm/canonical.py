@@ -1,8 +1,11 @@
 """p3: freely typed values mapped to the entries of a reference list.
 
-Distinct values are broken into tokens; each distinct token is repaired by edit
-distance against the tokens of the reference names; the repaired tokens are
-then combined by soft TF-IDF to rank complete names. A value that no name
+Distinct values are broken into tokens. The distinct tokens are joined with the
+tokens of the reference names by edit distance: two tokens within d edits have a
+common remainder once at most d letters are deleted from each, so both sides
+are keyed by such remainders, joined on them and verified. The repaired
+tokens are then combined by soft TF-IDF to rank the complete names that hold one
+of them, or that are near when written as one word. A value that no name
 explains well enough is reported with 0.
 """
 
@@ -11,13 +14,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.operators.skew import lookup_join, union_all
+from framewright.operators.skew import hottest, lookup_join, union_all
 from framewright.session import Scratch, load, parallel_tasks
 
 ACTION_PROPERTIES = ["action", "play_action", "on_hit_action", "next_action"]
@@ -85,8 +89,30 @@ def tokens(value: str) -> list[str]:
     return found
 
 
+def within(token: str, word: str) -> int:
+    """Edits within which a typed token may be taken for a word of a name."""
+    return min(allowed(len(word)), allowed(max(len(token), 3)) + 1)
+
+
+def remainders(token: str, most: int) -> set[str]:
+    """What is left of a token after up to ``most`` deletions; letters that a 1 may stand for count as one."""
+    found = {token.replace("1", "i").replace("l", "i")}
+    last = found
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        found = found | last
+    return found
+
+
+def reach(length: int, is_name: bool) -> int:
+    """Most deletions a token of this length needs to meet any partner it may be matched with."""
+    if is_name:
+        return allowed(length)
+    return max(min(allowed(n), allowed(max(length, 3)) + 1) for n in range(max(length - 3, 1), length + 4))
+
+
 class Reference:
-    """The reference names, ready to repair tokens and rank entries."""
+    """The reference names, ready to rank entries by repaired tokens."""
 
     def __init__(self, names: list[tuple[int, str]]):
         self.names = []
@@ -95,41 +121,56 @@ class Reference:
                 joined = "".join(words)
                 self.names.append((entry, words, joined, letters(joined)))
         df: dict[str, int] = {}
-        for _, words, *_ in self.names:
+        self.holding: dict[str, list[int]] = {}
+        for k, (_, words, *_) in enumerate(self.names):
             for w in set(words):
                 df[w] = df.get(w, 0) + 1
+                self.holding.setdefault(w, []).append(k)
         n = max(len(self.names), 1)
         self.idf = {w: 1 + math.log(n / k) for w, k in df.items()}
         self.unknown = 1 + math.log(n)
         self.most_words = max((len(words) for _, words, *_ in self.names), default=0)
         self.most_letters = max((len(joined) for _, _, joined, _ in self.names), default=0)
-        self.bits = {w: letters(w) for w in self.idf}
-        self.memo: dict[str, dict[str, float]] = {}
+        # names by the pairs of letters of their one-word form, to find those near as one word
+        self.pairs: dict[str, list[int]] = {}
+        self.short: list[int] = []
+        for k, (_, _, joined, _) in enumerate(self.names):
+            for pair in self.letter_pairs(joined):
+                self.pairs.setdefault(pair, []).append(k)
+            if len(joined) + 1 <= 3 * self.one_word_edits(joined):
+                self.short.append(k)
 
-    def repair(self, token: str) -> dict[str, float]:
-        """Reference tokens within reach, with their similarity."""
-        if token not in self.memo:
-            near, bits = {}, letters(token)
-            for w in self.idf:
-                most = min(allowed(len(w)), allowed(max(len(token), 3)) + 1)
-                if (bits & ~self.bits[w]).bit_count() > most:
-                    continue
-                d = edits(token, w, most)
-                if d <= most:
-                    near[w] = 1 - d / max(len(w), len(token))
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[token] = near
-        return self.memo[token]
-
-    def score(self, value_tokens: list[str], one: str, bits: int, name: tuple) -> float:
+    @staticmethod
+    def letter_pairs(word: str) -> Counter:
+        padded = f"^{word.replace('1', 'i').replace('l', 'i')}$"
+        return Counter(padded[i : i + 2] for i in range(len(padded) - 1))
+
+    @staticmethod
+    def one_word_edits(joined: str) -> int:
+        return max(1, round(len(joined) * 0.3))
+
+    def near_as_one(self, one: str) -> set[int]:
+        """Names whose one-word form may be within its edits: an edit touches at most three pairs of letters."""
+        shared: Counter = Counter()
+        for pair, times in self.letter_pairs(one).items():
+            for k in self.pairs.get(pair, ()):
+                shared[k] += times
+        found = set(self.short)
+        for k, times in shared.items():
+            joined = self.names[k][2]
+            if times >= max(len(one), len(joined)) + 1 - 3 * self.one_word_edits(joined):
+                found.add(k)
+        return found
+
+    def score(self, value_tokens: list[str], near: dict[str, dict[str, float]], one: str, bits: int, name: tuple) -> float:
         """Soft TF-IDF cosine of a value and a name, or their likeness when both are written as one word."""
         _, words, joined, name_bits = name
         free = list(range(len(value_tokens)))
         hit, away = 0.0, 0.0
+        likeness = lambda i, w: near.get(value_tokens[i], {}).get(w, 0.0)
         for w in words:
-            best = max(free, key=lambda i: self.repair(value_tokens[i]).get(w, 0.0), default=None)
-            sim = self.repair(value_tokens[best]).get(w, 0.0) if best is not None else 0.0
+            best = max(free, key=lambda i: likeness(i, w), default=None)
+            sim = likeness(best, w) if best is not None else 0.0
             if sim == 0.0:
                 away += self.idf[w] ** 2
                 continue
@@ -140,19 +181,33 @@ class Reference:
             rest = self.unknown**2 * sum(self.counts(value_tokens[i]) for i in free)
             own = sum(self.idf[w] ** 2 for w in words)
             soft = hit / math.sqrt(own * (own - away + rest))
-        most = max(1, round(len(joined) * 0.3))
+        most = self.one_word_edits(joined)
         if (bits & ~name_bits).bit_count() > most:
             return soft
         d = edits(one, joined, most)
         return max(soft, 1 - d / max(len(one), len(joined)) if d <= most else 0.0)
 
+    def repair(self, token: str) -> dict[str, float]:
+        """Words of names that a token may stand for, by trying all of them: for a value outside a table."""
+        found = {}
+        for w in self.idf:
+            most = within(token, w)
+            if (d := edits(token, w, most)) <= most:
+                found[w] = 1 - d / max(len(w), len(token))
+        return found
+
     @staticmethod
     def counts(token: str) -> bool:
         """Whether a word of a value asks for an explanation by the name."""
         return len(token) > 1 and token not in DECORATIONS
 
-    def best(self, value: str) -> tuple[int, float]:
-        """(entry, score): 0 where no name reaches ACCEPT; ties to the smaller entry."""
+    def best(self, value: str, near: dict[str, dict[str, float]] | None = None) -> tuple[int, float]:
+        """(entry, score): 0 where no name reaches ACCEPT; ties to the smaller entry.
+
+        ``near`` holds, per token of the value, the words of names it may stand
+        for with their likeness. Names that hold none of them and aren't near as
+        one word would score 0.
+        """
         parts = tokens(value)
         bare = [t for t in parts if self.counts(t)] or parts
         one = "".join(bare)
@@ -160,7 +215,9 @@ class Reference:
         if not parts or (len(bare) > 2 * self.most_words and len(one) > 2 * self.most_letters):
             return 0, 0.0
         bits = letters(one)
-        top = max(((self.score(parts, one, bits, name), -name[0]) for name in self.names), default=(0.0, 0))
+        near = {t: self.repair(t) for t in parts} if near is None else near
+        offered = {k for t in parts for w in near.get(t, ()) for k in self.holding[w]} | self.near_as_one(one)
+        top = max(((self.score(parts, near, one, bits, self.names[k]), -self.names[k][0]) for k in offered), default=(0.0, 0))
         return (-top[1], top[0]) if top[0] >= ACCEPT else (0, top[0])
 
 
@@ -183,17 +240,64 @@ def reference_names(vocabulary: DataFrame) -> list[tuple[int, str, bool]]:
     return sorted((r["entry"], r["name"], r["own"]) for r in held)
 
 
-def mapped_values(values: DataFrame, names: list[tuple[int, str, bool]]) -> DataFrame:
+def _keyed(is_name: bool, longest: int):
+    """(key, token): a token under each of its remainders; a token too long for any name has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, t) for t in b["token"] if len(t) <= longest + 3 for k in sorted(remainders(t, reach(len(t), is_name)))]
+            yield pd.DataFrame(rows, columns=["key", "token"])
+
+    return run
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for token, word in zip(b["token"], b["word"]):
+            most = within(token, word)
+            if (d := edits(token, word, most)) <= most:
+                rows.append((token, word, 1 - d / max(len(word), len(token))))
+        yield pd.DataFrame(rows, columns=["token", "word", "likeness"])
+
+
+def repaired(spark: SparkSession, typed: DataFrame, words: list[str]) -> DataFrame:
+    """(token, near): per distinct token the words of names it may stand for, at most as many as there are words."""
+    longest = max(map(len, words), default=0)
+    named = spark.createDataFrame([(w,) for w in words], "token string").mapInPandas(_keyed(True, longest), "key string, token string").withColumnRenamed("token", "word")
+    offered = typed.mapInPandas(_keyed(False, longest), "key string, token string")
+    pairs = offered.join(named, "key").select("token", "word").distinct().mapInPandas(_verified, "token string, word string, likeness double")
+    return pairs.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("word", "likeness"))).alias("near"))
+
+
+def _tokenized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(tokens=[list(dict.fromkeys(tokens(v))) for v in b["value"]])
+
+
+def mapped_values(spark: SparkSession, values: DataFrame, names: list[tuple[int, str, bool]]) -> DataFrame:
     """(value, n, vocab_id, score) for distinct values with their row counts; vocab_id 0 where no name fits."""
     plain_names = [(entry, name) for entry, name, _ in names]
+    words = sorted({w for _, name in plain_names for w in tokens(name)})
+    parsed = Scratch(spark, "tokens").write(values.mapInPandas(_tokenized, "value string, n bigint, tokens array<string>"), "values")
+    spread_out = parsed.select("value", F.explode("tokens").alias("token"))
+    counts = spread_out.groupBy("token").agg(F.count("*").alias("n"))
+    near = Scratch(spark, "repairs").write(repaired(spark, counts.select("token").repartition(parallel_tasks(spark)), words), "near")
+    hot = hottest(counts.join(near, "token", "left_semi"), "token", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    met = lookup_join(spread_out, near, "token", hot=hot)
+    told = met.groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("token", "near"))).alias("near"))  # the tokens of one value
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reference = Reference(plain_names)
         for b in batches:
-            best = [reference.best(v) for v in b["value"]]
-            yield b.assign(vocab_id=[e for e, _ in best], score=[float(s) for _, s in best])
+            best = [
+                reference.best(v, {} if held is None else {t: dict(w) for t, w in (held.items() if isinstance(held, dict) else held)})
+                for v, held in zip(b["value"], b["near"])
+            ]
+            yield b[["value", "n"]].assign(vocab_id=[e for e, _ in best], score=[float(s) for _, s in best])
 
-    return values.mapInPandas(run, "value string, n bigint, vocab_id int, score double")
+    joined = parsed.select("value", "n").join(told, "value", "left")
+    return joined.mapInPandas(run, "value string, n bigint, vocab_id int, score double")
 
 
 def canonical_map(spark: SparkSession, values: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, list[str], list]:
@@ -201,15 +305,13 @@ def canonical_map(spark: SparkSession, values: DataFrame, vocabulary: DataFrame)
 
     Returns the written map (value, n, vocab_id, score) of all distinct values
     that aren't null, blank or exactly canonical; the canonical names; and the
-    hot values, at most 64, for the join back.
+    hot values for the join back.
     """
     names = reference_names(vocabulary)
     own = sorted({name for _, name, is_own in names if is_own})
     counted = free_values(values, own).groupBy("value").agg(F.count("*").alias("n"))
-    found = Scratch(spark, "canonical").write(mapped_values(counted.repartition(parallel_tasks(spark)), names), "map")
-    total = found.agg(F.sum("n")).first()[0] or 0
-    hot = [r["value"] for r in found.where(F.col("n") >= max(10_000, total / 64)).limit(64).collect()]
-    return found, own, hot
+    found = Scratch(spark, "canonical").write(mapped_values(spark, counted.repartition(parallel_tasks(spark)), names), "map")
+    return found, own, hottest(found, "value", found.agg(F.sum("n")).first()[0] or 0)
 
 
 def free_values(df: DataFrame, own: list[str], value: str = "value") -> DataFrame:

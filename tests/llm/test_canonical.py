@@ -73,3 +73,35 @@ def test_canonical_verbs_keep_every_row(spark):
     df = spark.createDataFrame([("a", "sprint"), ("b", "dsah"), ("c", None), ("d", "zzzz"), ("e", " ")], "id string, verb string")
     got = {r["id"]: r["canonical"] for r in C.canonical_verbs(spark, df, "verb", vocab).collect()}
     assert got == {"a": "sprint", "b": "sprint", "c": None, "d": None, "e": None}
+
+
+def test_token_join_finds_what_trying_all_words_finds(spark):
+    import random
+
+    rng = random.Random(5)
+    names = [(i, "".join(rng.choice("abcdil") for _ in range(rng.randrange(1, 13)))) for i in range(60)]
+    reference = C.Reference(names)
+    typed = set()
+    for _, w in names:
+        for _ in range(6):
+            t = list(w)
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(t) + 1)
+                if rng.random() < 0.4:
+                    t.insert(at, rng.choice("abcdil1"))
+                elif t and rng.random() < 0.5:
+                    t.pop(min(at, len(t) - 1))
+                elif len(t) > 1:
+                    at = min(at, len(t) - 2)
+                    t[at], t[at + 1] = t[at + 1], t[at]
+            typed.add("".join(t) or "a")
+    got = {r["token"]: dict(r["near"]) for r in C.repaired(spark, spark.createDataFrame([(t,) for t in typed], "token string"), sorted(reference.idf)).collect()}
+    want = {t: reference.repair(t) for t in typed}
+    assert got == {t: w for t, w in want.items() if w}
+
+
+def test_names_near_as_one_word_are_offered():
+    r = C.Reference([(i, n) for i, n in enumerate(["double jump", "shield block", "sprint", "get up", "up"], 1)])
+    for value in ("doublejmp", "shieldblok", "sprnt", "gtup", "upp", "shildblock"):
+        every = {k for k, n in enumerate(r.names) if C.edits(value, n[2], r.one_word_edits(n[2])) <= r.one_word_edits(n[2])}
+        assert every <= r.near_as_one(value)
