@@ -11,6 +11,7 @@ from framewright.operators import kernels as K
 from framewright.operators import sampling as P
 from framewright.operators import timeline as T
 from framewright.operators import vectors as V
+from framewright.plans.sequences import ONCE, PIXELS
 from framewright.session import load
 from framewright.streaming import events as E
 
@@ -199,7 +200,10 @@ def retrieval_rank(spark: SparkSession, root: str) -> DataFrame:
 
 
 def frame_statistics(spark: SparkSession, root: str) -> DataFrame:
-    return K.frame_statistics(load(spark, root, "prepared_broad_rows").dropDuplicates(["sequence_id"]), "sequence_id", "rgba")
+    """Statistics of every frame; of repeated rows of a key the least bytes stand."""
+    once = load(spark, root, "prepared_broad_rows").where("sequence_id is not null").groupBy("sequence_id").agg(F.min("rgba").alias("rgba"))
+    found = K.frame_statistics(once, "sequence_id", "rgba")
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_alpha", "centre_x", "centre_y")})
 
 
 def reference_comparison(spark: SparkSession, root: str) -> DataFrame:
@@ -402,6 +406,14 @@ ORACLES = {
         r AS (SELECT o.*, 1 + count(*) FILTER (s.s > a AND s.other <> s.own) AS rank FROM o JOIN s USING (vec_id, own) GROUP BY ALL)
         SELECT vec_id AS query_id, own AS identity, rank, 1.0::DOUBLE / rank AS reciprocal_rank, round(a - b, 6) AS margin FROM r
     """,
+    "frame_statistics": f"""
+        WITH {ONCE}, {PIXELS}
+        SELECT sequence_id AS frame_id, CAST(count(*) FILTER (a > 0) AS INTEGER) AS n_visible, CAST(coalesce(min(i % 8) FILTER (a > 0), -1) AS INTEGER) AS "left", CAST(coalesce(min(i // 8) FILTER (a > 0), -1) AS INTEGER) AS top,
+            CAST(coalesce(max(i % 8) FILTER (a > 0), -1) AS INTEGER) AS "right", CAST(coalesce(max(i // 8) FILTER (a > 0), -1) AS INTEGER) AS bottom,
+            CAST(count(*) FILTER (a > 0 AND (i % 8 IN (0, 7) OR i // 8 IN (0, 7))) AS INTEGER) AS n_border, CAST(count(DISTINCT (r, g, b)) FILTER (a > 0) AS INTEGER) AS n_colours, round(avg(a), 6) AS mean_alpha,
+            CAST(count(*) FILTER (a > 0 AND r = 255 AND g = 0 AND b = 255) AS INTEGER) AS n_sentinel, round(sum(a * (i % 8 + 0.5)) / greatest(sum(a), 1), 6) AS centre_x, round(sum(a * (i // 8 + 0.5)) / greatest(sum(a), 1), 6) AS centre_y
+        FROM p GROUP BY 1
+    """,
     "stream_event_windows": """
         WITH c AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 6) AS total_value FROM events GROUP BY 1, 2)
         SELECT CAST(window_start AS TIMESTAMP) AS window_start, event_type, n_events, total_value FROM c WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)
