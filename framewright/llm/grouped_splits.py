@@ -26,7 +26,7 @@ def rendezvous(key: Column, weights: dict[str, float] = WEIGHTS, seed: str = "gr
     """
     offers = [
         F.struct(
-            (F.lit(w) / -F.log((F.pmod(F.xxhash64(F.lit(seed), F.lit(name), key), F.lit(1 << 52)) + 0.5) / float(1 << 52))).alias("score"),
+            (F.lit(w) / -F.log((_drawn(F.concat(F.lit(f"{seed}|{name}|"), key)) + 0.5) / float(1 << 52))).alias("score"),
             F.lit(name).alias("split"),
         )
         for name, w in sorted(weights.items())
@@ -35,6 +35,11 @@ def rendezvous(key: Column, weights: dict[str, float] = WEIGHTS, seed: str = "gr
     return F.when(key.isNotNull(), F.greatest(*offers)["split"])
 
 
+def _drawn(text: Column) -> Column:
+    """The first 52 bits of the SHA-256 of a text."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint")
+
+
 def _node(first: str, second: str) -> Column:
     """A graph node of fixed width: 96 bits of the SHA-256 of the token."""
     return F.substring(F.sha2(F.coalesce(first, second), 256), 1, 24)
@@ -122,8 +127,7 @@ def p6_splits(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_splits": p6_splits}
-ORACLES = {
-    "p6_found": r"""
+_GROUPS = r"""
         WITH RECURSIVE base AS (
             SELECT DISTINCT sequence_id,
                 CASE WHEN regexp_matches(s, '^train') THEN 'train' WHEN regexp_matches(s, '^(val|dev)') THEN 'validation'
@@ -143,8 +147,19 @@ ORACLES = {
         reach AS (SELECT a AS node, a AS seen FROM both_ways UNION
                   SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.seen = w.a),
         comp AS (SELECT node, min(seen) AS g FROM reach GROUP BY node),
-        placed AS (SELECT b.sequence_id, b.split, c.g FROM base b JOIN comp c ON c.node = coalesce(b.identity, b.file)),
+        placed AS (SELECT b.sequence_id, b.split, c.g FROM base b JOIN comp c ON c.node = coalesce(b.identity, b.file))
+"""
+_SCORE = "{w} / -ln((CAST(('0x' || substr(sha256('grouped|{name}|' || first), 1, 13)) AS UBIGINT) + 0.5) / 4503599627370496.0)"
+ORACLES = {
+    "p6_found": _GROUPS + """,
         torn AS (SELECT g, min(sequence_id) AS group_first_sequence_id FROM placed GROUP BY g HAVING count(DISTINCT split) > 1)
         SELECT DISTINCT p.sequence_id, t.group_first_sequence_id FROM placed p JOIN torn t USING (g)
     """,
+    "p6_splits": _GROUPS + f""",
+        firsts AS (SELECT g, min(sequence_id) AS first FROM placed GROUP BY g),
+        every AS (SELECT b.sequence_id, coalesce(f.first, b.sequence_id) AS first, b.split FROM base b LEFT JOIN comp c ON c.node = coalesce(b.identity, b.file) LEFT JOIN firsts f ON f.g = c.g WHERE b.sequence_id IS NOT NULL),
+        drawn AS (SELECT *, CASE WHEN {_SCORE.format(w=0.8, name='train')} > greatest({_SCORE.format(w=0.1, name='test')}, {_SCORE.format(w=0.1, name='validation')}) THEN 'train'
+            WHEN {_SCORE.format(w=0.1, name='test')} > {_SCORE.format(w=0.1, name='validation')} THEN 'test' ELSE 'validation' END AS new_split FROM every)
+        SELECT sequence_id, min(first) AS group_first_sequence_id, min(split) AS old_split, min(new_split) AS new_split FROM drawn GROUP BY 1
+    """,
 }

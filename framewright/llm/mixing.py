@@ -56,6 +56,11 @@ def source_sizes(sized: DataFrame) -> DataFrame:
     return sized.groupBy("source_key").agg(F.sum("tokens").alias("tokens"))
 
 
+def _drawn(text: Column) -> Column:
+    """The first 52 bits of the SHA-256 of a text."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint")
+
+
 def mixed(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """(draws, plan): draws holds (mixture_name, doc_id, source_key, tokens, copies) with copies >= 1.
 
@@ -69,7 +74,7 @@ def mixed(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: s
     plan = mixture_plan(source_sizes(sized), targets)
     ranked = distributed_rank(
         spark,
-        sized.withColumn("_shuffled", F.xxhash64(F.lit(seed), "doc_id")),
+        sized.withColumn("_shuffled", _drawn(F.concat(F.lit(f"{seed}|"), F.col("doc_id").cast("string")))),
         ["source_key"],
         ["_shuffled", "doc_id"],
     )
@@ -77,7 +82,7 @@ def mixed(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: s
         F.collect_list(F.struct("mixture_name", "copies")).alias("rates")
     )  # one entry per mixture that names the source
     stepped = lookup_join(ranked, rates, "source_key").select("doc_id", "source_key", "tokens", "rank", F.explode("rates").alias("r"))
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col("r.mixture_name"), F.col("source_key")), F.lit(1 << 30)) / float(1 << 30)
+    offset = _drawn(F.concat(F.lit(f"{seed}|"), F.col("r.mixture_name"), F.lit("|"), F.col("source_key"))) / float(1 << 52)
     crossed = F.floor(F.col("rank") * F.col("r.copies") + offset) - F.floor((F.col("rank") - 1) * F.col("r.copies") + offset)
     draws = stepped.select(F.col("r.mixture_name").alias("mixture_name"), "doc_id", "source_key", "tokens", crossed.cast("int").alias("copies"))
     return draws.where("copies > 0"), plan
@@ -101,7 +106,7 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
         "mixture_name", "doc_source", "target_weight", "max_repeats", "tokens",
         F.round("wanted", 3).alias("wanted_tokens"), "short", "drawn_tokens",
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-        F.when(F.col("_all") > 0, F.col("drawn_tokens") / F.col("_all")).otherwise(0.0).alias("reached_share"),
+        F.round(F.when(F.col("_all") > 0, F.col("drawn_tokens") / F.col("_all")).otherwise(0.0), 9).alias("reached_share"),
     )
 
 
@@ -124,9 +129,26 @@ _SIZES = r"""
         LEFT JOIN sizes s ON s.k = regexp_replace(lower(m.doc_source), '[^\p{L}\p{N}]+', '', 'g')),
     pools AS (SELECT mixture_name, sum(tokens) AS pool FROM wanted GROUP BY mixture_name)
 """
+_DRAWS = """
+    plan AS (SELECT w.*, regexp_replace(lower(doc_source), '[^\\p{L}\\p{N}]+', '', 'g') AS k, target_weight * (budget_ratio * pool) AS wanted_tokens,
+        CASE WHEN tokens > 0 THEN least(CAST(target_weight * (budget_ratio * pool) AS DOUBLE) / CAST(tokens AS DOUBLE), CAST(max_repeats AS DOUBLE)) ELSE 0.0 END AS rate FROM wanted w JOIN pools USING (mixture_name)),
+    placed AS (SELECT doc_id, k, t, row_number() OVER (PARTITION BY k ORDER BY ('0x' || substr(sha256('mix|' || doc_id), 1, 13))::UBIGINT, doc_id) AS r
+        FROM (SELECT doc_id, regexp_replace(lower(source), '[^\\p{L}\\p{N}]+', '', 'g') AS k,
+            coalesce(length(regexp_replace(regexp_replace(text, '[\\p{L}\\p{N}_]+', 'a', 'g'),
+                '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g')), 0) AS t FROM documents) WHERE k NOT IN ('', 'unknown')),
+    steps AS (SELECT mixture_name, doc_id, placed.k, t, r, rate, CAST(('0x' || substr(sha256('mix|' || mixture_name || '|' || placed.k), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496.0 AS o FROM placed JOIN plan ON plan.k = placed.k WHERE rate > 0),
+    draws AS (SELECT mixture_name, doc_id, k, t, CAST(floor(r * rate + o) - floor((r - 1) * rate + o) AS INTEGER) AS copies FROM steps WHERE floor(r * rate + o) > floor((r - 1) * rate + o))
+"""
 ORACLES = {
     "p8_found": f"""WITH {_SIZES}
         SELECT mixture_name, doc_source FROM wanted JOIN pools USING (mixture_name)
         WHERE target_weight * (budget_ratio * pool) > max_repeats * tokens
     """,
+    "p8_mixture": f"WITH {_SIZES}, {_DRAWS} SELECT mixture_name, doc_id, copies FROM draws",
+    "p8_shares": f"""WITH {_SIZES}, {_DRAWS},
+        got AS (SELECT mixture_name, k, CAST(sum(t * copies) AS BIGINT) AS n, max(copies) AS most FROM draws GROUP BY 1, 2),
+        every AS (SELECT p.*, coalesce(g.n, 0) AS n, coalesce(g.most, 0) AS most FROM plan p LEFT JOIN got g USING (mixture_name, k))
+        SELECT mixture_name, doc_source, target_weight, max_repeats, CAST(tokens AS BIGINT) AS tokens, round(wanted_tokens, 3) AS wanted_tokens, wanted_tokens > max_repeats * tokens AS short,
+            n AS drawn_tokens, most AS most_copies, round(CASE WHEN sum(n) OVER (PARTITION BY mixture_name) > 0 THEN n / sum(n) OVER (PARTITION BY mixture_name) ELSE 0.0 END, 9) AS reached_share FROM every
+    """,
 }

@@ -434,7 +434,8 @@ def nearest(
 
 def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """The five closest other rows of every valid vector."""
-    return nearest(spark, load(spark, root, "semantic_embedding_rows"))
+    found = nearest(spark, load(spark, root, "semantic_embedding_rows"))
+    return found.withColumn("cosine", F.round("cosine", 6))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -447,4 +448,14 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
-ORACLES: dict[str, str] = {}
+_NEAREST = """
+    WITH v AS (SELECT DISTINCT row_index, CAST(embedding AS DOUBLE[]) AS x FROM semantic_embedding_rows WHERE row_index IS NOT NULL AND len(embedding) = 64
+        AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+    u AS (SELECT row_index, CAST(list_transform(x, lambda e: CAST(e / n AS FLOAT)) AS DOUBLE[]) AS x FROM (SELECT row_index, x, sqrt(list_inner_product(x, x)) AS n FROM v)),
+    c AS (SELECT a.row_index AS row_index, b.row_index AS other, list_inner_product(a.x, b.x) AS cosine FROM u a JOIN u b ON a.row_index <> b.row_index),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_index ORDER BY round(cosine, 13) DESC, other) AS INTEGER) AS rank FROM c)
+"""
+ORACLES = {
+    "p4_neighbours": _NEAREST + "SELECT row_index, other, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 5",
+    "p4_found": _NEAREST + "SELECT DISTINCT least(row_index, other) AS row_index_a, greatest(row_index, other) AS row_index_b FROM r WHERE rank <= 5",
+}

@@ -513,4 +513,32 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report}
-ORACLES: dict[str, str] = {}
+_BYTE = "CAST(('0x' || substr(h, 8 * i + {k}, 2)) AS INTEGER)"
+_HEX = "regexp_replace(regexp_replace(lower(normalized_array_sha256), 'sha-?256', ''), '[^0-9a-z]+', '', 'g')"
+_LETTERS = "regexp_replace(lower(split), '[^a-z]+', '', 'g')"
+ORACLES = {
+    # every train picture against every evaluation picture, pixel by pixel
+    "p1_found": rf"""
+        WITH b AS (SELECT sequence_id, CASE WHEN {_LETTERS} LIKE 'train%' THEN 'train' WHEN regexp_matches({_LETTERS}, '^(val|dev|test)') THEN 'held' END AS side, rgba, {_HEX} AS d,
+            regexp_replace(lower(translate(identity_id, (SELECT string_agg(chr(CAST(65281 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)),
+                (SELECT string_agg(chr(CAST(33 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)))), '[^\p{{L}}\p{{N}}]+', '', 'g') AS i FROM prepared_broad_rows WHERE sequence_id IS NOT NULL),
+        r AS (SELECT * FROM b WHERE side IS NOT NULL),
+        pic AS (SELECT rgba, row_number() OVER () AS n FROM (SELECT DISTINCT rgba FROM r WHERE octet_length(rgba) = 256)),
+        e AS (SELECT n, hex(rgba) AS h, unnest(range(64)) AS i FROM pic),
+        p AS (SELECT n, i, {_BYTE.format(k=1)} * a / 255.0 AS r, {_BYTE.format(k=3)} * a / 255.0 AS g, {_BYTE.format(k=5)} * a / 255.0 AS b, a FROM (SELECT *, {_BYTE.format(k=7)} AS a FROM e)),
+        s AS (SELECT n, max(a) > 0 AS seen, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a FROM p GROUP BY 1),
+        w AS (SELECT DISTINCT r.sequence_id, r.side, pic.n FROM r JOIN pic USING (rgba) JOIN s ON s.n = pic.n WHERE s.seen),
+        t AS (SELECT DISTINCT n FROM w WHERE side = 'train'), v AS (SELECT DISTINCT n FROM w WHERE side = 'held'),
+        -- the sums of a channel differ by no more than its values do
+        k AS (SELECT t.n AS x, v.n AS y FROM t JOIN s a ON a.n = t.n JOIN s c ON abs(a.r - c.r) + abs(a.g - c.g) + abs(a.b - c.b) + abs(a.a - c.a) <= 513 JOIN v ON v.n = c.n),
+        near AS (SELECT x, y FROM k JOIN p a ON a.n = x JOIN p c ON c.n = y AND c.i = a.i GROUP BY 1, 2
+            HAVING sum(abs(a.r - c.r) + abs(a.g - c.g) + abs(a.b - c.b) + abs(a.a - c.a)) / 256 <= 2.0),
+        blank AS (SELECT DISTINCT r.d FROM r JOIN pic USING (rgba) JOIN s ON s.n = pic.n WHERE NOT s.seen),
+        dig AS (SELECT DISTINCT r.sequence_id, r.side, d FROM r WHERE regexp_full_match(d, '[0-9a-f]{{64}}') AND NOT regexp_full_match(d, '0+') AND d NOT IN (SELECT d FROM blank WHERE d IS NOT NULL)),
+        ide AS (SELECT DISTINCT sequence_id, side, i FROM r WHERE i NOT IN ('', 'unknown')),
+        q AS (SELECT a.sequence_id AS x, c.sequence_id AS y FROM near JOIN w a ON a.n = near.x AND a.side = 'train' JOIN w c ON c.n = near.y AND c.side = 'held'
+            UNION SELECT a.sequence_id, c.sequence_id FROM dig a JOIN dig c ON a.d = c.d WHERE a.side = 'train' AND c.side = 'held'
+            UNION SELECT a.sequence_id, c.sequence_id FROM ide a JOIN ide c ON a.i = c.i WHERE a.side = 'train' AND c.side = 'held')
+        SELECT DISTINCT least(x, y) AS sequence_id_a, greatest(x, y) AS sequence_id_b FROM q WHERE x <> y
+    """,
+}
