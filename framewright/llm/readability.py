@@ -13,17 +13,18 @@ from framewright.functions.keys import letters_and_digits
 from framewright.llm.prose import sentences
 from framewright.session import Scratch, load, spread
 
-#: A familiar word stands in at least this share of the documents with prose and has at most so many letters.
-FAMILIAR_SHARE, FAMILIAR_LETTERS = 0.005, 5
+#: The high-frequency list is drawn from this share of the texts, those with the shortest sentences; a familiar word stands in
+#: at least FAMILIAR_SHARE of them. Over all texts technical words are as frequent as those of the simplest texts.
+EASY_TEXTS, FAMILIAR_SHARE = 0.2, 0.08
 #: Weights of the familiar-word formula: per cent of unfamiliar words, and words per sentence.
 UNFAMILIAR_WEIGHT, LENGTH_WEIGHT = 0.1579, 0.0496
 #: A text without stops tells nothing of its sentences; none counts as longer than this.
 LONGEST_SENTENCE = 40
 #: Scores from which a text is no longer for the first school years, and asks for university training.
-UPPER_SCHOOL, UNIVERSITY = 4.8, 9.6
+UPPER_SCHOOL, UNIVERSITY = 6.0, 11.2
 LEAST_WORDS = 50
 
-_PROSE = "doc_id bigint, n_words int, n_sentences int, short array<struct<word:string,n:int>>"
+_PROSE = "doc_id bigint, n_words int, n_sentences int, words array<struct<word:string,n:int>>"
 
 
 def _prose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,18 +32,18 @@ def _prose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc, text in zip(b["doc_id"], b["text"]):
             found = sentences(text)
-            counts = Counter(w for s in found for w in s if len(w) <= FAMILIAR_LETTERS)
+            counts = Counter(w for s in found for w in s)
             rows.append((doc, sum(map(len, found)), len(found), [{"word": w, "n": n} for w, n in counts.items()]))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_sentences", "short"])
+        yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_sentences", "words"])
 
 
 def scored(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_sentences, unfamiliar, sentence_length, score, reading_level).
 
-    The familiar words are counted over all documents: a word is on the list
-    when it is short and stands in at least FAMILIAR_SHARE of the documents
-    that hold prose. Such words are at most (distinct words per document) /
-    FAMILIAR_SHARE, so the list may be broadcast at any corpus size.
+    Document frequencies are counted over all words of the EASY_TEXTS of all
+    texts with enough prose; the words in at least FAMILIAR_SHARE of them are at
+    most (distinct words per text) / FAMILIAR_SHARE, so the list may be
+    broadcast at any corpus size. Without a text of enough prose none is familiar.
 
     A document with fewer than LEAST_WORDS words of English prose, and a null
     or empty text, has a null level. Whole texts are read. Other columns are
@@ -51,28 +52,31 @@ def scored(spark: SparkSession, documents: DataFrame) -> DataFrame:
     prose = Scratch(spark, "reading").write(
         spread(documents.select("doc_id", "text")).mapInPandas(_prose, _PROSE).withColumn("row", F.monotonically_increasing_id()), "prose"
     )
-    held = prose.where("n_words > 0").count()
+    length = F.col("n_words") / F.col("n_sentences")
+    whole = prose.where(F.col("n_words") >= LEAST_WORDS)
+    cut = whole.agg(F.percentile_approx(length, EASY_TEXTS, 10_000)).first()[0]
+    easy = whole.where(length <= (cut or 0.0))
+    held = easy.count()
     listed = (
-        prose.select(F.explode("short.word").alias("word"))
+        easy.select(F.explode("words.word").alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("df"))
         .where(F.col("df") >= FAMILIAR_SHARE * held)
         .select("word")
     )
     familiar = (
-        prose.select("row", F.explode("short").alias("s"))
+        prose.select("row", F.explode("words").alias("s"))
         .select("row", F.col("s.word").alias("word"), F.col("s.n").alias("n"))
         .join(F.broadcast(listed), "word")
         .groupBy("row")
         .agg(F.sum("n").alias("familiar"))
     )
     unfamiliar = 100 * (1 - F.coalesce("familiar", F.lit(0)) / F.col("n_words"))
-    length = F.least(F.col("n_words") / F.col("n_sentences"), F.lit(float(LONGEST_SENTENCE)))
     measured = (
-        prose.drop("short")
+        prose.drop("words")
         .join(familiar, "row", "left")
         .withColumn("unfamiliar", F.when(F.col("n_words") > 0, unfamiliar))
-        .withColumn("sentence_length", F.when(F.col("n_words") > 0, length))
+        .withColumn("sentence_length", F.when(F.col("n_words") > 0, F.least(length, F.lit(float(LONGEST_SENTENCE)))))
         .withColumn("score", UNFAMILIAR_WEIGHT * F.col("unfamiliar") + LENGTH_WEIGHT * F.col("sentence_length"))
     )
     level = F.when(F.col("score") < UPPER_SCHOOL, 1).when(F.col("score") < UNIVERSITY, 2).otherwise(3)
