@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +27,22 @@ LEAST_WORDS = 50
 _PROSE = "doc_id bigint, n_words int, n_sentences int, words array<struct<word:string,n:int>>"
 
 
-def _prose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _prose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for doc, text in zip(b["doc_id"], b["text"]):
+        words, times, ends, totals, lengths = [], [], [0], [], []
+        for text in b.column("text").to_pylist():
             found = sentences(text)
             counts = Counter(w for s in found for w in s)
-            rows.append((doc, sum(map(len, found)), len(found), [{"word": w, "n": n} for w, n in counts.items()]))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_sentences", "words"])
+            words.extend(counts)
+            times.extend(counts.values())
+            ends.append(len(words))
+            totals.append(sum(map(len, found)))
+            lengths.append(len(found))
+        items = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int32())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), pa.array(totals, pa.int32()), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
+            names=["doc_id", "n_words", "n_sentences", "words"],
+        )
 
 
 def scored(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -50,7 +58,7 @@ def scored(spark: SparkSession, documents: DataFrame) -> DataFrame:
     ignored; a repeated doc_id gives a row each.
     """
     prose = Scratch(spark, "reading").write(
-        spread(documents.select("doc_id", "text")).mapInPandas(_prose, _PROSE).withColumn("row", F.monotonically_increasing_id()), "prose"
+        spread(documents.select("doc_id", "text")).mapInArrow(_prose, _PROSE).withColumn("row", F.monotonically_increasing_id()), "prose"
     )
     length = F.col("n_words") / F.col("n_sentences")
     whole = prose.where(F.col("n_words") >= LEAST_WORDS)
