@@ -114,7 +114,7 @@ def idle_references(sequences: DataFrame, identity: str, action: str, key: str,
     """Every sequence with its identity's reference row, the relation between the two, and the reason if it can't be used."""
     refs = sequences.where(F.col(action) == reference_action).groupBy(identity).agg(
         F.count_distinct(key).alias("_n"), F.min_by(F.struct(F.col(key).alias("k"), F.col(target).alias("t")), key).alias("_r"))
-    joined = sequences.join(refs, identity, "left")
+    joined = lookup_join(sequences, refs, identity, "left")
     reason = F.when(F.col("_n").isNull(), "no_reference").when(F.col("_n") > 1, "several_references").otherwise("")
     relation = F.when(F.col("_r.k") == F.col(key), "same_sequence").when(F.col("_r.t").eqNullSafe(F.col(target)), "same_target").otherwise("cross_sequence")
     return joined.select(key, identity, action, F.when(reason == "", F.col("_r.k")).alias("reference"), F.when(reason == "", relation).alias("relation"), reason.alias("reason"))

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.skew import hottest, lookup_join
+
 
 def hash_order(domain: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(domain), F.lit(chr(0)), key.cast("string")), 256)
@@ -122,8 +124,10 @@ def sampler_weights(df: DataFrame, identity: str, action: str) -> DataFrame:
     actions = rows.groupBy(identity).agg(F.count("*").alias("_actions"))
     identities = actions.count()
     cells = rows.join(actions, identity)
-    weights = cells.select(identity, action, (1 / (F.lit(identities) * F.col("_actions") * F.col("_rows"))).alias("weight"))
-    return df.join(weights, [identity, action])
+    weights = cells.select(F.to_json(F.struct(identity, action)).alias("_cell"), (1 / (F.lit(identities) * F.col("_actions") * F.col("_rows"))).alias("weight"))
+    hot = hottest(cells.select(F.to_json(F.struct(identity, action)).alias("_cell"), F.col("_rows").alias("n")), "_cell", df.count())
+    keyed = df.where(F.col(identity).isNotNull() & F.col(action).isNotNull()).withColumn("_cell", F.to_json(F.struct(identity, action)))
+    return lookup_join(keyed, weights, "_cell", hot=hot).drop("_cell")
 
 
 def pair_candidates(df: DataFrame, identity: str, action: str, most: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.skew import union_all
+from framewright.session import parallel_tasks
 
 
 def unit(vector: Column) -> Column:
@@ -57,43 +58,50 @@ def group_separation(df: DataFrame, group: str, vector: str) -> DataFrame:
     return middle.select(group, n, F.when(n > 1, (length - n) / (n * (n - 1))).alias("mean_cosine"))
 
 
-def nearest_of_block(queries: list[tuple], k: int):
-    """A scan that keeps, per query, the k nearest rows of each batch."""
-    ids = np.array([q[0] for q in queries])
-    q = np.array([q[1] for q in queries], np.float64).reshape(len(queries), -1)
+def _best_of_block(k: int):
+    """Per pair of a query block and a row block the k nearest rows of each query."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            x = np.stack(b["u"].to_numpy()).astype(np.float64)
-            own = b["id"].to_numpy()
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        asks = table["asks"].to_numpy(bool)
+        asked, held = table[asks], table[~asks]
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
+        ids, own = asked["id"].to_numpy(), held["id"].to_numpy()
+        x = np.stack(held["u"].to_numpy()).astype(np.float64)
+        names, found, scores = [], [], []
+        for at in range(0, len(ids), 512):
+            q = np.stack(asked["u"].iloc[at : at + 512].to_numpy()).astype(np.float64)
             s = np.round(q @ x.T, 9)
-            s[ids[:, None] == own[None, :]] = -9
-            near = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-            yield pd.DataFrame({
-                "query_id": np.repeat(ids, near.shape[1]), "id": own[near].ravel(), "cosine": np.take_along_axis(s, near, 1).ravel(),
-            }).query("cosine > -5")
+            s[ids[at : at + 512][:, None] == own[None, :]] = -9
+            take = min(k, s.shape[1])
+            bound = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
+            row, col = np.nonzero((s >= bound[:, None]) & (s > -5))
+            order = np.lexsort((own[col], -s[row, col], row))
+            row, col = row[order], col[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            names.append(ids[at : at + 512][row[kept]])
+            found.append(own[col[kept]])
+            scores.append(s[row[kept], col[kept]])
+        return pd.DataFrame({"query_id": np.concatenate(names), "id": np.concatenate(found), "cosine": np.concatenate(scores)})
 
     return run
 
 
-def nearest_match(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 1, block: int = 2000) -> DataFrame:
+def nearest_match(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 1, block: int = 2000, rows_of_block: int = 50_000) -> DataFrame:
     """(query_id, id, cosine, rank): the k nearest rows of every query by exact search.
 
-    Queries are a stated set; they are taken in blocks of ``block``, and each
-    block meets all rows in one scan whose partial results are merged per
-    query. Ties go to the smaller key.
+    Queries are a stated set. Query blocks meet row blocks, one task each, and
+    their best rows are merged per query; nothing is collected, and the plan
+    doesn't grow with the queries. Ties go to the smaller key.
     """
-    rows = df.select(F.col(key).alias("id"), unit(F.col(vector)).alias("u"), is_query.alias("q")).where("u is not null")
-    asked = rows.where("q").select("id", "u")
-    blocks = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        queries = sorted((r["id"], list(r["u"])) for r in part.collect())
-        near = rows.select("id", "u").mapInPandas(nearest_of_block(queries, k), "query_id bigint, id bigint, cosine double")
-        found = near if found is None else found.unionByName(near)
+    rows = df.select(F.col(key).cast("bigint").alias("id"), unit(F.col(vector)).alias("u"), is_query.alias("q")).where("u is not null")
+    size = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
+    across, down = max(1, -(-size["q"] // block)), max(-(-size["n"] // rows_of_block), min(parallel_tasks(df.sparkSession), -(-size["n"] // 1000)), 1)
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = rows.where("q").select("id", "u", F.lit(True).alias("asks"), place(across).alias("a"), every(down).alias("b"))
+    held = rows.select("id", "u", F.lit(False).alias("asks"), place(down).alias("b"), every(across).alias("a")).select("id", "u", "asks", "a", "b")
+    found = asked.unionByName(held).groupBy("a", "b").applyInPandas(_best_of_block(k), "query_id bigint, id bigint, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -11,6 +11,7 @@ from framewright.operators import kernels as K
 from framewright.operators import sampling as P
 from framewright.operators import timeline as T
 from framewright.operators import vectors as V
+from framewright.operators.skew import lookup_join
 from framewright.plans.sequences import ONCE, PIXELS
 from framewright.session import load
 from framewright.streaming import events as E
@@ -207,11 +208,12 @@ def frame_statistics(spark: SparkSession, root: str) -> DataFrame:
 
 
 def reference_comparison(spark: SparkSession, root: str) -> DataFrame:
-    """Each frame against the idle frame of its identity."""
+    """Each frame against the idle frame of its identity; the pixels of a crowded identity's reference are broadcast, its frames stay where they are."""
     frames = load(spark, root, "prepared_broad_rows").where("identity_id is not null and rgba is not null")
     idle = frames.where("action = 'idle'").groupBy("identity_id").agg(F.min_by(F.struct("sequence_id", "rgba"), "sequence_id").alias("r")).select(
         "identity_id", F.col("r.sequence_id").alias("reference_id"), F.col("r.rgba").alias("reference"))
-    return K.compare_frames(frames.select("identity_id", "sequence_id", "rgba").join(idle, "identity_id"), "sequence_id", "rgba", "reference_id", "reference").distinct()
+    found = K.compare_frames(lookup_join(frames.select("identity_id", "sequence_id", "rgba"), idle, "identity_id"), "sequence_id", "rgba", "reference_id", "reference").distinct()
+    return found.select("frame_id", "reference_id", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
 
 
 def stream_event_windows(spark: SparkSession, root: str) -> DataFrame:
@@ -406,6 +408,26 @@ ORACLES = {
         r AS (SELECT o.*, 1 + count(*) FILTER (s.s > a AND s.other <> s.own) AS rank FROM o JOIN s USING (vec_id, own) GROUP BY ALL)
         SELECT vec_id AS query_id, own AS identity, rank, 1.0::DOUBLE / rank AS reciprocal_rank, round(a - b, 6) AS margin FROM r
     """,
+    "reference_comparison": """
+        WITH f AS (SELECT DISTINCT identity_id, sequence_id, rgba FROM prepared_broad_rows WHERE identity_id IS NOT NULL AND rgba IS NOT NULL),
+        t AS (SELECT identity_id, min(sequence_id) AS rid, arg_min(rgba, sequence_id) AS ref FROM prepared_broad_rows WHERE identity_id IS NOT NULL AND rgba IS NOT NULL AND action = 'idle' GROUP BY 1),
+        m AS (SELECT row_number() OVER () AS n, sequence_id, rid, rgba, ref FROM f JOIN t USING (identity_id) WHERE octet_length(rgba) = 256 AND octet_length(ref) = 256),
+        e AS (SELECT n, hex(rgba) AS h, hex(ref) AS k, unnest(range(64)) AS i FROM m),
+        p AS (SELECT n, i, {x}, {y} FROM e),
+        b1 AS (SELECT n, (r // 16) * 256 + (g // 16) * 16 + b // 16 AS bin, count(*) / sum(count(*)) OVER (PARTITION BY n) AS w FROM p WHERE a > 0 GROUP BY 1, 2),
+        b2 AS (SELECT n, (r2 // 16) * 256 + (g2 // 16) * 16 + b2 // 16 AS bin, count(*) / sum(count(*)) OVER (PARTITION BY n) AS w FROM p WHERE a2 > 0 GROUP BY 1, 2),
+        o AS (SELECT b1.n, sum(least(b1.w, b2.w)) AS overlap FROM b1 JOIN b2 ON b1.n = b2.n AND b1.bin = b2.bin GROUP BY 1),
+        s AS (SELECT n, sum(abs(r * a / 255.0 - r2 * a2 / 255.0) + abs(g * a / 255.0 - g2 * a2 / 255.0) + abs(b * a / 255.0 - b2 * a2 / 255.0) + abs(a - a2)) / 256 / 255 AS mae, sum(abs(a - a2)) / 64 / 255 AS ma,
+            count(*) FILTER (a > 127 AND a2 > 127) AS both_n, count(*) FILTER (a > 127 OR a2 > 127) AS either_n, count(*) FILTER (a > 127) AS na, count(*) FILTER (a2 > 127) AS nb, sum(a) AS wa, sum(a2) AS wb,
+            sum(a * (i % 8 + 0.5)) AS x1, sum(a * (i // 8 + 0.5)) AS y1, sum(a2 * (i % 8 + 0.5)) AS x2, sum(a2 * (i // 8 + 0.5)) AS y2 FROM p GROUP BY 1)
+        SELECT DISTINCT sequence_id AS frame_id, rid AS reference_id, round(mae, 6) AS mae, round(ma, 6) AS alpha_mae, round(CASE WHEN either_n = 0 THEN 1.0 ELSE both_n / either_n END, 6) AS alpha_iou,
+            round(CASE WHEN either_n = 0 THEN 1.0 WHEN na = 0 THEN 0.0 ELSE both_n / na END, 6) AS alpha_precision, round(CASE WHEN either_n = 0 THEN 1.0 WHEN nb = 0 THEN 0.0 ELSE both_n / nb END, 6) AS alpha_recall,
+            round(CASE WHEN wa > 0 AND wb > 0 THEN sqrt((x1 / wa - x2 / wb) ** 2 + (y1 / wa - y2 / wb) ** 2) ELSE 0.0 END, 6) AS centre_shift,
+            round(CASE WHEN either_n = 0 THEN 1.0 ELSE coalesce(overlap, 0.0) END, 6) AS histogram_overlap FROM s JOIN m USING (n) LEFT JOIN o USING (n)
+    """.format(
+        x=", ".join(f"CAST(('0x' || substr(h, 8 * i + {1 + 2 * j}, 2)) AS INTEGER) AS {c}" for j, c in enumerate("rgba")),
+        y=", ".join(f"CAST(('0x' || substr(k, 8 * i + {1 + 2 * j}, 2)) AS INTEGER) AS {c}2" for j, c in enumerate("rgba")),
+    ),
     "frame_statistics": f"""
         WITH {ONCE}, {PIXELS}
         SELECT sequence_id AS frame_id, CAST(count(*) FILTER (a > 0) AS INTEGER) AS n_visible, CAST(coalesce(min(i % 8) FILTER (a > 0), -1) AS INTEGER) AS "left", CAST(coalesce(min(i // 8) FILTER (a > 0), -1) AS INTEGER) AS top,

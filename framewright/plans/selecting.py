@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators import merge as M
 from framewright.operators import selection as S
+from framewright.operators.skew import lookup_join
 from framewright.session import load
 
 FILTERS = S.Filters(minimum_frames=4, actions=("sprint", "Crawl", "defeat "), include_sources=("source_tarnhold", "source_mossgate"), exclude_sources=("source_brindle",))
@@ -111,7 +112,7 @@ def _item_reasons() -> list:
 def _admission(spark: SparkSession, root: str) -> DataFrame:
     items = load(spark, root, "corpus_items").dropDuplicates(["id"])
     sources = load(spark, root, "sources").select(F.col("id").alias("source_id"), F.lit(True).alias("registered"))
-    return S.admitted(items.join(sources, "source_id", "left"), _item_reasons())
+    return S.admitted(lookup_join(items, sources, "source_id", "left"), _item_reasons())
 
 
 def admit_quarantine(spark: SparkSession, root: str) -> DataFrame:

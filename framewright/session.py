@@ -36,8 +36,9 @@ def load(spark: SparkSession, root: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder
-    is made, and removed when the process ends.
+    Only where the session names none and all runs on one machine (tests) a
+    temporary folder is made, and removed when the process ends; on a cluster
+    a missing name is an error, as no other folder is shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -45,6 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("the session names no shared folder: set spark.checkpoint.dir")
     root = tempfile.mkdtemp(prefix="framewright-")
     _local_roots.append(root)
     spark.sparkContext.setCheckpointDir(root)

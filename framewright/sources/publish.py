@@ -88,13 +88,17 @@ def csv_lines(df: DataFrame, order: list[str]) -> Iterable[bytes]:
     yield buffer.getvalue().encode()
 
 
-def jsonl_gz(df: DataFrame, order: list[str]) -> bytes:
-    """Compressed JSON lines without name or time, so equal rows give equal bytes."""
+def jsonl_gz(df: DataFrame, order: list[str]) -> Iterable[bytes]:
+    """Compressed JSON lines in pieces, without name or time, so equal rows give equal bytes; the driver holds a piece at a time."""
     out = io.BytesIO()
     with gzip.GzipFile(filename="", mode="wb", fileobj=out, mtime=0) as f:
         for line in jsonl(df, order):
             f.write(line)
-    return out.getvalue()
+            if out.tell() > 1 << 16:
+                yield out.getvalue()
+                out.seek(0)
+                out.truncate()
+    yield out.getvalue()
 
 
 # Characters with a meaning in Markdown text.
