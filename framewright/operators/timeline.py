@@ -98,14 +98,26 @@ def transitions(df: DataFrame, key: str, order: list[str], value: str, seam: boo
     return df.select(key, F.col(value).alias("from_value"), nxt.alias("to_value")).where("to_value is not null")
 
 
-def grid_cells(df: DataFrame, width: str, height: str, cell: tuple[int, int]) -> DataFrame:
-    """Sheets cut into cells: status canonical (no remainder), oversize (smaller than a cell) or noncanonical, and one row per cell."""
-    w, h = cell
-    columns, rows = F.expr(f"{width} div {w}"), F.expr(f"{height} div {h}")
-    status = F.when((F.col(width) < w) | (F.col(height) < h), "oversize").when((F.col(width) % w != 0) | (F.col(height) % h != 0), "noncanonical").otherwise("canonical")
-    shaped = df.withColumn("status", status).withColumn("_c", columns.cast("int")).withColumn("_r", rows.cast("int"))
-    cells = F.when((F.col("_c") > 0) & (F.col("_r") > 0), F.sequence(F.lit(0), F.col("_c") * F.col("_r") - 1))
-    return shaped.withColumn("cell", F.explode_outer(cells)).select(
+def grid_cells(
+    df: DataFrame, width: str, height: str, cell: tuple[int, int], origin: tuple[int, int] = (0, 0), spacing: tuple[int, int] = (0, 0), grid: tuple[int, int] | None = None
+) -> DataFrame:
+    """Sheets cut into cells: status canonical (no remainder), oversize (no cell fits, or the wanted grid doesn't) or noncanonical, and one row per cell.
+
+    Cells start at ``origin``, ``spacing`` apart; ``grid`` names their columns
+    and rows, else as many are cut as fit. An oversize sheet has no cells.
+    """
+    (w, h), (x, y), (dx, dy) = cell, origin, spacing
+    across, down = F.col(width) - x, F.col(height) - y
+    if grid is None:
+        columns, rows = F.floor((across + dx) / (w + dx)).cast("int"), F.floor((down + dy) / (h + dy)).cast("int")
+    else:
+        columns, rows = F.lit(grid[0]), F.lit(grid[1])
+    shaped = df.withColumn("_c", columns).withColumn("_r", rows)
+    rest_x, rest_y = across - (F.col("_c") * (w + dx) - dx), down - (F.col("_r") * (h + dy) - dy)
+    fits = (F.col("_c") > 0) & (F.col("_r") > 0) & (rest_x >= 0) & (rest_y >= 0)
+    status = F.when(~fits, "oversize").when((rest_x > 0) | (rest_y > 0), "noncanonical").otherwise("canonical")
+    cells = F.when(fits, F.sequence(F.lit(0), F.col("_c") * F.col("_r") - 1))
+    return shaped.withColumn("status", status).withColumn("cell", F.explode_outer(cells)).select(
         *df.columns, "status", "cell",
-        (F.col("cell") % F.col("_c") * w).alias("left"), (F.expr("cell div _c") * h).alias("top"),
+        (F.col("cell") % F.col("_c") * (w + dx) + x).alias("left"), (F.expr("cell div _c") * (h + dy) + y).alias("top"),
     )

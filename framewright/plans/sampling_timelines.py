@@ -123,6 +123,13 @@ def grid_cells(spark: SparkSession, root: str) -> DataFrame:
         F.coalesce(F.max("left"), F.lit(-1)).alias("most_left"), F.coalesce(F.max("top"), F.lit(-1)).alias("most_top"))
 
 
+def spaced_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Sheets cut into cells of 14 by 10 from (2, 4), 2 and 6 apart: their status, number of cells and last corner."""
+    sheets = load(spark, root, "prepared_broad_rows").where("size(source_size) = 2").select(F.col("source_size")[0].alias("w"), F.col("source_size")[1].alias("h")).distinct()
+    return T.grid_cells(sheets, "w", "h", (14, 10), (2, 4), (2, 6)).groupBy("w", "h", "status").agg(
+        F.count("cell").alias("n_cells"), F.coalesce(F.max("left"), F.lit(-1)).alias("most_left"), F.coalesce(F.max("top"), F.lit(-1)).alias("most_top"))
+
+
 def normalize_labels(spark: SparkSession, root: str) -> DataFrame:
     """Distinct raw verbs against the vocabulary: missing, exact, alias, embedded_token or unmapped."""
     verbs = load(spark, root, "latent_motion_training_rows").select("verb").distinct()
@@ -231,7 +238,7 @@ def stream_insert_or_ignore(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     evaluation_probe, stratified_round_robin, identity_diverse, complete_rectangle, verb_pareto, contrast_groups, cyclic_permutation,
     sampler_weights, balanced_pairs, adjacent_transitions, seam_transitions, canonical_phases, temporal_select, retimed_durations,
-    cumulative_phase, timeline_fold, grid_cells, normalize_labels, range_classify, evidence_merge, prompt_render, caption_leak,
+    cumulative_phase, timeline_fold, grid_cells, spaced_cells, normalize_labels, range_classify, evidence_merge, prompt_render, caption_leak,
     url_references, license_status, humanized_identities, byte_tokens, channel_statistics, pairwise_separation, nearest_match,
     retrieval_rank, frame_statistics, reference_comparison, stream_event_windows, stream_insert_or_ignore,
 )}
@@ -326,6 +333,12 @@ ORACLES = {
             CAST(sum((w // 16) * (h // 24)) AS BIGINT) AS n_cells, coalesce(max(CASE WHEN w >= 16 AND h >= 24 THEN (w // 16 - 1) * 16 END), -1) AS most_left,
             coalesce(max(CASE WHEN w >= 16 AND h >= 24 THEN (h // 24 - 1) * 24 END), -1) AS most_top FROM s GROUP BY 1
     """,
+    "spaced_cells": """
+        WITH s AS (SELECT DISTINCT source_size[1] AS w, source_size[2] AS h FROM prepared_broad_rows WHERE len(source_size) = 2),
+        g AS (SELECT *, greatest((w - 2 + 2) // 16, 0) AS c, greatest((h - 4 + 6) // 16, 0) AS r FROM s)
+        SELECT w, h, CASE WHEN c < 1 OR r < 1 THEN 'oversize' WHEN w - 2 - (c * 16 - 2) > 0 OR h - 4 - (r * 16 - 6) > 0 THEN 'noncanonical' ELSE 'canonical' END AS status,
+            CASE WHEN c < 1 OR r < 1 THEN 0 ELSE c * r END::BIGINT AS n_cells, CASE WHEN c < 1 OR r < 1 THEN -1 ELSE (c - 1) * 16 + 2 END AS most_left, CASE WHEN c < 1 OR r < 1 THEN -1 ELSE (r - 1) * 16 + 4 END AS most_top FROM g
+    """,
     "normalize_labels": r"""
         WITH v AS (SELECT DISTINCT verb, regexp_replace(regexp_replace(lower(regexp_replace(translate(verb,
                 (SELECT string_agg(chr(CAST(65281 + i AS INTEGER)), '' ORDER BY i) FROM range(94) r(i)) || chr(12288) || chr(160),

@@ -101,30 +101,77 @@ def archive_verdicts(members: DataFrame, limits: Limits = Limits()) -> DataFrame
     return facts.select("archive", "n_members", "n_files", "total_bytes", "compressed_bytes", F.concat("_faults", own).alias("reasons"))
 
 
-def extracted(files: DataFrame, members: DataFrame) -> DataFrame:
-    """(archive, ordinal, sha256, size_bytes, content, ok) of the chosen members, sizes and checksums verified.
+def inventory_rows(members: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """(archive_inventories, archive_members) of listed archives; unreadable ones have neither.
 
-    ``members`` holds (archive, ordinal) of what to extract; each archive is
-    read where it lies with its own short list.
+    The inventory's digest is taken over the members in order, at most
+    ``limits.members`` of them; an archive with more has none.
+    """
+    listed = members.where("ordinal >= 0")
+    line = F.concat_ws("|", F.lpad(F.col("ordinal").cast("string"), 9, "0"), F.coalesce("path", F.lit("")), F.col("size_bytes").cast("string"), F.col("crc32").cast("string"))
+    few = listed.where(F.col("ordinal") < limits.members)
+    digests = few.groupBy("archive").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("inventory_sha256"))
+    totals = listed.groupBy("archive").agg(
+        F.count("*").cast("int").alias("member_count"), F.count_if(~F.col("is_directory")).cast("int").alias("file_count"),
+        F.sum("size_bytes").alias("total_bytes"), F.sum("compressed_bytes").alias("compressed_bytes"))
+    inventories = totals.join(digests, "archive").select(
+        F.col("archive").alias("archive_blob_sha256"), "member_count", "file_count", "total_bytes", "compressed_bytes",
+        F.when(F.col("member_count") <= limits.members, F.col("inventory_sha256")).alias("inventory_sha256"))
+    rows = listed.select(
+        F.col("archive").alias("archive_blob_sha256"), "ordinal", F.col("path").alias("normalized_path"), "size_bytes", "compressed_bytes", "crc32",
+        F.col("method").alias("compression_method"), F.when(F.col("fault") == "", "listed").otherwise("refused").alias("inspection_status"), F.lit(None).cast("string").alias("extracted_blob_sha256"))
+    return inventories, rows
+
+
+def extracted(files: DataFrame, members: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(archive, ordinal, sha256, size_bytes, content, ok, fault) of the chosen members, sizes and checksums verified.
+
+    ``members`` holds (archive, ordinal) of what to extract, chosen by any
+    filter over ``zip_members``; each archive is read where it lies with its own
+    short list. No more is unpacked than the limits allow, whatever the
+    directory says: a member that goes on beyond them is refused, and so are the
+    rest of an archive whose total does, links and encrypted members.
     """
     chosen = members.groupBy("archive").agg(F.array_sort(F.collect_set("ordinal")).alias("wanted"))
+    columns = ["archive", "ordinal", "sha256", "size_bytes", "content", "ok", "fault"]
+
+    def taken(archive: zipfile.ZipFile, entry: zipfile.ZipInfo, room: int) -> tuple[bytes | None, str]:
+        if entry.flag_bits & 1:
+            return None, "encrypted"
+        if (entry.external_attr >> 16) & 0o170000 == 0o120000:
+            return None, "link"
+        most = min(limits.member_bytes, room, int(limits.ratio * max(entry.compress_size, 1)))
+        with archive.open(entry) as f:
+            data = f.read(most + 1)
+        if len(data) > most:
+            return None, "beyond_limits"
+        if len(data) != entry.file_size or zlib.crc32(data) != entry.CRC:
+            return None, "differs"
+        return data, ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for sha, content, wanted in zip(b["sha256"], b["content"], b["wanted"]):
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                entries = archive.infolist()
+                room = limits.total_bytes
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    entries = archive.infolist()
+                except (zipfile.BadZipFile, ValueError):
+                    yield pd.DataFrame([(sha, k, None, 0, None, False, "unreadable") for k in wanted], columns=columns)
+                    continue
                 for k in wanted:
                     try:
-                        data = archive.read(entries[k])
-                        ok = len(data) == entries[k].file_size and zlib.crc32(data) == entries[k].CRC
-                    except (zipfile.BadZipFile, zlib.error, RuntimeError, IndexError):
-                        data, ok = None, False
+                        data, fault = taken(archive, entries[k], room)
+                    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError):
+                        data, fault = None, "unreadable"
+                    except IndexError:
+                        data, fault = None, "missing"
+                    room -= len(data or b"")
                     digest = hashlib.sha256(data).hexdigest() if data is not None else None
-                    yield pd.DataFrame([(sha, k, digest, len(data or b""), data, ok)], columns=["archive", "ordinal", "sha256", "size_bytes", "content", "ok"])
+                    yield pd.DataFrame([(sha, k, digest, len(data or b""), data, data is not None, fault)], columns=columns)
 
     return files.join(chosen, files["sha256"] == chosen["archive"]).select("sha256", "content", "wanted").mapInPandas(
-        run, "archive string, ordinal int, sha256 string, size_bytes bigint, content binary, ok boolean"
+        run, "archive string, ordinal int, sha256 string, size_bytes bigint, content binary, ok boolean, fault string"
     )
 
 

@@ -228,6 +228,15 @@ def test_archives(spark, tmp_path):
     chosen = members.where("path = 'a/b.txt'").select("archive", "ordinal")
     r = A.extracted(files, chosen).first()
     assert bytes(r["content"]) == b"hello" and r["ok"]
+    every = members.where("ordinal >= 0 and fault = ''").select("archive", "ordinal").unionByName(chosen.select("archive", F.lit(77).alias("ordinal")))
+    tight = {(names[r["archive"]], r["ordinal"]): r["fault"] for r in A.extracted(files, every, A.Limits(member_bytes=50)).collect()}
+    assert tight[("good.zip", 0)] == "" and tight[("good.zip", 1)] == "beyond_limits" and tight[("good.zip", 77)] == "missing"
+    total = {(names[r["archive"]], r["ordinal"]): r["fault"] for r in A.extracted(files, every, A.Limits(total_bytes=6)).collect()}
+    assert total[("good.zip", 0)] == "" and total[("good.zip", 1)] == "beyond_limits"
+    inventories, rows = A.inventory_rows(members)
+    held = {names[r["archive_blob_sha256"]]: (r["member_count"], r["file_count"], len(r["inventory_sha256"])) for r in inventories.collect()}
+    assert held == {"good.zip": (2, 2, 64), "bad.zip": (4, 4, 64)}
+    assert rows.where("inspection_status = 'refused'").count() == 2
     assert A.member_path("a\\.\\b//c") == ("a/b/c", "") and A.member_path("C:/x")[1] == "drive"
 
 
