@@ -172,24 +172,30 @@ def greedy_pairs(candidates: list[tuple[str, str, str]], most: int, frequency: d
 def balanced_splits(sizes: list[tuple[str, int]], ratios: dict[str, float], seed: str = "balanced") -> dict[str, str]:
     """Components, largest first, to the split that keeps the squared relative deviation from the targets least.
 
+    Exact ties are broken by a seeded digest, a split without share gets
+    nothing, and every other one at least a component where there are enough.
     The driver holds one (component, size) per component, as each choice
     depends on all before; use ``hash_split`` where components are too many.
     """
     import hashlib
 
+    digest = lambda value: hashlib.sha256(f"{seed}\0{value}".encode()).digest()
+    active = [s for s, r in ratios.items() if r > 0]
     total = sum(n for _, n in sizes)
-    target = {s: r * total for s, r in ratios.items()}
-    have = {s: 0 for s in ratios}
+    target = {s: total * ratios[s] for s in active}
+    have, held = dict.fromkeys(active, 0), dict.fromkeys(active, 0)
     out: dict[str, str] = {}
-    order = sorted(sizes, key=lambda c: (-c[1], hashlib.sha256(f"{seed}\0{c[0]}".encode()).hexdigest(), c[0]))
+    order = sorted(sizes, key=lambda c: (-c[1], digest(c[0]), c[0].encode()))
     for k, (name, n) in enumerate(order):
-        open_splits = [s for s in ratios if have[s] == 0 and ratios[s] > 0]
-        pool = open_splits if len(open_splits) >= len(order) - k else list(ratios)
+        waiting = [s for s in active if not held[s]]
+        pool = waiting if waiting and len(order) - k == len(waiting) else active
 
-        def cost(s: str) -> float:
-            return sum((have[x] + (n if x == s else 0) - target[x]) ** 2 / max(target[x], 1) for x in ratios)
+        def cost(s: str) -> tuple[float, bytes, bytes]:
+            away = sum((have[x] + (n if x == s else 0) - target[x]) ** 2 / max(target[x], 1.0) for x in active)
+            return away, digest(f"{name}\0{s}"), s.encode()
 
-        best = min(pool, key=lambda s: (cost(s), list(ratios).index(s)))
+        best = min(pool, key=cost)
         have[best] += n
+        held[best] += 1
         out[name] = best
     return out

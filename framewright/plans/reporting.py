@@ -170,6 +170,8 @@ def _leading(text: str, digits: int) -> str:
 _FRACTION = _leading("sha256('documents' || chr(0) || {key})", 16)
 _CUTS = (int(0.9 * 2**64), int((0.9 + 0.05) * 2**64))
 
+_COST = "({a} - ta) * ({a} - ta) / greatest(ta, 1.0) + ({b} - tb) * ({b} - tb) / greatest(tb, 1.0) + ({d} - tb) * ({d} - tb) / greatest(tb, 1.0)"
+
 ORACLES = {
     "corpus_summary": " UNION ALL ".join(
         f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}"
@@ -268,6 +270,23 @@ ORACLES = {
         r AS (SELECT a AS node, a AS seen FROM w UNION SELECT r.node, w.b FROM r JOIN w ON r.seen = w.a)
         SELECT node AS doc_id, min(seen) AS component FROM r GROUP BY 1
     """,
+    "balanced_split": f"""
+        WITH RECURSIVE t AS (SELECT doc_id, 't' || sha256(text) AS token FROM documents WHERE text IS NOT NULL
+            UNION ALL SELECT doc_id, 'i' || item_id FROM documents WHERE item_id IS NOT NULL),
+        c AS (SELECT token, min(doc_id) AS centre FROM t GROUP BY 1), e AS (SELECT DISTINCT doc_id AS a, centre AS b FROM t JOIN c USING (token)),
+        w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM w UNION SELECT r.node, w.b FROM r JOIN w ON r.seen = w.a),
+        n AS (SELECT CAST(component AS VARCHAR) AS c, count(*) AS n FROM (SELECT node, min(seen) AS component FROM r GROUP BY 1) GROUP BY 1),
+        o AS (SELECT c, n, row_number() OVER (ORDER BY n DESC, sha256('balanced' || chr(0) || c), c) AS k, sum(n) OVER () * 0.9::DOUBLE AS ta, sum(n) OVER () * 0.05::DOUBLE AS tb, count(*) OVER () AS m FROM n),
+        g AS (SELECT 0 AS k, 0 AS a, 0 AS b, 0 AS d, 0 AS ka, 0 AS kb, 0 AS kd, '' AS s, 0 AS n
+            UNION ALL SELECT q.k, q.a + CASE WHEN q.s = 'train' THEN q.n ELSE 0 END, q.b + CASE WHEN q.s = 'validation' THEN q.n ELSE 0 END, q.d + CASE WHEN q.s = 'test' THEN q.n ELSE 0 END,
+                q.ka + (q.s = 'train')::INT, q.kb + (q.s = 'validation')::INT, q.kd + (q.s = 'test')::INT, q.s, q.n
+            FROM (SELECT o.k, g.a, g.b, g.d, g.ka, g.kb, g.kd, o.n, list_sort(list_filter([
+                {{'e': {_COST.format(a='g.a + o.n', b='g.b', d='g.d')}, 'h': sha256('balanced' || chr(0) || c || chr(0) || 'train'), 's': 'train', 'w': g.ka = 0}},
+                {{'e': {_COST.format(a='g.a', b='g.b + o.n', d='g.d')}, 'h': sha256('balanced' || chr(0) || c || chr(0) || 'validation'), 's': 'validation', 'w': g.kb = 0}},
+                {{'e': {_COST.format(a='g.a', b='g.b', d='g.d + o.n')}, 'h': sha256('balanced' || chr(0) || c || chr(0) || 'test'), 's': 'test', 'w': g.kd = 0}}],
+                lambda x: x.w OR o.m - o.k + 1 <> (g.ka = 0)::INT + (g.kb = 0)::INT + (g.kd = 0)::INT))[1].s AS s FROM g JOIN o ON o.k = g.k + 1) q)
+        SELECT s AS split, CAST(sum(n) AS BIGINT) AS n_docs, count(*) AS n_components FROM g WHERE k > 0 GROUP BY 1
+    """,
     "component_ids": """
         WITH g AS (SELECT sha256(text) AS blob, string_agg(CAST(doc_id AS VARCHAR), chr(0) ORDER BY CAST(doc_id AS VARCHAR)) AS m, count(*) AS n
             FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
