@@ -2,7 +2,7 @@
 
 One plan per table: children are reduced to one row per sequence before they
 meet the candidates, so no join multiplies rows. Components are found over
-sample-token star edges, and splits are drawn per component.
+star edges of identities and tokens, and splits are drawn per component.
 """
 
 from __future__ import annotations
@@ -19,11 +19,14 @@ from framewright.operators.graph import components, star_edges
 from framewright.operators.reports import coverage
 from framewright.operators.sampling import balanced_splits
 from framewright.operators.selection import Filters, by_sources, effective_action, negative_claims, phases_ready, timing_evidence
+from framewright.operators.skew import hottest, lookup_join
 from framewright.session import Scratch
 from framewright.sources import schema
 
 # Fields by which a document disclaims its timing.
 TIMING_FIELDS = ["timing_known", "exact_engine_timing", "state_occurrence_order_preserved"]
+#: Blobs in duplicate groups, about 150 bytes each, up to which they are broadcast.
+FEW = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -62,14 +65,23 @@ def _associations(t: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def duplicate_groups(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(blob, duplicate_group, edge_ids): components of the duplicate edges, named by the hash of their members."""
+    """(blob, duplicate_group): components of the duplicate edges, named by the hash of their members."""
     found = components(spark, edges, "left_blob_sha256", "right_blob_sha256")
     named = found.groupBy("component").agg(member_hash(F.collect_list("node"), "duplicate-component:").alias("duplicate_group"))
-    of_edges = edges.join(found.select(F.col("node").alias("left_blob_sha256"), "component"), "left_blob_sha256").groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("edge_ids"))
-    return found.join(named, "component").join(of_edges, "component").select(F.col("node").alias("blob"), "duplicate_group", "edge_ids")
+    return found.join(named, "component").select(F.col("node").alias("blob"), "duplicate_group")
 
 
-def load_samples(spark: SparkSession, t: Mapping[str, DataFrame], filters: Filters) -> DataFrame:
+def with_edges(samples: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Samples with all edges of their duplicate groups, members times edges of a group: only for those who read them."""
+    of_group = edges.join(groups.withColumnRenamed("blob", "left_blob_sha256"), "left_blob_sha256").select("duplicate_group", F.col("id").alias("_edge"))
+    held = samples.select("sequence_id", F.explode("duplicate_group_ids").alias("duplicate_group")).join(of_group, "duplicate_group")
+    edge_ids = held.groupBy("sequence_id").agg(F.array_sort(F.collect_set("_edge")).alias("duplicate_edge_ids"))
+    at = samples.columns.index("duplicate_group_ids") + 1
+    return samples.join(edge_ids, "sequence_id", "left").select(
+        *samples.columns[:at], F.coalesce("duplicate_edge_ids", F.array().cast("array<string>")).alias("duplicate_edge_ids"), *samples.columns[at:])
+
+
+def load_samples(t: Mapping[str, DataFrame], filters: Filters, groups: DataFrame) -> DataFrame:
     """One row per eligible sequence with its identity, pack, labels, digests, leakage tokens and temporal evidence."""
     motion = t["motion_annotations"].select(
         F.col("sequence_id").alias("id"), "normalized_action", F.col("view").alias("motion_view"), F.col("direction").alias("motion_direction"), "conditioning_json", "action_family")
@@ -88,11 +100,11 @@ def load_samples(spark: SparkSession, t: Mapping[str, DataFrame], filters: Filte
         F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "phase"))), lambda x: x["phase"]).alias("phases"),
         F.min_by(F.struct("view", "direction"), "ordinal").alias("first_frame"))
     digests = frames.select("id", F.col("source_blob_sha256").alias("d")).unionByName(legacy.select("id", F.col("blob_sha256").alias("d"))).unionByName(
-        t["sequences"].select("id", F.col("source_blob_sha256").alias("d"))).where("d is not null").distinct()
-    groups = duplicate_groups(spark, t["duplicate_edges"])
-    blobs = digests.join(groups, digests["d"] == groups["blob"], "left").groupBy("id").agg(
-        F.array_sort(F.collect_set("d")).alias("source_blob_sha256"), F.array_sort(F.collect_set("duplicate_group")).alias("_dup"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("edge_ids")))).alias("duplicate_edge_ids"))
+        t["sequences"].select("id", F.col("source_blob_sha256").alias("d"))).where("d is not null")
+    blobs = digests.groupBy("id").agg(F.array_sort(F.collect_set("d")).alias("source_blob_sha256"))
+    # most blobs are in no group: where the groups are few, the blobs stay where they are
+    few = groups.limit(FEW + 1).count() <= FEW
+    dups = digests.join(F.broadcast(groups) if few else groups, digests["d"] == groups["blob"]).groupBy("id").agg(F.array_sort(F.collect_set("duplicate_group")).alias("_dup"))
     subjects = t["sequence_subjects"].join(t["entities"].select(F.col("id").alias("entity_id"), "entity_class"), "entity_id").groupBy(F.col("sequence_id").alias("id")).agg(
         F.min_by(F.struct("entity_id", "entity_class"), F.struct(F.col("role") != "primary", "role", "entity_id")).alias("subject"),
         F.array_sort(F.collect_set(F.concat(F.lit("entity:"), "entity_id"))).alias("_entities"))
@@ -101,7 +113,7 @@ def load_samples(spark: SparkSession, t: Mapping[str, DataFrame], filters: Filte
     of_item = t["items"].select(F.col("id").alias("item_id"), F.col("source_id").alias("_item_source"))
 
     joined = base.drop("source_blob_sha256")
-    for side in (timed, timed_legacy, shape, blobs, subjects, packs, named):
+    for side in (timed, timed_legacy, shape, blobs, dups, subjects, packs, named):
         joined = joined.join(side, "id", "left")
     joined = joined.join(of_item, "item_id", "left")
     n = F.col("frame_count")
@@ -129,7 +141,6 @@ def load_samples(spark: SparkSession, t: Mapping[str, DataFrame], filters: Filte
         mode.alias("loop_mode"), "frame_count",
         F.coalesce("source_blob_sha256", none).alias("source_blob_sha256"),
         F.array_sort(F.concat(F.coalesce("_entities", none), F.coalesce("_dup", none))).alias("duplicate_group_ids"),
-        F.coalesce("duplicate_edge_ids", none).alias("duplicate_edge_ids"),
         F.coalesce("source_ids", none).alias("source_ids"),
         "quality_tier", "temporal_known", "duration_source", "negative_claims",
     )
@@ -137,16 +148,21 @@ def load_samples(spark: SparkSession, t: Mapping[str, DataFrame], filters: Filte
 
 def assignments(spark: SparkSession, samples: DataFrame, policy: SplitPolicy) -> DataFrame:
     """(sequence_id, component_id, split): samples tied by identity, pack, blob or duplicate group share one split."""
-    tokens = samples.select("sequence_id", F.explode(F.array_distinct(F.concat(
-        F.array(F.concat(F.lit("identity:"), "identity_id"), F.concat(F.lit("pack:"), "source_pack_id")),
+    # sequences of one identity are one node; tokens are only compared, so 128 bits of each stand for it
+    tokens = samples.select("identity_id", F.explode(F.array_distinct(F.concat(
+        F.array(F.concat(F.lit("pack:"), "source_pack_id")),
         F.transform("source_blob_sha256", lambda d: F.concat(F.lit("blob:"), d)),
-        F.transform("duplicate_group_ids", lambda d: F.concat(F.lit("group:"), d))))).alias("token"))
-    found = components(spark, star_edges(tokens, "sequence_id", "token"))
+        F.transform("duplicate_group_ids", lambda d: F.concat(F.lit("group:"), d))))).alias("token")).select("identity_id", F.unhex(F.md5("token")).alias("token"))
+    scratch = Scratch(spark, "assignments")
+    edges = scratch.write(star_edges(tokens, "identity_id", "token").where("src <> dst").distinct(), "edges")
+    found = components(spark, edges)
+    per = samples.groupBy("identity_id").agg(F.min("sequence_id").alias("first"), F.count("*").alias("n"))
+    tied = scratch.write(per.join(found.withColumnRenamed("node", "identity_id"), "identity_id", "left").withColumn("component", F.coalesce("component", "identity_id")), "tied")
     # named after its first member, so a component of any size is named without gathering it, and keeps its split as it grows
-    sizes_of = found.groupBy("component").agg(F.count("*").alias("n"))
-    placed = found.join(sizes_of, "component").select(
-        F.col("node").alias("sequence_id"), F.concat(F.lit("component:"), F.sha2("component", 256)).alias("component_id"), "n"
-    )
+    whole = tied.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    named = tied.select("identity_id", "component").join(whole, "component").select("identity_id", F.concat(F.lit("component:"), F.sha2("first", 256)).alias("component_id"), "n")
+    total = tied.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = lookup_join(samples.select("sequence_id", "identity_id"), named, "identity_id", hot=hottest(tied, "identity_id", total)).select("sequence_id", "component_id", "n")
     if policy.strategy == "hash":
         return placed.select("sequence_id", "component_id", hash_split(policy.seed, F.col("component_id"), policy.ratios).alias("split"))
     sizes = sorted((r["component_id"], r["n"]) for r in placed.select("component_id", "n").distinct().collect())
@@ -156,7 +172,10 @@ def assignments(spark: SparkSession, samples: DataFrame, policy: SplitPolicy) ->
 
 @dataclass
 class Snapshot:
+    """``members`` are the samples without the edges of their duplicate groups, which may outgrow all else."""
+
     samples: DataFrame
+    members: DataFrame
     assignments: DataFrame
     coverage: DataFrame
     timing: dict[str, int]
@@ -166,7 +185,7 @@ class Snapshot:
     def leaks(self) -> int:
         """Components in more than one split, and samples without a split: both must be none."""
         torn = self.assignments.groupBy("component_id").agg(F.count_distinct("split").alias("n")).where("n > 1").count()
-        return torn + self.samples.join(self.assignments, "sequence_id", "left_anti").count()
+        return torn + self.members.join(self.assignments, "sequence_id", "left_anti").count()
 
     def chunks(self):
         """The canonical artifact, streamed in key order: equal indexes give equal bytes."""
@@ -197,11 +216,13 @@ def build_snapshot(spark: SparkSession, root: str, filters: Filters = Filters(),
 
 def snapshot_of(spark: SparkSession, tables: Mapping[str, DataFrame], filters: Filters, policy: SplitPolicy) -> Snapshot:
     scratch = Scratch(spark, "snapshot")
-    samples = scratch.write(load_samples(spark, tables, filters), "samples")
-    placed = scratch.write(assignments(spark, samples, policy), "assignments")
-    covered = coverage(samples.join(placed, "sequence_id"), "split", ["entity_class", "action", "loop_mode", "view"])
-    known = samples.agg(F.count_if("temporal_known").alias("known"), F.count_if(~F.col("temporal_known")).alias("pose_only")).first()
-    return Snapshot(samples, placed, covered, known.asDict(), filters, policy)
+    edges = tables["duplicate_edges"]
+    groups = scratch.write(duplicate_groups(spark, edges), "groups")
+    members = scratch.write(load_samples(tables, filters, groups), "samples")
+    placed = scratch.write(assignments(spark, members, policy), "assignments")
+    covered = coverage(members.join(placed, "sequence_id"), "split", ["entity_class", "action", "loop_mode", "view"])
+    known = members.agg(F.count_if("temporal_known").alias("known"), F.count_if(~F.col("temporal_known")).alias("pose_only")).first()
+    return Snapshot(with_edges(members, edges, groups), members, placed, covered, known.asDict(), filters, policy)
 
 
 def driver_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -215,8 +236,12 @@ def driver_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     from framewright.session import load
 
     tables = {name: schema.empty(spark, name) for name in schema.TABLES}
-    rows = load(spark, root, "prepared_broad_rows").dropDuplicates(["sequence_id"]).withColumn("identity_id", letters_and_digits(F.col("identity_id")))
-    blob, array = digest(F.col("source_file_sha256")), digest(F.col("normalized_array_sha256"))
+    # one row per sequence, made once: every table below reads it
+    held = load(spark, root, "prepared_broad_rows").select("sequence_id", "identity_id", "action", "source_id", "source_file_sha256", "normalized_array_sha256", "frame_phases")
+    rows = Scratch(spark, "index").write(held.dropDuplicates(["sequence_id"]).select(
+        "sequence_id", letters_and_digits(F.col("identity_id")).alias("identity_id"), "action", "source_id", "frame_phases",
+        digest(F.col("source_file_sha256")).alias("file"), digest(F.col("normalized_array_sha256")).alias("array")), "rows")
+    blob, array = F.col("file"), F.col("array")
 
     def shaped(df: DataFrame, name: str) -> DataFrame:
         held = dict(df.dtypes)
@@ -240,7 +265,7 @@ def driver_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def dataset_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """Samples of the test tables with component and split, tied by identity, equal arrays, source file and pack."""
     shot = snapshot_of(spark, driver_index(spark, root), Filters(minimum_frames=2, temporal_mode="known"), SplitPolicy())
-    return shot.samples.join(shot.assignments, "sequence_id").select("sequence_id", "identity_id", "source_pack_id", "action", "frame_count", "component_id", "split")
+    return shot.members.join(shot.assignments, "sequence_id").select("sequence_id", "identity_id", "source_pack_id", "action", "frame_count", "component_id", "split")
 
 
 QUERIES = {"dataset_snapshot": dataset_snapshot}

@@ -99,3 +99,16 @@ def test_driver_tables_tie_equal_arrays_and_spellings_of_an_identity(spark, tmp_
         groups.setdefault(r["component_id"], set()).add(s)
     assert sorted(map(sorted, groups.values())) == [["q1", "q2", "q3"], ["q4", "q6"], ["q5"], ["q7"]]
     assert all(len({got[s]["split"] for s in g}) == 1 for g in groups.values())
+
+
+def test_a_large_duplicate_group_lays_no_edge_lists_beside_its_blobs(spark):
+    # a star of 300 copies: every sample has all 300 edges, but what is stored and placed carries the group's name only
+    ids = [f"{k:064x}" for k in range(1, 301)]
+    t = index(
+        spark, sequences=[{"id": f"q{k:03d}", "source_blob_sha256": b, "frame_count": 1, "quality_tier": "F0"} for k, b in enumerate(ids)],
+        duplicate_edges=[{"id": f"e{k:03d}", "left_blob_sha256": A, "right_blob_sha256": b} for k, b in enumerate(ids)])
+    shot = N.snapshot_of(spark, t, Filters(), POLICY)
+    assert "duplicate_edge_ids" not in shot.members.columns and shot.members.count() == 300
+    got = samples(shot)
+    assert all(r["duplicate_edge_ids"] == [f"e{k:03d}" for k in range(300)] for r in got.values()) and len(got) == 300
+    assert len({r["component_id"] for r in shot.assignments.collect()}) == 1 and shot.leaks() == 0
