@@ -12,6 +12,7 @@ How many curves a table needs depends on how its vectors are spread. So recall i
 measured in every run, on PROBES rows against all others, and curves are added
 by rounds until it reaches TARGET. Where MOST curves don't reach it, as for
 vectors evenly spread in all directions, blocks of rows are compared exactly.
+The queries take the exact way at once, as their SQL lists every pair.
 """
 
 from __future__ import annotations
@@ -34,8 +35,12 @@ CURVES, MOST, WINDOW, AXES, BITS = 3, 24, 4096, 8, 7
 PROBES, TARGET = 512, 0.995
 #: Rows of a block of the exact search, of a task that walks a curve, and rows multiplied at once.
 BLOCK, TASK_ROWS, STEP = 1 << 17, 1 << 17, 512
-#: Partners of a row, on average, beyond which the bound of a step is drawn tighter.
-CROWD = 256
+#: Least blocks of the exact search of a table of more than STEP rows, and products held at once.
+LEAST_BLOCKS, CELLS = 4, 1 << 24
+#: More than the single-precision product of two unit vectors can err; decimals to which cosines are compared.
+ERR, DIGITS = np.float32(1e-5), 13
+#: The same of double precision, and partners of a row, on average, beyond which it is taken.
+FINE, CROWD = 1e-12, 1024
 #: Further bits per axis, each time BITS, that order the vectors of one cell.
 FINER = 2
 NEAR = "row_index bigint, near array<struct<away:double,other:bigint>>"
@@ -106,7 +111,7 @@ def _binary(x: np.ndarray) -> pa.Array:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_index, unit) of the vectors of DIMENSIONS finite numbers that aren't all zero."""
+    """(row_index, unit, own: its product with itself) of the vectors of DIMENSIONS finite numbers that aren't all zero."""
     for b in batches:
         column = b.column("v").cast(pa.list_(pa.float64()))
         ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
@@ -117,7 +122,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             norm = np.sqrt((x * x).sum(1))
             fit = np.isfinite(x).all(1) & (norm > 0) & np.isfinite(norm)
             unit = x[fit] / norm[fit][:, None]
-        yield pa.RecordBatch.from_arrays([b.column("row_index").take(pa.array(at[fit])), _binary(unit)], names=["row_index", "unit"])
+        unit = unit.astype(np.float32)
+        own = products(unit, unit, np.arange(len(unit)), np.arange(len(unit)))
+        yield pa.RecordBatch.from_arrays([b.column("row_index").take(pa.array(at[fit])), _binary(unit), pa.array(own)], names=["row_index", "unit", "own"])
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,35 +173,50 @@ def _keyed(curves: list, bits: int = BITS):
     return run
 
 
+def products(p: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Products of rows of p and y, added entry by entry so that a pair has one value wherever it is met, rounded to DIGITS decimals."""
+    out = np.empty(len(row))
+    for a in range(0, len(row), 1 << 14):
+        at = slice(a, a + (1 << 14))
+        out[at] = np.cumsum(p[row[at]].astype(np.float64) * y[col[at]], axis=1)[:, -1]
+    out *= 10**DIGITS
+    return np.trunc(out + np.copysign(0.5, out)) / 10**DIGITS
+
+
 def best_of(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k: int) -> pa.RecordBatch | None:
     """(row_index, near): for each row of x the k rows of y of greatest cosine, itself left out, ties to the smaller key.
 
-    A few rows more than k are chosen by single precision and ranked again by double.
+    Single precision only leaves out what lies further below the k-th best than
+    it can err; the rest is ranked by double, to DIGITS decimals.
     """
-    take = min(k + 3, len(other) - 1)
+    take = min(k, len(other))
     if take < 1 or not len(ids):
         return None
     keys, away, sizes = [], [], []
     order = np.argsort(other, kind="stable")
     found = order[np.minimum(np.searchsorted(other, ids, sorter=order), len(other) - 1)]
     itself = np.where(other[found] == ids, found, -1)
-    for a in range(0, len(ids), STEP):
-        p = x[a : a + STEP]
-        head = min(len(other), max(4 * STEP, take + 1))
+    head, step = min(len(other), 4 * STEP), max(1, min(STEP, CELLS // len(other)))
+    for a in range(0, len(ids), step):
+        p = x[a : a + step]
         s = p @ y.T
-        own = np.flatnonzero(itself[a : a + STEP] >= 0)
-        s[own, itself[a : a + STEP][own]] = -4
+        own = np.flatnonzero(itself[a : a + step] >= 0)
+        s[own, itself[a : a + step][own]] = -4
         # the first columns give each row a bound that few others pass
-        bound = np.partition(s[:, :head], head - take, axis=1)[:, head - take]
-        passed = s >= bound[:, None]
-        if np.count_nonzero(passed) > CROWD * len(p):  # too many equal in single precision: the exact bound of each row
-            bound = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
-            passed = s > bound[:, None]
-            chosen = np.argpartition(-s, take - 1, axis=1)[:, :take]
-            np.put_along_axis(passed, chosen, True, axis=1)
-        row, col = np.nonzero(passed)
-        exact = np.einsum("nd,nd->n", p[row].astype(np.float64), y[col].astype(np.float64))
-        exact[s[row, col] < -3] = -4
+        bound = np.partition(s[:, :head], head - take, axis=1)[:, head - take] - ERR
+        row, col = np.nonzero(s >= bound[:, None])
+        if len(row) > CROWD * len(p):  # many that single precision can't tell apart
+            s = p.astype(np.float64) @ y.astype(np.float64).T
+            s[own, itself[a : a + step][own]] = -4
+            bound = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take] - FINE
+            row, col = np.nonzero(s >= bound[:, None])
+        near = s[row, col]
+        order = np.lexsort((-near, row))
+        row, col, near = row[order], col[order], near[order]
+        last = np.searchsorted(row, np.arange(len(p))) + take - 1
+        close = near >= near[last][row] - ERR
+        row, col, near = row[close], col[close], near[close]
+        exact = np.where(near < -3, -4, products(p, y, row, col))
         order = np.lexsort((other[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
         start = np.searchsorted(row, np.arange(len(p)))
@@ -306,7 +328,7 @@ def _merged(near: DataFrame, k: int, spread_over: Column | None = None) -> DataF
 def valid_vectors(df: DataFrame, key: str = "row_index", vector: str = "embedding") -> DataFrame:
     """One row per key with the unit vector as 64 floats in binary; vectors that aren't 64 finite numbers, or are all zero, are left out."""
     held = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("row_index"), F.col(vector).alias("v"))
-    return held.mapInArrow(_units, "row_index bigint, unit binary").dropDuplicates(["row_index"])
+    return held.mapInArrow(_units, "row_index bigint, unit binary, own double").dropDuplicates(["row_index"])
 
 
 def _along_curves(spark: SparkSession, distinct: DataFrame, rows: int, curves: list, k: int, window: int) -> DataFrame:
@@ -323,7 +345,7 @@ def _along_curves(spark: SparkSession, distinct: DataFrame, rows: int, curves: l
 
 def _exact(spark: SparkSession, distinct: DataFrame, rows: int, k: int) -> DataFrame:
     """(row_index, near) by comparing every block of rows with every other, the exact way for tables that curves don't order well."""
-    blocks = max(1, -(-rows // BLOCK))
+    blocks = max(LEAST_BLOCKS if rows > STEP else 1, -(-rows // BLOCK))
     home = F.pmod(F.xxhash64("row_index"), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     rows_of = distinct.withColumn("home", home)
@@ -342,7 +364,12 @@ def _recall(merged: DataFrame, true: dict[int, set[int]]) -> float:
 def nearest_distinct(
     spark: SparkSession, scratch: Scratch, distinct: DataFrame, k: int, curves: int, most: int, window: int, target: float, seed: int
 ) -> DataFrame:
-    """(row_index, near): the k best partners of every row of distinct vectors, by rounds of curves until the measured recall reaches ``target``."""
+    """(row_index, near): the k best partners of every row of distinct vectors, by rounds of curves until the measured recall reaches ``target``.
+
+    Without curves (``most`` 0) all rows are compared exactly.
+    """
+    if most < 1:
+        return scratch.write(_merged(_exact(spark, distinct, distinct.count(), k), k), "exact")
     cells = {r["cell"]: r["value"] for r in distinct.mapInArrow(_moments, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()}
     values = np.array([cells[c] for c in sorted(cells)]) if cells else np.zeros(1 + DIMENSIONS + DIMENSIONS**2)
     n, rows = max(values[0], 1), int(values[0])
@@ -393,7 +420,7 @@ def nearest(
     )
     first = Window.partitionBy("copy_of").orderBy("row_index")
     heads = scratch.write(
-        rows.select("row_index", "copy_of").withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1), "heads"
+        rows.select("row_index", "copy_of", "own").withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1), "heads"
     )
     classes = heads.where("place > 1").select("copy_of").distinct().join(heads.where("place = 1").select("copy_of", F.col("row_index").alias("head")), "copy_of")
     # only rows of a class of copies meet their head; the others are their own
@@ -402,7 +429,7 @@ def nearest(
     )
     merged = nearest_distinct(spark, scratch, distinct, k, curves, most, window, target, seed)
     members = heads.groupBy("copy_of").agg(
-        F.min("row_index").alias("head"), F.array_sort(F.collect_list("row_index")).alias("members")
+        F.min("row_index").alias("head"), F.min("own").alias("own"), F.array_sort(F.collect_list("row_index")).alias("members")
     )  # at most k + 1 keys each
     wide = members.where(F.size("members") > 1).select("head", "members")
     # a neighbouring class brings its first k keys, the own class its first k + 1
@@ -418,7 +445,7 @@ def nearest(
     lookup = members.join(reach, F.col("head") == F.col("row_index"), "left").select(
         "copy_of",
         F.concat(
-            F.when(F.size("members") > 1, F.transform("members", lambda m: F.struct(F.lit(-1.0).alias("away"), m.alias("other"))))
+            F.when(F.size("members") > 1, F.transform("members", lambda m: F.struct((-F.col("own")).alias("away"), m.alias("other"))))
             .otherwise(F.array().cast("array<struct<away:double,other:bigint>>")),
             F.coalesce("around", F.array().cast("array<struct<away:double,other:bigint>>")),
         ).alias("offers"),
@@ -433,8 +460,8 @@ def nearest(
 
 
 def p4_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    """The five closest other rows of every valid vector."""
-    found = nearest(spark, load(spark, root, "semantic_embedding_rows"))
+    """The five closest other rows of every valid vector, all compared: what curves miss is missing from the result."""
+    found = nearest(spark, load(spark, root, "semantic_embedding_rows"), most=0)
     return found.withColumn("cosine", F.round("cosine", 6))
 
 
