@@ -18,6 +18,7 @@ The queries take the exact way at once, as their SQL lists every pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ CURVES, MOST, WINDOW, AXES, BITS = 3, 24, 4096, 8, 7
 PROBES, TARGET = 512, 0.995
 #: Rows of a block of the exact search, of a task that walks a curve, and rows multiplied at once.
 BLOCK, TASK_ROWS, STEP = 1 << 17, 1 << 17, 512
-#: Least blocks of the exact search of a table of more than STEP rows, and products held at once.
-LEAST_BLOCKS, CELLS = 4, 1 << 24
+#: Least blocks of the exact search of a table of more than STEP rows.
+LEAST_BLOCKS = 4
+#: Columns of a tile of products, and partners of a row, on average, that are gathered before they are ranked.
+TILE, LOOSE = 2048, 64
 #: More than the single-precision product of two unit vectors can err; decimals to which cosines are compared.
 ERR, DIGITS = np.float32(1e-5), 13
 #: The same of double precision, and partners of a row, on average, beyond which it is taken.
@@ -111,7 +114,7 @@ def _binary(x: np.ndarray) -> pa.Array:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_index, unit, own: its product with itself) of the vectors of DIMENSIONS finite numbers that aren't all zero."""
+    """(row_index, unit, own: its product with itself, whole: digest of the vector) of the vectors of DIMENSIONS finite numbers that aren't all zero."""
     for b in batches:
         column = b.column("v").cast(pa.list_(pa.float64()))
         ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
@@ -119,12 +122,14 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = np.asarray(column.values.to_numpy(zero_copy_only=False), np.float64)  # a null entry is not a number
         x = values[ends[at][:, None] + np.arange(DIMENSIONS)]
         with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
-            norm = np.sqrt((x * x).sum(1))
+            norm = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])  # entry by entry, as in products
             fit = np.isfinite(x).all(1) & (norm > 0) & np.isfinite(norm)
             unit = x[fit] / norm[fit][:, None]
         unit = unit.astype(np.float32)
+        whole = [blake2b(v.tobytes(), digest_size=16).digest() for v in x[fit] + 0.0]  # -0.0 is 0.0
         own = products(unit, unit, np.arange(len(unit)), np.arange(len(unit)))
-        yield pa.RecordBatch.from_arrays([b.column("row_index").take(pa.array(at[fit])), _binary(unit), pa.array(own)], names=["row_index", "unit", "own"])
+        keys = b.column("row_index").take(pa.array(at[fit]))
+        yield pa.RecordBatch.from_arrays([keys, _binary(unit), pa.array(own), pa.array(whole, pa.binary())], names=["row_index", "unit", "own", "whole"])
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,49 +189,81 @@ def products(p: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) ->
 
 
 def best_of(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k: int) -> pa.RecordBatch | None:
-    """(row_index, near): for each row of x the k rows of y of greatest cosine, itself left out, ties to the smaller key.
+    """(row_index, near): for each key of x the k rows of y of greatest cosine, rows of its own key left out, ties to the smaller key.
 
-    Single precision only leaves out what lies further below the k-th best than
-    it can err; the rest is ranked by double, to DIGITS decimals.
+    A key of several rows has the k best of them all. Single precision only
+    leaves out what lies further below the k-th best than it can err; the rest
+    is ranked by double, to DIGITS decimals.
     """
     take = min(k, len(other))
     if take < 1 or not len(ids):
         return None
-    keys, away, sizes = [], [], []
-    order = np.argsort(other, kind="stable")
-    found = order[np.minimum(np.searchsorted(other, ids, sorter=order), len(other) - 1)]
-    itself = np.where(other[found] == ids, found, -1)
-    head, step = min(len(other), 4 * STEP), max(1, min(STEP, CELLS // len(other)))
-    for a in range(0, len(ids), step):
-        p = x[a : a + step]
-        s = p @ y.T
-        own = np.flatnonzero(itself[a : a + step] >= 0)
-        s[own, itself[a : a + step][own]] = -4
-        # the first columns give each row a bound that few others pass
-        bound = np.partition(s[:, :head], head - take, axis=1)[:, head - take] - ERR
-        row, col = np.nonzero(s >= bound[:, None])
-        if len(row) > CROWD * len(p):  # many that single precision can't tell apart
-            s = p.astype(np.float64) @ y.astype(np.float64).T
-            s[own, itself[a : a + step][own]] = -4
-            bound = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take] - FINE
-            row, col = np.nonzero(s >= bound[:, None])
-        near = s[row, col]
+    whose, keys, away = [], [], []
+    for a in range(0, len(ids), STEP):
+        p, mine = x[a : a + STEP], ids[a : a + STEP]
+        row, col = _passing(p, mine, other, y, take, np.float32, ERR) or _passing(p, mine, other, y, take, np.float64, FINE)
+        whose.append(a + row)
+        keys.append(other[col])
+        away.append(-products(p, y, row, col))
+        kept = _first(whose[-1], away[-1], keys[-1], k)
+        whose[-1], keys[-1], away[-1] = whose[-1][kept], keys[-1][kept], away[-1][kept]
+    whose, keys, away = np.concatenate(whose), np.concatenate(keys), np.concatenate(away)
+    names, place = np.unique(ids, return_inverse=True)
+    if len(names) < len(ids):
+        ids, whose = names, place[whose]
+        kept = _first(whose, away, keys, k)
+        whose, keys, away = whose[kept], keys[kept], away[kept]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(ids)))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(away), pa.array(keys)], ["away", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["row_index", "near"])
+
+
+def _passing(p: np.ndarray, mine: np.ndarray, other: np.ndarray, y: np.ndarray, take: int, kind: type, err: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """(row, col) of the products of p and y that can be among the ``take`` greatest of a row, rows of its own key left out, if products of ``kind`` err by ``err``.
+
+    Products are made by tiles that stay in the cache, and each row's bound
+    rises as partners come in. None where single precision leaves more than
+    CROWD partners a row.
+    """
+    p, held = p.astype(kind), np.empty(len(p) * min(TILE, len(y)), kind)
+    row, col, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+    met, size, bound = [], 0, np.full((len(p), 1), -3, kind)
+    full = LOOSE * len(p)
+    for c in range(0, len(y), TILE):
+        part = y[c : c + TILE].astype(kind, copy=False)
+        s = np.matmul(p, part.T, out=held[: len(p) * len(part)].reshape(len(p), len(part)))
+        if c == 0:  # the first columns give each row a bound that few others pass
+            s[mine[:, None] == other[None, : len(part)]] = -4
+            bound = np.maximum(np.partition(s, len(part) - take, axis=1)[:, [len(part) - take]] - kind(err), -3)
+        at = np.flatnonzero(s >= bound)
+        r, q = np.divmod(at, len(part))
+        alien = other[c + q] != mine[r]
+        met.append((r[alien], c + q[alien], s.reshape(-1)[at[alien]]))
+        size += len(met[-1][0])
+        last = c + TILE >= len(y)
+        if size <= full and not last:
+            continue
+        row, col, near = (np.concatenate(m) for m in zip((row, col, near), *met))
         order = np.lexsort((-near, row))
         row, col, near = row[order], col[order], near[order]
-        last = np.searchsorted(row, np.arange(len(p))) + take - 1
-        close = near >= near[last][row] - ERR
+        sizes = np.bincount(row, minlength=len(p))
+        least = np.cumsum(sizes) - sizes + np.minimum(sizes, take) - 1
+        close = near >= near[least[row]] - kind(err)
+        enough = sizes >= take
+        bound[enough, 0] = np.maximum(bound[enough, 0], near[least[enough]] - kind(err))
         row, col, near = row[close], col[close], near[close]
-        exact = np.where(near < -3, -4, products(p, y, row, col))
-        order = np.lexsort((other[col], -exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        start = np.searchsorted(row, np.arange(len(p)))
-        kept = (np.arange(len(row)) - start[row] < k) & (exact > -3)
-        keys.append(other[col[kept]])
-        away.append(-exact[kept])
-        sizes.append(np.bincount(row[kept], minlength=len(p)))
-    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(away)), pa.array(np.concatenate(keys))], ["away", "other"])
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["row_index", "near"])
+        met, size = [], len(row)
+        full = max(LOOSE * len(p), 2 * size)
+        if size > CROWD * len(p) and kind is np.float32:
+            return None
+    return row, col
+
+
+def _first(whose: np.ndarray, away: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest of each owner, owner by owner, ties to the smaller key."""
+    order = np.lexsort((keys, away, whose))
+    held = whose[order]
+    return order[np.arange(len(held)) - np.searchsorted(held, held) < k]
 
 
 def _windows(k: int, window: int):
@@ -315,20 +352,32 @@ def _exact_block(k: int):
     return run
 
 
-def _merged(near: DataFrame, k: int, spread_over: Column | None = None) -> DataFrame:
-    """The k best of all partners offered to each row."""
+def _merged(near: DataFrame, k: int, spread_over: Column | None = None, again: bool = True) -> DataFrame:
+    """The k best of all partners offered to each key; ``again``: a pair may be offered more than once and counts once."""
+    offers = F.array_distinct("near") if again else F.col("near")
     keys = ["row_index"] if spread_over is None else ["row_index", spread_over.alias("_part")]
     return (
         near.groupBy(*keys)
         .agg(F.flatten(F.collect_list("near")).alias("near"))
-        .select("row_index", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
+        .select("row_index", F.slice(F.array_sort(offers), 1, k).alias("near"))
     )
 
 
 def valid_vectors(df: DataFrame, key: str = "row_index", vector: str = "embedding") -> DataFrame:
-    """One row per key with the unit vector as 64 floats in binary; vectors that aren't 64 finite numbers, or are all zero, are left out."""
+    """One row per key and vector with the unit vector as 64 floats in binary; vectors that aren't 64 finite numbers, or are all zero, are left out.
+
+    ``first`` is true for one row of each key, ``torn`` for all rows of a key
+    that has more than one vector.
+    """
     held = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("row_index"), F.col(vector).alias("v"))
-    return held.mapInArrow(_units, "row_index bigint, unit binary, own double").dropDuplicates(["row_index"])
+    of_key = Window.partitionBy("row_index").orderBy("whole")
+    before, after = F.lag(F.lit(True)).over(of_key), F.lead(F.lit(True)).over(of_key)
+    return (
+        held.mapInArrow(_units, "row_index bigint, unit binary, own double, whole binary")
+        .repartition("row_index")
+        .dropDuplicates(["row_index", "whole"])
+        .select("row_index", "unit", "own", before.isNull().alias("first"), (before.isNotNull() | after.isNotNull()).alias("torn"))
+    )
 
 
 def _along_curves(spark: SparkSession, distinct: DataFrame, rows: int, curves: list, k: int, window: int) -> DataFrame:
@@ -346,7 +395,7 @@ def _along_curves(spark: SparkSession, distinct: DataFrame, rows: int, curves: l
 def _exact(spark: SparkSession, distinct: DataFrame, rows: int, k: int) -> DataFrame:
     """(row_index, near) by comparing every block of rows with every other, the exact way for tables that curves don't order well."""
     blocks = max(LEAST_BLOCKS if rows > STEP else 1, -(-rows // BLOCK))
-    home = F.pmod(F.xxhash64("row_index"), F.lit(blocks)).cast("int")
+    home = F.pmod(F.xxhash64("row_index", "unit"), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     rows_of = distinct.withColumn("home", home)
     asking = rows_of.select(F.col("home").alias("one"), F.explode(every).alias("two"), F.lit(True).alias("asks"), "row_index", "unit")
@@ -369,7 +418,7 @@ def nearest_distinct(
     Without curves (``most`` 0) all rows are compared exactly.
     """
     if most < 1:
-        return scratch.write(_merged(_exact(spark, distinct, distinct.count(), k), k), "exact")
+        return scratch.write(_merged(_exact(spark, distinct, distinct.count(), k), k, again=False), "exact")
     cells = {r["cell"]: r["value"] for r in distinct.mapInArrow(_moments, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()}
     values = np.array([cells[c] for c in sorted(cells)]) if cells else np.zeros(1 + DIMENSIONS + DIMENSIONS**2)
     n, rows = max(values[0], 1), int(values[0])
@@ -391,7 +440,7 @@ def nearest_distinct(
             scratch.drop(f"merged{used - curves}")
         if _recall(merged, true) >= target or not true:
             return merged
-    return scratch.write(_merged(_exact(spark, distinct, rows, k), k), "exact")
+    return scratch.write(_merged(_exact(spark, distinct, rows, k), k, again=False), "exact")
 
 
 def nearest(
@@ -411,16 +460,23 @@ def nearest(
     Rows with equal vectors are searched once: a class of copies is stood for
     by its smallest key and its first k + 1 keys are put back afterwards, so a
     class of any size costs one search. Nulls, short, zero and non-finite
-    vectors take no part; repeated keys count once; fewer than two valid rows
-    give no pair; other columns are ignored.
+    vectors take no part; a row that repeats key and vector counts once; fewer
+    than two valid keys give no pair; other columns are ignored.
+
+    A key of several vectors offers all of them, and has the k closest of all,
+    none of its own; another key then stands as often as its vectors are among
+    them. Curves meet a pair more than once, so there two vectors of a key of the
+    same cosine count once. Each of these vectors is searched, as none may
+    meet another of its key.
     """
     scratch = Scratch(spark, "neighbours")
-    rows = scratch.write(
-        valid_vectors(df, key, vector).withColumn("copy_of", F.concat_ws(":", F.xxhash64("unit"), F.xxhash64(F.lit(7), "unit"))), "rows"
+    copy_of = F.when(F.col("torn"), F.concat(F.lit("key:"), F.col("row_index"))).otherwise(
+        F.concat_ws(":", F.xxhash64("unit"), F.xxhash64(F.lit(7), "unit"))
     )
+    rows = scratch.write(valid_vectors(df, key, vector).withColumn("copy_of", copy_of), "rows")
     first = Window.partitionBy("copy_of").orderBy("row_index")
     heads = scratch.write(
-        rows.select("row_index", "copy_of", "own").withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1), "heads"
+        rows.where("first").select("row_index", "copy_of", "own").withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1), "heads"
     )
     classes = heads.where("place > 1").select("copy_of").distinct().join(heads.where("place = 1").select("copy_of", F.col("row_index").alias("head")), "copy_of")
     # only rows of a class of copies meet their head; the others are their own
@@ -450,7 +506,7 @@ def nearest(
             F.coalesce("around", F.array().cast("array<struct<away:double,other:bigint>>")),
         ).alias("offers"),
     )
-    offered = lookup_join(rows.select("row_index", "copy_of"), lookup, "copy_of")
+    offered = lookup_join(rows.where("first").select("row_index", "copy_of"), lookup, "copy_of")
     return offered.select(
         "row_index",
         F.posexplode(

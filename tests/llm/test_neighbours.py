@@ -122,3 +122,46 @@ def test_the_query_finds_every_partner_and_orders_ties_by_key(spark, tmp_path):
         got.setdefault(r["row_index"], []).append(r["other"])
     assert all(got[i] == want[i] for i in ids if not 600 <= i < 640)
     assert all(set(got[i]) <= set(range(600, 640)) and len(got[i]) == 5 for i in range(600, 640))
+
+
+def test_keys_of_several_vectors_follow_the_sql(spark, tmp_path):
+    # keys with other, scaled and opposite vectors, some of them copies of other keys' vectors, and one key with most of the rows
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(60, 64)).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x)] + [(3, x[50]), (3, 2 * x[3]), (3, 3 * x[3]), (7, -x[7]), (50, x[7]), (51, x[7]), (52, 2 * x[7]), (53, x[0])]
+    rows += [(8, x[8]), (8, x[8])] + [(99, v) for v in rng.normal(size=(900, 64)).astype(np.float32)] + [(99, x[9]), (98, x[9])]
+    table(spark, [(i, v.tolist()) for i, v in rows]).write.parquet(str(tmp_path / "semantic_embedding_rows.parquet"))
+    held = {(i, v.tobytes()): v.astype(np.float64) for i, v in rows}
+    keys = np.array([i for i, _ in held])
+    u = np.stack([v / np.linalg.norm(v) for v in held.values()]).astype(np.float32).astype(np.float64)
+    s = np.round(u @ u.T, 12)
+    want = {}
+    for i in set(keys.tolist()):
+        met = sorted((-s[a, b], int(keys[b])) for a in np.flatnonzero(keys == i) for b in np.flatnonzero(keys != i))
+        want[i] = [o for _, o in met[:5]]
+    got = {}
+    for r in N.p4_neighbours(spark, str(tmp_path)).orderBy("row_index", "rank").collect():
+        got.setdefault(r["row_index"], []).append(r["other"])
+        assert r["rank"] == len(got[r["row_index"]])
+    assert got == want
+
+
+def test_only_rows_of_other_keys_are_met():
+    x = np.eye(64, dtype=np.float32)
+    one = N.best_of(np.array([5, 5, 6]), x[[0, 1, 2]], np.array([5, 5, 5]), x[[0, 1, 1]], 5).to_pylist()
+    assert [(r["row_index"], [n["other"] for n in r["near"]]) for r in one] == [(5, []), (6, [5, 5, 5])]
+
+
+def test_tiles_keep_every_partner():
+    # more columns than a tile, rising products so that all pass the first bound, and near copies that single precision can't tell apart
+    rng = np.random.default_rng(14)
+    centre = rng.normal(size=64)
+    far = rng.normal(size=(N.TILE + 3, 64))
+    for y in (np.concatenate([far, centre + 0.2 * rng.normal(size=(N.TILE, 64))]), centre + 1e-7 * rng.normal(size=(2 * N.TILE + 1, 64))):
+        y = (y / np.linalg.norm(y, axis=1, keepdims=True)).astype(np.float32)
+        ids, other = np.arange(len(y))[-40:], np.arange(len(y))
+        for r in N.best_of(ids, y[ids], other, y, 5).to_pylist():
+            i = r["row_index"]
+            s = N.products(y[[i]], y, np.zeros(len(y), int), other)
+            want = sorted((-v, o) for v, o in zip(s.tolist(), other.tolist()) if o != i)[:5]
+            assert [(n["away"], n["other"]) for n in r["near"]] == want
